@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: The folder that holds the package.
+TOP = str(Path(__file__).resolve().parents[2])
 
 
 def tune(spark: SparkSession) -> None:
-    """Session settings for the operators: shuffle files go when their query ends, and text batches stay small."""
+    """Session settings for the operators: workers find this package, shuffle files go when their query ends, text batches
+    stay small, and no growing table is broadcast just because it is small here."""
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if TOP not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [TOP, *paths]))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     spark.conf.set("spark.sql.parquet.compression.codec", "zstd")

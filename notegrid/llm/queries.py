@@ -5,30 +5,69 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from notegrid.llm import decontaminate, language_id, ngram_join
+from notegrid.llm import chat_format, decontaminate, embedding_dedup, html_extract, katz, language_id, ngram_join, packing, secret_scan, substring_dedup
 from notegrid.llm.common import read, tune
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return substring_dedup.dedup(read(spark, sf_dir, "documents"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return decontaminate.flag(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return katz.score_held_out(read(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language_id.identify(docs).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    docs = read(spark, sf_dir, "documents")
+    return secret_scan.report(docs, secret_scan.learn(docs))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return ngram_join.link(read(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return embedding_dedup.dedup(read(spark, sf_dir, "embeddings"))
+
+
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return html_extract.extract_pages(read(spark, sf_dir, "pages"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return chat_format.format_messages(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_benchmark_decontamination, op4_language_id, op6_ngram_jaccard_join)
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_benchmark_decontamination, op3_katz_backoff, op4_language_id, op5_secret_scan,
+        op6_ngram_jaccard_join, op7_packing, op8_embedding_dedup, op9_html_extract, op10_chat_format,
+    )
 }
 
 SQL: dict[str, str] = {}
