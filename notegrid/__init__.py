@@ -1,0 +1 @@
+"""Descriptor-catalogue analytics on Spark: typed records, validation, search, ordering, similarity, comparison, layout."""
