@@ -10,8 +10,8 @@ The boundary is the largest size at which enumerating costs no more than scannin
 (``choose_boundary``). Rarity comes from a fixed-size frequency sketch over all shingles of all documents; it only orders
 tokens, so that lists of common ones stay short, and never decides a link.
 
-One list never gives all its pairs. A list is read in order of set size, and a member meets the list's leader and its
-neighbour there; verified links make first components. Only members of different components meet again, all of them.
+One list never gives all its pairs. A list is read with its most central members first, and a member meets the list's
+leaders of sizes near its own; verified links make first components. Only members of different components meet again, all of them.
 So no link between different components is lost, and a group of n near copies costs about n comparisons.
 
 Defined results: null, empty and white-space texts have empty sets, size 0, and are components of their own; equal texts
@@ -20,8 +20,11 @@ are links; repeated rows of one doc_id count as one document; a null doc_id link
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from itertools import combinations
 from math import comb
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -172,31 +175,42 @@ def may_link(n: int, i: int, m: int, j: int) -> bool:
     return 1 + min(n - 1 - i, m - 1 - j) >= least_overlap(n, m)
 
 
+def size_class(n: int) -> int:
+    """Sets that can link are of the same or of neighbouring classes."""
+    return int(math.log(n) / math.log(DEN / NUM) + 1e-9)
+
+
+LEADERS = ("lead0", "lead1", "lead2")
+
+
 def scan_lists(entries: DataFrame) -> DataFrame:
-    """Members of lists of two or more, each with the leader and the neighbour that it meets there (null if it cannot link).
+    """Members of lists of two or more, each with the leaders that it meets there: of its size class and of both beside it.
 
-    Lists come in order of set size and are read as a stream; a new leader begins where sizes leave the last one's reach.
+    A list is read as a stream, members with the fewest rare tokens first: where a group of near copies shares a list, its
+    first member is the nearest to all. A class's first member is its leader; what is kept of a list is its leaders.
     """
-    arrow = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("leader", pa.int64()), ("near", pa.int64())])
+    arrow = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), *((c, pa.int64()) for c in LEADERS)])
 
     def run(batches):
-        held = leader = last = None
+        held, joined = None, False  # the last row read, and whether its list has begun before it
+        token_now, leaders = None, {}
         out: list[tuple] = []
-        joined = False  # whether the held row's list has begun before it
-
-        def emit(row, alone):
-            nonlocal leader, last
-            if alone:
-                return
-            t, d, n, pos = row
-            if leader is None or leader[0] != t or DEN * leader[2] < NUM * n:
-                first, leader = None, row
-            else:
-                first = leader
-            with_leader = first[1] if first and first[1] != d and may_link(first[2], first[3], n, pos) else None
-            with_last = last[1] if last and last[0] == t and last is not first and last[1] != d and may_link(last[2], last[3], n, pos) else None
-            last = row
-            out.append((t, d, n, pos, with_leader, with_last))
+
+        def emit(t, d, n, pos):
+            nonlocal token_now, leaders
+            if t != token_now:
+                token_now, leaders = t, {}
+            k = size_class(n)
+            met = []
+            for c in (k, k - 1, k + 1):
+                x = leaders.get(c)
+                if x is None or x[0] == d:
+                    met.append(None)
+                else:
+                    small = (x[1], x[2], n, pos) if (x[1], x[0]) < (n, d) else (n, pos, x[1], x[2])
+                    met.append(x[0] if may_link(*small) else None)
+            leaders.setdefault(k, (d, n, pos))
+            out.append((t, d, n, pos, *met))
 
         def flush():
             cols = list(zip(*out, strict=True))
@@ -213,18 +227,17 @@ def scan_lists(entries: DataFrame) -> DataFrame:
             before = np.r_[joined, same]
             use = before[:-1] | same
             for row in zip(token[:-1][use].tolist(), doc[:-1][use].tolist(), n[:-1][use].tolist(), pos[:-1][use].tolist(), strict=True):
-                emit(row, False)
+                emit(*row)
             held = (int(token[-1]), int(doc[-1]), int(n[-1]), int(pos[-1]))
             joined = bool(before[-1])
             if out:
                 yield flush()
-        if held is not None:
-            emit(held, not joined)
-            if out:
-                yield flush()
+        if held is not None and joined:
+            emit(*held)
+            yield flush()
 
-    ordered = entries.repartition("token").sortWithinPartitions("token", "n", "doc_id")
-    return ordered.mapInArrow(run, "token long, doc_id long, n int, pos int, leader long, near long")
+    ordered = entries.repartition("token").sortWithinPartitions("token", "pos", "n", "doc_id")
+    return ordered.mapInArrow(run, "token long, doc_id long, n int, pos int, " + ", ".join(f"{c} long" for c in LEADERS))
 
 
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -255,19 +268,19 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def candidates(lists: DataFrame, of: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """Distinct pairs (a < b) that meet in a list: leaders and neighbours, or given groups all members of different ones.
+    """Distinct pairs (a < b) that meet in a list: members and leaders, or given groups all members of different ones.
 
     of: (doc_id, rep), the document that stands for all of the same set.
     """
     if groups is None:
-        met = lists.select("doc_id", F.explode(F.array("leader", "near")).alias("other")).where("other is not null").select(F.col("doc_id").alias("x"), F.col("other").alias("y"))
+        met = lists.select("doc_id", F.explode(F.array(*LEADERS)).alias("other")).where("other is not null").select(F.col("doc_id").alias("x"), F.col("other").alias("y"))
     else:
         known = lists.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         mixed = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2").select("token")
         here = known.join(mixed, "token")
         s, t = here.alias("s"), here.alias("t")
         order = (F.col("s.n") < F.col("t.n")) | ((F.col("s.n") == F.col("t.n")) & (F.col("s.doc_id") < F.col("t.doc_id")))
-        tested = (F.coalesce(F.col("t.leader"), F.lit(-1)) == F.col("s.doc_id")) | (F.coalesce(F.col("t.near"), F.lit(-1)) == F.col("s.doc_id"))
+        tested = reduce(or_, [F.coalesce(F.col(f"{p}.{c}") == F.col(f"{q}.doc_id"), F.lit(False)) for p, q in (("s", "t"), ("t", "s")) for c in LEADERS])
         n, m, i, j = F.col("s.n"), F.col("t.n"), F.col("s.pos"), F.col("t.pos")
         reach = F.ceil((NUM * (n + m)) / F.lit(float(NUM + DEN)))
         first = F.when(n == m, F.greatest(i, j)).otherwise(i) < n - F.ceil(2 * NUM * n / F.lit(float(NUM + DEN))) + 1
