@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ WINDOW = 2048
 END_ID = 1
 #: Pieces of one length that a task ranks together, on average at most.
 RANKED = 20_000
-#: Distinct words whose ids a Python worker keeps.
-KEPT_WORDS = 400_000
+#: Distinct words whose ids a Python worker keeps, about 50 bytes each.
+KEPT_WORDS = 3_000_000
 
 
 def default_tokenizer() -> str:
@@ -41,7 +42,7 @@ def default_tokenizer() -> str:
 
 
 class WordIds:
-    """Ids of distinct words, encoded when first met, in one growing array."""
+    """Ids of distinct words, encoded when first met: sorted word numbers, and where each one's ids are in one array."""
 
     def __init__(self, path: str, end_id: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -51,40 +52,46 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.flat = np.full(1 << 16, self.end_id, np.uint32)
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.length[0], self.used, self.n = 1, 1, 1  # place 0 is the end id
-
-    def add(self, keys: list[int], texts: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        size = [len(x) for x in found]
-        total = sum(size)
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.n + len(keys) > len(self.start):
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.flat, self.used = np.full(1 << 16, self.end_id, np.uint32), 1
+        self.start, self.length, self.n = np.zeros(1 << 14, np.int64), np.ones(1 << 14, np.int32), 1  # place 0 is the end id
+
+    def add(self, keys: np.ndarray, texts: list[str]) -> None:
+        """Words that are not known yet; keys sorted."""
+        size = np.zeros(len(texts), np.int32)
+        for i in range(0, len(texts), 8192):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 8192], add_special_tokens=False)]
+            size[i : i + len(found)] = list(map(len, found))
+            ids = np.fromiter(chain.from_iterable(found), np.uint32)
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+        new = slice(self.n, self.n + len(texts))
+        while new.stop > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
-        self.length[self.n : self.n + len(keys)] = size
-        self.start[self.n : self.n + len(keys)] = self.used + np.cumsum([0, *size[:-1]])
-        self.place.update(zip(keys, range(self.n, self.n + len(keys)), strict=True))
-        self.n, self.used = self.n + len(keys), self.used + total
+        self.length[new] = size
+        self.start[new] = self.used - int(size.sum()) + np.cumsum(size) - size
+        both = np.concatenate([self.keys, keys])
+        order = np.argsort(both, kind="stable")
+        self.keys, self.place = both[order], np.concatenate([self.place, np.arange(new.start, new.stop, dtype=np.int32)])[order]
+        self.n = new.stop
 
     def encode(self, w) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some rows' words, the end id after each row's, and where the rows begin and end."""
         distinct, first, back = np.unique(w.h, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        if len(self.place) + len(keys) > KEPT_WORDS:
+        if self.n + len(distinct) > KEPT_WORDS:
             self.clear()
-        missing = [i for i, k in enumerate(keys) if k not in self.place]
-        if missing:
-            raw = w.raw.tobytes()
-            self.add([keys[i] for i in missing], [raw[w.start[first[i]] : w.end[first[i]]].decode("utf-8", "surrogatepass") for i in missing])
-        at = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
+        at = np.searchsorted(self.keys, distinct)
+        missing = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != distinct) if len(self.keys) else np.arange(len(distinct))
+        if len(missing):
+            raw, start, end = w.raw.tobytes(), w.start[first[missing]].tolist(), w.end[first[missing]].tolist()
+            self.add(distinct[missing], [raw[s:e].decode("utf-8", "surrogatepass") for s, e in zip(start, end, strict=True)])
+        at = self.place[np.searchsorted(self.keys, distinct)]
         cuts = w.bounds()
-        items = np.insert(at[back] if len(keys) else np.zeros(0, np.int64), cuts[1:], 0)
+        items = np.insert(at[back] if len(at) else np.zeros(0, np.int32), cuts[1:], 0)
         size = self.length[items]
-        ends = np.cumsum(size)
+        ends = np.cumsum(size, dtype=np.int64)
         ids = self.flat[np.repeat(self.start[items] - (ends - size), size) + np.arange(int(ends[-1]))]
         rows = np.concatenate([[0], ends[cuts[1:] + np.arange(len(cuts) - 1)]])
         return ids, rows
