@@ -48,15 +48,16 @@ def ordinal_label(position: Column) -> Column:
 
 
 def to_fixed(x: Column, digits: int = 1) -> Column:
-    """Fixed decimals from the number's exact binary value, halves away from zero."""
-    exact = F.format_string("%.30f", F.abs(x))  # enough digits to see on which side of a half a double of this size lies
-    size = F.pow(F.lit(10.0), F.lit(float(digits)))
-    down = F.floor(F.abs(x) * size)
-    half = F.substring_index(exact, ".", -1).substr(digits + 1, 30) >= F.lit("5" + "0" * (29 - digits))
-    whole = F.substring_index(exact, ".", 1).cast("decimal(30,0)")
-    part = F.substring(F.substring_index(exact, ".", -1), 1, digits).cast("decimal(30,0)")
-    value = (whole * int(10**digits) + part + half.cast("int")) / F.lit(int(10**digits))
-    return F.when(x.isNotNull() & down.isNotNull(), F.concat(F.when((x < 0) & (value > 0), F.lit("-")).otherwise(F.lit("")), value.cast(f"decimal(30,{digits})").cast("string")))
+    """Fixed decimals by the number's exact binary value, halves away from zero."""
+    size, a = 10**digits, F.abs(x)
+    low = F.floor(a * size)
+    # the sign of a - (low + 1/2) / size without rounding: both halves of a's digits times a small integer are exact
+    c = a * 134217729.0
+    high = c - (c - a)
+    over = (high * (2 * size) - (low * 2 + 1)) + (a - high) * (2 * size)
+    n = low + F.when(over >= 0, 1).otherwise(0)
+    text = F.concat(F.floor(n / size).cast("string"), F.concat(F.lit("."), F.lpad((n % size).cast("string"), digits, "0")) if digits else F.lit(""))
+    return F.when(x.isNotNull(), F.concat(F.when((x < 0) & (n > 0), F.lit("-")).otherwise(F.lit("")), text))
 
 
 def decode(labels: dict[str, str], key: Column) -> Column:
