@@ -43,6 +43,8 @@ K = 5
 FREQUENT_WORDS, FREQUENT_PAIRS, PROPOSED = 1 << 17, 1 << 16, 2.0e-5
 #: Tokens that a partition gets on average, and bytes of text whose tokens travel together.
 PART_TOKENS, CHUNK = 3_000_000, 1 << 22
+#: Slices of a partition that are counted one after the other, to bound memory.
+SLICES = 4
 START, END = np.uint64(0x5157A27), np.uint64(0xE2D)
 RARE = np.uint32(0xFFFFFFFF)
 _U = np.uint64
@@ -159,6 +161,13 @@ def rows_of(kind: int, a, b, held, *x) -> pa.Table:
     return pa.table([pa.nulls(n, f.type) if c is None else pa.array(c, f.type) for c, f in zip(columns, _ROW, strict=True)], schema=_ROW)
 
 
+def spell(model: Unigrams, code: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """Word numbers of codes: places among the frequent words, or the rare ones in turn."""
+    out = model.keys[np.minimum(code, len(model.keys) - 1)] if len(model.keys) else np.zeros(len(code), np.uint64)
+    out[code == RARE] = rare
+    return out
+
+
 class Unigrams:
     """What every task knows of words: the frequent ones' counts, N, V and the discounted probabilities."""
 
@@ -259,45 +268,61 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         model = shared.value[0]
-        got, heads = [], []
+        out, blobs, runs, n = [], [], [], 0
         for kind, data in zip(left.column("kind").to_pylist(), left.column("data"), strict=True):
             x = unpack(data.as_py())
             if kind:
-                heads.append(rows_of(0, x[0], pa.array(x[1], mask=~x[2].astype(bool)), x[3].astype(bool), *x[4:]))
+                out.append(rows_of(0, x[0], pa.array(x[1], mask=~x[2].astype(bool)), x[3].astype(bool), *x[4:]))
                 continue
-            cw, cv, rw, rv, size = x[:5]
-            token, context = (np.where(c == RARE, 0, model.keys[np.minimum(c, len(model.keys) - 1)]) if len(model.keys) else np.zeros(len(c), np.uint64) for c in (cw, cv))
-            token[cw == RARE], context[cv == RARE] = rw, rv
-            got.append((token, context, np.repeat(x[8].astype(bool), size), size, *x[5:]))
-        if not got:
-            return pa.concat_tables(heads) if heads else rows_of(0, np.zeros(0, np.int64), None, None)
-        token, context, held, size, key, ids, known_id, head_held = (np.concatenate([g[k] for g in got]) for k in range(8))
-        del got
-        row = np.repeat(np.arange(len(size)), size)
-        # counts of words: broadcast ones, or this partition's own
-        at, hit = find(model.keys, token)
-        c = np.where(hit, model.counts[at], 0) if len(model.keys) else np.zeros(len(token), np.int64)
-        own = right.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(own)
-        at, hit = find(own[order], token)
-        if hit.any():
-            c[hit] = right.column("n").to_numpy()[order][at[hit]]
-        # counts of pairs, of the texts to learn from
-        p = pair(context, token)
-        distinct, first, times = np.unique(p[~held], return_index=True, return_counts=True)
-        at, hit = find(distinct, p)
-        r = np.where(hit, times[at], 0) if len(distinct) else np.zeros(len(p), np.int64)
-        sums = model.sums(row, len(size), token, c, r)
-        out = [*heads, rows_of(0, key, pa.array(ids, mask=~known_id.astype(bool)), head_held.astype(bool), *sums)]
-        v, which = np.unique(context[~held][first], return_inverse=True)
-        out.append(rows_of(1, v, None, None, *of_contexts(model, which, len(v), times, c[~held][first])))
-        owed = r == 0
-        if owed.any():
-            need, of = as_long(context[owed]), key[row[owed]]
-            order = np.lexsort((of, need))
-            need, of = need[order], of[order]
-            begin = np.flatnonzero(np.r_[True, (need[1:] != need[:-1]) | (of[1:] != of[:-1])])
-            out.append(rows_of(2, need[begin], of[begin], None, np.diff(np.r_[begin, len(need)]).astype(float)))
+            spelled = lambda x=x: (spell(model, x[0], x[2]), spell(model, x[1], x[3]))
+            token, context = spelled()
+            slice_ = ((np.where(x[0] != RARE, pair(context, token), mix(token + _U(7))) >> _U(32)) % _U(SLICES)).astype(np.uint8)
+            blobs.append((spelled, slice_, x[4], n))
+            runs.append(x[5:])
+            n += len(x[4])
+        if not n:
+            return pa.concat_tables(out) if out else rows_of(0, np.zeros(0, np.int64), None, None)
+        key, ids, known_id, held = (np.concatenate([r[k] for r in runs]) for k in range(4))
+        held = held.astype(bool)
+        own_key, own_n = right.column("key").to_numpy().view(np.uint64), right.column("n").to_numpy()
+        order = np.argsort(own_key)
+        own_key, own_n = own_key[order], own_n[order]
+        sums = None
+        for part in range(SLICES):  # a slice has all tokens of its pairs and words
+            token, context, row = [], [], []
+            for spelled, slice_, size, first in blobs:
+                use = np.flatnonzero(slice_ == part)
+                both = spelled()
+                token.append(both[0][use])
+                context.append(both[1][use])
+                row.append(np.repeat(np.arange(first, first + len(size), dtype=np.int32), size)[use])
+            token, context, row = map(np.concatenate, (token, context, row))
+            # counts of words: broadcast ones, or this partition's own
+            at, hit = find(model.keys, token)
+            c = np.where(hit, model.counts[at], 0) if len(model.keys) else np.zeros(len(token), np.int64)
+            at, hit = find(own_key, token)
+            if hit.any():
+                c[hit] = own_n[at[hit]]
+            # counts of pairs, of the texts to learn from
+            p = pair(context, token)
+            learnt = np.flatnonzero(~held[row])
+            distinct, first, times = np.unique(p[learnt], return_index=True, return_counts=True)
+            at, hit = find(distinct, p)
+            r = np.where(hit, times[at], 0) if len(distinct) else np.zeros(len(p), np.int64)
+            del p, at, hit
+            more = model.sums(row, n, token, c, r)
+            sums = more if sums is None else [x + y for x, y in zip(sums, more, strict=True)]
+            first = learnt[first]
+            v, which = np.unique(context[first], return_inverse=True)
+            out.append(rows_of(1, v, None, None, *of_contexts(model, which, len(v), times, c[first])))
+            owed = np.flatnonzero(r == 0)
+            if len(owed):
+                need, of = as_long(context[owed]), key[row[owed]]
+                order = np.lexsort((of, need))
+                need, of = need[order], of[order]
+                begin = np.flatnonzero(np.r_[True, (need[1:] != need[:-1]) | (of[1:] != of[:-1])])
+                out.append(rows_of(2, need[begin], of[begin], None, np.diff(np.r_[begin, len(need)]).astype(float)))
+        out.append(rows_of(0, key, pa.array(ids, mask=~known_id.astype(bool)), held, *sums))
         return pa.concat_tables(out)
 
     routed = docs.select("text", "doc_id", "held_out", F.monotonically_increasing_id().alias("key")).mapInArrow(route, "part int, kind int, data binary")

@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from notegrid.llm import queries
-from test_operators import flags, joined_by_hand
+from test_llm_operators import flags, joined_by_hand
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
