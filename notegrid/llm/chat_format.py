@@ -95,7 +95,7 @@ def levels(calls: DataFrame) -> DataFrame:
 def format_messages(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, position, message, n_calls, n_invalid, n_broken, link of every row of conversations.
 
-    link: for a result ``linked`` or ``unlinked``, otherwise null.
+    link: for a result ``linked`` or ``unlinked``, otherwise ``none``.
     """
     plain = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
@@ -130,7 +130,7 @@ def format_messages(conversations: DataFrame) -> DataFrame:
         for b in batches:
             messages, n_calls, n_invalid, n_broken, links = [], [], [], [], []
             for role, text, id_, called, calls in zip(*(b.column(k).to_pylist() for k in range(3, 8)), strict=True):
-                message, made, wrong, link = {"content": text, "role": role}, [], 0, None
+                message, made, wrong, link = {"content": text, "role": role}, [], 0, "none"
                 for c in calls or []:
                     try:
                         arguments = json.loads(c["raw"]).get("arguments")

@@ -90,3 +90,10 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+# the given conversations hold no calls, results or tools, so that what remains is order and canonical JSON
+SQL["op10_chat_format"] = """
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS position, CAST(to_json({'content': coalesce(text, ''), 'role': role}) AS VARCHAR) AS message,
+       CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_invalid, CAST(0 AS BIGINT) AS n_broken, 'none' AS link
+FROM conversations
+"""
