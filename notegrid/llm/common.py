@@ -33,13 +33,18 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
 
 
+_own_dir: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a temporary one only where the session names none, as in local tests."""
     place = spark.conf.get(CHECKPOINT_DIR, None)
-    if not place:
-        place = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set(CHECKPOINT_DIR, place)
-    return place
+    if place:
+        return place
+    run = spark.sparkContext.applicationId
+    if run not in _own_dir:
+        _own_dir[run] = tempfile.mkdtemp(prefix="spark-shared-")
+    return _own_dir[run]
 
 
 def table_path(spark: SparkSession, name: str) -> str:

@@ -193,6 +193,18 @@ class Unigrams:
         ]
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """At most that many rows of the largest n: all whose n reaches a level, found from the numbers of rows by level."""
+    level = F.floor(F.log2("n") * 16)
+    rows = counts.groupBy(level.alias("level")).agg(F.count("*").alias("k")).orderBy(F.desc("level")).collect()  # some hundred levels
+    least, taken = None, 0
+    for r in rows:
+        if taken + r["k"] > most:
+            break
+        least, taken = r["level"], taken + r["k"]
+    return counts.where(level >= least) if least is not None else counts.where("false")
+
+
 def learn_words(train: DataFrame) -> tuple[DataFrame, Unigrams, tuple[np.ndarray, ...]]:
     """The table of word counts, what tasks know of words, and the frequent pairs (keys, contexts, words, counts)."""
     seen = materialize(proposals(train).groupBy("kind", "key").agg(F.sum("n").alias("n"), F.first("v").alias("v"), F.first("w").alias("w")), "words")
@@ -203,11 +215,11 @@ def learn_words(train: DataFrame) -> tuple[DataFrame, Unigrams, tuple[np.ndarray
         of[r["n"]] = r["k"]
     d = discounts(of)
     mass = (total - sum(r * of[r] * (1 - d[r]) for r in range(1, K + 1))) / (total + 1)
-    top = counts.orderBy(F.desc("n"), "key").limit(FREQUENT_WORDS).toArrow()
+    top = most_frequent(counts, FREQUENT_WORDS).toArrow()
     keys, n = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(keys)
     model = Unigrams(keys[order], n[order], total, distinct, of, mass)
-    hot = seen.where("kind = 1").orderBy(F.desc("n"), "key").limit(FREQUENT_PAIRS).toArrow()
+    hot = most_frequent(seen.where("kind = 1"), FREQUENT_PAIRS).toArrow()
     key, v, w = (hot.column(c).to_numpy().view(np.uint64) for c in ("key", "v", "w"))
     known = find(model.keys, w)[1]
     order = np.argsort(key[known])
