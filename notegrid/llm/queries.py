@@ -97,3 +97,30 @@ SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, rol
        CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_invalid, CAST(0 AS BIGINT) AS n_broken, 'none' AS link
 FROM conversations
 """
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+SQL["op1_substring_dedup"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+wins AS (SELECT doc_id, s, sha256(array_to_string(w[s:s+49], ' ')) AS win FROM d, LATERAL (SELECT unnest(range(1, len(w) - 48)) AS s) WHERE len(w) >= 50),
+first AS (SELECT win, min(doc_id) AS first FROM wins GROUP BY win),
+cover AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS p FROM wins JOIN first USING (win) WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS k FROM words ANTI JOIN cover USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+_LOWER = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+SQL["op6_ngram_jaccard_join"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_LOWER} AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[s:s+4], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN sizes p ON x = p.doc_id JOIN sizes q ON y = q.doc_id WHERE 100 * k >= 80 * (p.n + q.n - k)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, edges.y FROM reach JOIN edges ON reach.r = edges.x)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM d LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
