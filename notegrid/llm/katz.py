@@ -23,6 +23,8 @@ a null doc_id is learned from and scored; repeated rows are learned from and sco
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import pickle
 
@@ -42,14 +44,21 @@ K = 5
 #: Words and pairs that are broadcast, a fixed number; a pair is proposed if it is this share of a batch's tokens.
 FREQUENT_WORDS, FREQUENT_PAIRS, PROPOSED = 1 << 17, 1 << 16, 2.0e-5
 #: Tokens that a partition gets on average, and bytes of text whose tokens travel together.
-PART_TOKENS, CHUNK = 3_000_000, 1 << 22
+PART_TOKENS, CHUNK = 3_000_000, 1 << 21
 #: Slices of a partition that are counted one after the other, to bound memory.
-SLICES = 4
+SLICES = 8
 START, END = np.uint64(0x5157A27), np.uint64(0xE2D)
 RARE = np.uint32(0xFFFFFFFF)
 _U = np.uint64
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers stay, and each would keep the most that it ever used."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tokens(w) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token, context and row (0 for the first) of some rows: their words and an end each."""
     cuts = w.bounds()
@@ -122,6 +131,7 @@ def proposals(docs: DataFrame) -> DataFrame:
                 k, back = np.unique(np.concatenate(keys), return_inverse=True)
                 n = np.bincount(back, weights=np.concatenate(counts)).astype(np.int64)
                 yield batch(arrow, np.zeros(len(k), np.int32), as_long(k), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.int64()), n)
+        give_back()
 
     return docs.mapInArrow(run, "kind int, key long, v long, w long, n long")
 
@@ -269,6 +279,7 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
                         cw, cv = code[own], before[own]
                         out.append((k, 0, pack(cw, cv, token[own][cw == RARE], context[own][cv == RARE], size.astype(np.int32), key[w.first + r], ids[w.first + r], known_id[w.first + r], held[w.first + r])))
                 yield batch(arrow, *map(list, zip(*out, strict=True)))
+        give_back()
 
     rare_arrow = pa.schema([("part", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
@@ -334,6 +345,8 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
                 need, of = need[order], of[order]
                 begin = np.flatnonzero(np.r_[True, (need[1:] != need[:-1]) | (of[1:] != of[:-1])])
                 out.append(rows_of(2, need[begin], of[begin], None, np.diff(np.r_[begin, len(need)]).astype(float)))
+            del token, context, row, c, r, more, first, which, owed
+            give_back()
         out.append(rows_of(0, key, pa.array(ids, mask=~known_id.astype(bool)), held, *sums))
         return pa.concat_tables(out)
 
