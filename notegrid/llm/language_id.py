@@ -41,7 +41,7 @@ def letters() -> np.ndarray:
     return _letters
 
 
-def ngrams(texts: list[str | None], most: int = 1 << 19):
+def ngrams(texts: list[str | None], most: int = 1 << 17):
     """For some texts at a time: (first, last, row of each n-gram, bucket of each n-gram, letters of each text)."""
     i = 0
     while i < len(texts):
@@ -53,7 +53,7 @@ def ngrams(texts: list[str | None], most: int = 1 << 19):
             j += 1
         length = np.fromiter(map(len, parts), np.int64, j - i)
         points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        row = np.repeat(np.arange(j - i), length)
+        row = np.repeat(np.arange(j - i, dtype=np.int32), length)
         kept = letters()[points]
         n_letters = np.bincount(row[kept], minlength=j - i)
         # what is no letter becomes one space between words
@@ -71,8 +71,8 @@ def ngrams(texts: list[str | None], most: int = 1 << 19):
                 h = h * _U(0x100000001B3) + code[k : k + m]
             same = of[:m] == of[n - 1 :]
             rows.append(of[:m][same])
-            buckets.append((mix(h[same]) >> _U(64 - 15)).astype(np.int64))
-        yield i, j, np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(buckets or [np.zeros(0, np.int64)]), n_letters
+            buckets.append((mix(h[same]) >> _U(64 - 15)).astype(np.int32))
+        yield i, j, np.concatenate(rows or [np.zeros(0, np.int32)]), np.concatenate(buckets or [np.zeros(0, np.int32)]), n_letters
         i = j
 
 
@@ -114,7 +114,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """docs with lang_pred and score, the posterior of that language given the text."""
+    """docs with lang_pred and score, the posterior of that language given the text; columns of docs with these names go."""
     langs, table = model
     weights = docs.sparkSession.sparkContext.broadcast(table)
     names = np.array([*langs, UNKNOWN], dtype=object)
