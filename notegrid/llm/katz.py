@@ -23,8 +23,6 @@ a null doc_id is learned from and scored; repeated rows are learned from and sco
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import math
 import pickle
 
@@ -34,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegrid.llm.common import as_long, batch, discard, materialize, mix, words
+from notegrid.llm.common import as_long, batch, discard, give_back, materialize, mix, words
 from notegrid.llm.language_id import held_out
 
 FOLDS, HELD_OUT = 10, 0
@@ -52,13 +50,6 @@ RARE = np.uint32(0xFFFFFFFF)
 _U = np.uint64
 
 
-def give_back() -> None:
-    """Return freed memory to the system: Python workers stay, and each would keep the most that it ever used."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def tokens(w) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token, context and row (0 for the first) of some rows: their words and an end each."""
     cuts = w.bounds()

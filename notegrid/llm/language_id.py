@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notegrid.llm.common import batch, mix
+from notegrid.llm.common import batch, give_back, mix
 
 #: Parameters of the model: sizes of the n-grams, buckets they hash to, and the count added to each bucket.
 ORDERS = (1, 2, 3)
@@ -98,6 +98,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
         for name, have in sums.items():
             at = np.flatnonzero(have)
             yield batch(arrow, [name] * len(at), at.astype(np.int32), have[at])
+        give_back()
 
     labelled = docs.where(F.col(lang).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(lang).alias("lang"))
     counts = labelled.mapInArrow(count, schema).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
@@ -135,6 +136,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
                 seen = n_letters > 0
                 pred[i:j][seen], conf[i:j][seen] = best[seen], top[seen]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names[pred], pa.string()), pa.array(conf)], names=[*b.schema.names, "lang_pred", "score"])
+        give_back()
 
     return plain.mapInArrow(score, schema)
 

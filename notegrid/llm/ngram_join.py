@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegrid.llm.common import WORD_BASES, arrow_rows, as_long, batch, components, discard, materialize, mix, rolling, words
+from notegrid.llm.common import WORD_BASES, arrow_rows, as_long, batch, components, discard, give_back, materialize, mix, rolling, words
 
 SHINGLE = 5
 #: Similarity 0.8 as a fraction: links need DEN * |both| >= NUM * |either|.
@@ -102,6 +102,7 @@ def summarize(docs: DataFrame) -> DataFrame:
             yield batch(arrow, np.zeros(part.num_rows, np.int32), part.column(0), n, a, b)
         at = np.flatnonzero(sketch)
         yield batch(arrow, np.ones(len(at), np.int32), pa.nulls(len(at), pa.int64()), np.zeros(len(at), np.int64), at, sketch[at])
+        give_back()
 
     return docs.mapInArrow(run, "kind int, doc_id long, n long, a long, b long")
 
@@ -160,6 +161,7 @@ def list_entries(docs: DataFrame, sketch: np.ndarray, boundary: int) -> DataFram
                     add(row, n, s[first], np.arange(p))
             if tokens:
                 yield batch(arrow, as_long(np.concatenate(tokens)), ids[np.concatenate(rows)], np.concatenate(sizes), np.concatenate(places))
+        give_back()
 
     return docs.mapInArrow(run, "token long, doc_id long, n int, pos int")
 
@@ -258,6 +260,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 both = len(np.intersect1d(other, s, assume_unique=True))
                 linked[row] = both > 0 and DEN * both >= NUM * (len(other) + len(s) - both)
             yield batch(arrow, part.column(0), part.column(1), linked)
+        give_back()
 
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")

@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from notegrid.llm.common import batch, materialize, words
+from notegrid.llm.common import batch, give_back, materialize, words
 
 WINDOW = 2048
 END_ID = 1
 #: Pieces of one length that a task ranks together, on average at most.
 RANKED = 20_000
 #: Distinct words whose ids a Python worker keeps, about 50 bytes each.
-KEPT_WORDS = 3_000_000
+KEPT_WORDS = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -111,7 +111,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
         for b in batches:
             doc = b.column(0)
             row, start, length, crc, tokens = [], [], [], [], []
-            for w in words(b.column(1), size=1 << 22):
+            for w in words(b.column(1), size=1 << 21):
                 ids, ends = known.encode(w)
                 for k in range(w.last - w.first):
                     own = ids[ends[k] : ends[k + 1]]
@@ -123,6 +123,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
                         crc.append(zlib.crc32(part.astype("<u4").tobytes()))
                         tokens.append(len(own))
             yield batch(arrow, doc.take(pa.array(row, pa.int64())), start, length, crc, tokens)
+        give_back()
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(run, ", ".join(f"{f.name} long" for f in arrow))
