@@ -2,8 +2,9 @@
 
 Vectors of one label link when their cosine in double precision is at least 0.98. A pass gives every vector a number made
 of the signs of 64 random projections, sorts the vectors of a label by it, and compares each with its neighbours there;
-pairs found and verified in any pass are links. A vector meets WINDOW neighbours and goes on while it still finds links
-among the last WINDOW, so a dense group is compared whole. Equal vectors meet once, as one with a number of copies.
+pairs found and verified in any pass are links. A vector meets at least WINDOW neighbours and goes on while it still finds
+links among the last WINDOW, across blocks and tasks, so a dense group is compared whole. Equal vectors meet once, as one
+with a number of copies.
 
 How many passes: a pair at the threshold agrees in a projection's sign with probability 1 - acos(0.98) / pi. It is met if
 it agrees in as many leading signs as make a group of WINDOW neighbours, log2(n / WINDOW) of them for a label of n vectors.
@@ -20,6 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,8 @@ THRESHOLD = 0.98
 WINDOW, BITS, SEED = 32, 64, 20_240_229
 #: Share of pairs at the threshold that all passes may miss, and the most passes.
 MISSED, MOST_PASSES = 0.002, 40
-#: Vectors that a task compares together, and how many of them it keeps to meet the next.
-BLOCK, KEPT = 8192, 2048
+#: Places of a block, how many of them are compared at once, and with how many before them.
+BLOCK, CHUNK, MEET = 8192, 256, 2048
 
 
 def passes_for(n: int) -> int:
@@ -89,53 +91,97 @@ def keyed(distinct: DataFrame, passes: int) -> DataFrame:
     return distinct.mapInArrow(run, "turn int, label long, size int, key long, rep long, vector binary")
 
 
-def links_of(x: np.ndarray, group: np.ndarray, old: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j > i) of rows in order that link, in one group; the first old rows have met each other already."""
-    out, n = [], len(x)
-    active = np.arange(n)
-    until = np.full(n, WINDOW)
-    o = 0
-    while len(active):
-        o += 1
-        active = active[(active + o < n) & (until[active] >= o)]
-        active = active[group[active] == group[np.minimum(active + o, n - 1)]]
-        if len(active):
-            linked = np.einsum("ij,ij->i", x[active], x[active + o]) >= THRESHOLD
-            hit = active[linked]
-            until[hit] = o + WINDOW
-            out.append((hit[hit + o >= old], hit[hit + o >= old] + o))
-    return out
+def in_order(keys: DataFrame) -> DataFrame:
+    """(block, reach, place, turn, label, size, rep, vector): keys with their places in the order of all, and no reach yet."""
+    arrow = pa.schema([("part", pa.int32()), ("nth", pa.int64()), ("turn", pa.int32()), ("label", pa.int64()), ("size", pa.int32()), ("rep", pa.int64()), ("vector", pa.binary())])
 
+    def number(batches):
+        part, n = TaskContext.get().partitionId(), 0
+        for b in batches:
+            yield batch(arrow, np.full(b.num_rows, part, np.int32), np.arange(n, n + b.num_rows), *b.columns)
+            n += b.num_rows
+
+    # equal keys stand in another order in every pass, and can be cut between tasks
+    order = ["turn", "label", "size", "key", "tie", "rep"]
+    ranges = keys.withColumn("tie", F.xxhash64("turn", "rep")).repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = materialize(ranges.select("turn", "label", "size", "rep", "vector").mapInArrow(number, "part int, nth long, turn int, label long, size int, rep long, vector binary"), "order")
+    before, n = [], 0
+    for r in numbered.groupBy("part").count().orderBy("part").collect():
+        before.append((r["part"], n))
+        n += r["count"]
+    place = numbered.join(F.broadcast(keys.sparkSession.createDataFrame(before, "part int, before long")), "part").withColumn("place", F.col("before") + F.col("nth"))
+    return place.select(F.expr(f"place div {BLOCK}").alias("block"), F.lit(None).cast("long").alias("reach"), "place", "turn", "label", "size", "rep", "vector")
+
+
+def links_of(x: np.ndarray, group: np.ndarray, place: np.ndarray, reach: np.ndarray, old: int, fresh: bool):
+    """Yields (i, j) of rows in order that link, in one group. The first old rows come from a block before; the others meet
+    each other too if fresh. A link moves the reach of its first row, up to which it meets others, WINDOW beyond the second."""
+    active = np.arange(old)
+    for s in range(old, len(x), CHUNK):
+        here = np.arange(s, min(s + CHUNK, len(x)))
+        active = active[(reach[active] >= place[s]) & (group[active] == group[s])]
+        pieces = [active[k : k + MEET] for k in range(0, len(active), MEET)] + ([here] if fresh else [])
+        for own in pieces:
+            linked = (x[own] @ x[here].T >= THRESHOLD) & (group[own][:, None] == group[here]) & (own[:, None] < here)
+            i, j = np.nonzero(linked)
+            if len(i):
+                np.maximum.at(reach, own[i], place[here[j]] + WINDOW)
+                yield own[i], here[j]
+        if fresh:
+            active = np.concatenate([active, here])
 
-def neighbours(keys: DataFrame) -> DataFrame:
-    """(a, b): verified pairs of reps from every pass, a < b; a pair may come from several."""
-    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches):
-        held: list[tuple] = []
 
-        def compare(rows, old):
-            turn, label, size, rep, data = map(list, zip(*rows, strict=True))
+def neighbours(keys: DataFrame) -> DataFrame:
+    """(a, b): verified pairs of reps from every pass, a < b; a pair may come from several.
+
+    Blocks of BLOCK places are compared by themselves first. Rows whose reach goes on beyond their block then meet the next
+    block, those that still do the one after it, until none is left: each round deals its meetings out over tasks by block.
+    """
+    row = "block long, reach long, place long, turn int, label long, size int, rep long, vector binary"
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("block", pa.int64()), ("reach", pa.int64()), ("place", pa.int64()), ("turn", pa.int32()), ("label", pa.int64()), ("size", pa.int32()), ("rep", pa.int64()), ("vector", pa.binary())])
+
+    def meet(rows: DataFrame, fresh: bool) -> DataFrame:
+        def compare(held):
+            old = sum(r[1] is not None for r in held)
+            block, reach, place, turn, label, size, rep, data = map(list, zip(*held, strict=True))
             group = np.unique(np.array([turn, label, size]), axis=1, return_inverse=True)[1].ravel()
-            size, rep = np.array(size), np.array(rep)
+            place, size, rep = np.array(place), np.array(size), np.array(rep)
+            reach = np.array([p + WINDOW if r is None else r for r, p in zip(reach, place.tolist(), strict=True)])
             for k in np.unique(size):
                 own = np.flatnonzero(size == k)
-                found = links_of(unit([data[i] for i in own], k), group[own], int((own < old).sum()))
-                i, j = (rep[own[np.concatenate([f[s] for f in found] or [np.zeros(0, int)])]] for s in (0, 1))
+                till = reach[own]
+                for i, j in links_of(unit([data[i] for i in own], k), group[own], place[own], till, int((own < old).sum()), fresh):
+                    i, j = rep[own[i]], rep[own[j]]
+                    yield batch(arrow, np.minimum(i, j), np.maximum(i, j), *(pa.nulls(len(i), f.type) for f in list(arrow)[2:]))
+                reach[own] = till
+            went = np.arange(len(held)) if fresh else np.arange(old)
+            for i in np.array_split(went := went[(reach[went] > place[-1]) & (group[went] == group[-1])], len(went) // 1024 + 1):
                 if len(i):
-                    yield batch(arrow, np.minimum(i, j), np.maximum(i, j))
-
-        old = 0
-        for b in batches:
-            held += zip(*(b.column(c).to_pylist() for c in ("turn", "label", "size", "rep", "vector")), strict=True)
-            while len(held) >= BLOCK:
-                yield from compare(held[:BLOCK], old)
-                held, old = held[BLOCK - KEPT :], KEPT
-        if held:
-            yield from compare(held, old)
-
-    ordered = keys.repartitionByRange("turn", "label", "size", "key").sortWithinPartitions("turn", "label", "size", "key", "rep")
-    return ordered.mapInArrow(run, "a long, b long")
+                    none, of = pa.nulls(len(i), pa.int64()), lambda values: [values[k] for k in i]  # noqa: B023
+                    yield batch(arrow, none, none, np.full(len(i), block[0] + 1), reach[i], place[i], of(turn), of(label), of(size), rep[i], of(data))
+
+        def run(batches):
+            held: list[tuple] = []
+            for b in batches:
+                for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if held and held[0][0] != r[0]:
+                        if held[-1][1] is None:
+                            yield from compare(held)
+                        held = []
+                    held.append(r)
+            if held and held[-1][1] is None:  # rows beyond the last block meet nothing
+                yield from compare(held)
+
+        dealt = rows.repartition("block").sortWithinPartitions("block", F.col("reach").isNull(), "place")
+        return materialize(dealt.mapInArrow(run, f"a long, b long, {row}"), "met")
+
+    rows = in_order(keys)
+    met = meet(rows, True)
+    pairs = met.where("a is not null").select("a", "b")
+    while (open_ := met.where("a is null").drop("a", "b")).limit(1).count():
+        met = meet(rows.join(F.broadcast(open_.select("block").distinct()), "block", "left_semi").select(*rows.columns).unionByName(open_), False)
+        pairs = pairs.unionByName(met.where("a is not null").select("a", "b"))
+    return pairs
 
 
 def dedup(vectors: DataFrame) -> DataFrame:

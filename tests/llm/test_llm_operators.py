@@ -386,6 +386,22 @@ def test_embedding_dedup(spark):
     assert out[2007]["component_id"] == 2006 and embedding_dedup.dedup(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("n", [1500, 800])
+def test_embedding_group_larger_than_blocks(spark, monkeypatch, n):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 300)
+    monkeypatch.setattr(embedding_dedup, "KEPT", 75, raising=False)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal(16) + rng.standard_normal((n, 16)) * (0.02 if n == 1500 else 0.13)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(n + i, rng.standard_normal(16).tolist(), i % 2) for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    x = np.array([v / np.linalg.norm(v) for _, v, _ in rows])
+    label = np.array([c for _, _, c in rows])
+    want = (x @ x.T >= 0.98) & (label[:, None] == label)
+    want = want.sum(axis=1) - 1
+    got = np.array([r["n_links"] for r in embedding_dedup.dedup(df).orderBy("vec_id").collect()])
+    assert (got <= want).all() and got.sum() >= (1 if n == 1500 else 0.99) * want.sum() > n
+
+
 # --- 9 -----------------------------------------------------------------------------------------------------------------
 
 
