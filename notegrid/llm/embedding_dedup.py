@@ -6,9 +6,12 @@ pairs found and verified in any pass are links. A vector meets at least WINDOW n
 links among the last WINDOW, across blocks and tasks, so a dense group is compared whole. Equal vectors meet once, as one
 with a number of copies.
 
-How many passes: a pair at the threshold agrees in a projection's sign with probability 1 - acos(0.98) / pi. It is met if
-it agrees in as many leading signs as make a group of WINDOW neighbours, log2(n / WINDOW) of them for a label of n vectors.
-Passes are as many as leave MISSED of such pairs; the number grows with the logarithm of the input.
+How many passes, for each label and length: projections are of the vectors less their mean, whose mean square, the spread,
+is 1 less the square of the mean's length. A pair at the threshold then has the cosine 1 - 0.02 / spread, and agrees in a
+projection's sign with probability 1 - acos(cosine) / pi. It is met if it agrees in as many leading signs as make a group of
+WINDOW neighbours, log2(n / WINDOW) of n vectors. Passes are as many as leave MISSED of such pairs. Then they are doubled
+while Chao's estimate from the links that one and two passes found (capture-recapture) says that more than MISSED of the
+links are left. Where passes would cost as much as to compare all vectors with all, that is done instead.
 
 Recall is below 1 in principle (measured against brute force in the tests); every link found is verified. Defined results:
 null, empty and zero vectors, vectors with null, infinite or NaN components and null labels link with nothing; vectors of
@@ -25,21 +28,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegrid.llm.common import batch, components, materialize
+from notegrid.llm.common import batch, components, discard, materialize
 
 THRESHOLD = 0.98
 WINDOW, BITS, SEED = 32, 64, 20_240_229
-#: Share of pairs at the threshold that all passes may miss, and the most passes.
-MISSED, MOST_PASSES = 0.002, 40
+#: The turn in which all vectors of a label meet.
+WHOLE, END = -1, 1 << 62
+#: Share of links that all passes may miss.
+MISSED = 0.002
+#: Bytes of the labels' means that are broadcast.
+MOST_BROADCAST = 32_000_000
 #: Places of a block, how many of them are compared at once, and with how many before them.
 BLOCK, CHUNK, MEET = 8192, 256, 2048
 
 
-def passes_for(n: int) -> int:
-    """Passes over a label of n distinct vectors."""
-    agree = 1 - math.acos(THRESHOLD) / math.pi
-    met = agree ** max(0.0, math.log2(max(1, n) / WINDOW))
-    return min(MOST_PASSES, max(3, math.ceil(math.log(MISSED) / math.log(max(1e-9, 1 - met)))))
+def passes_for(n: int, spread: float) -> int:
+    """Passes over n distinct vectors of a label whose mean square about their mean is spread."""
+    cosine = max(0.0, 1 - (1 - THRESHOLD) / max(spread, 1e-12))
+    met = (1 - math.acos(cosine) / math.pi) ** max(0.0, math.log2(max(1, n) / WINDOW))
+    return max(3, math.ceil(math.log(MISSED) / math.log1p(-min(met, 1 - 1e-9))))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -70,25 +77,67 @@ def unit(data: list[bytes], n: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def keyed(distinct: DataFrame, passes: int) -> DataFrame:
-    """(turn, label, size, key, rep, vector): every vector once for each pass, with its number there."""
+def planned(distinct: DataFrame) -> DataFrame:
+    """(label, size, n, mean, first, last, whole): the mean of the vectors of a label and length, and the passes over them."""
+    part = "label long, size int, n long, total binary"
+    arrow = pa.schema([("label", pa.int64()), ("size", pa.int32()), ("n", pa.int64()), ("total", pa.binary())])
+
+    def add(batches):
+        sums: dict[tuple, list] = {}
+
+        def out():
+            if sums:
+                yield batch(arrow, *map(list, zip(*((*k, n, x.tobytes()) for k, (n, x) in sums.items()), strict=True)))
+            sums.clear()
+
+        for b in batches:
+            for label, size, data in zip(*(b.column(k).to_pylist() for k in ("label", "size", "vector")), strict=True):
+                have = sums.setdefault((label, size), [0, np.zeros(size)])
+                have[0] += 1
+                have[1] += unit([data], size)[0]
+            if len(sums) > 4096:
+                yield from out()
+        yield from out()
+
+    final = pa.schema([("label", pa.int64()), ("size", pa.int32()), ("n", pa.int64()), ("mean", pa.binary()), ("first", pa.int32()), ("last", pa.int32()), ("whole", pa.bool_())])
+
+    def plan(table: pa.Table) -> pa.Table:
+        label, size = (table.column(k)[0].as_py() for k in ("label", "size"))
+        n = sum(table.column("n").to_pylist())
+        mean = np.round(sum(np.frombuffer(x, np.float64) for x in table.column("total").to_pylist()) / n, 6)
+        passes = passes_for(n, 1 - float(mean @ mean))
+        return pa.table([[label], [size], [n], [mean.tobytes()], [0], [min(passes, n)], [passes * CHUNK >= n]], schema=final)
+
+    out = distinct.select("label", "size", "vector").mapInArrow(add, part).groupBy("label", "size").applyInArrow(plan, "label long, size int, n long, mean binary, first int, last int, whole boolean")
+    return out.where("n > 1")
+
+
+def keyed(distinct: DataFrame, plan: DataFrame) -> DataFrame:
+    """(turn, label, size, key, rep, vector): every vector once for each pass of its plan, with its number there; once, with
+    the turn WHOLE, where all are compared with all."""
     arrow = pa.schema([("turn", pa.int32()), ("label", pa.int64()), ("size", pa.int32()), ("key", pa.int64()), ("rep", pa.int64()), ("vector", pa.binary())])
+    held = plan.agg(F.coalesce(F.sum(F.length("mean") + 40), F.lit(0))).first()[0]
+    both = distinct.join(F.broadcast(plan) if held <= MOST_BROADCAST else plan, ["label", "size"])
 
     def run(batches):
         for b in batches:
-            label, rep = b.column(0).to_numpy(), b.column(1).to_numpy()
-            data = b.column(2).to_pylist()
-            sizes = np.array([len(x) // 8 for x in data])
-            for size in np.unique(sizes):
-                own = np.flatnonzero(sizes == size)
-                x = unit([data[k] for k in own], size)
-                for t in range(passes):
+            label, rep, sizes, first, last, whole = (b.column(k).to_numpy(zero_copy_only=False) for k in ("label", "rep", "size", "first", "last", "whole"))
+            data, mean = b.column("vector").to_pylist(), b.column("mean").to_pylist()
+            own = np.flatnonzero(whole)
+            if len(own):
+                yield batch(arrow, np.full(len(own), WHOLE, np.int32), label[own], sizes[own], np.zeros(len(own), np.int64), rep[own], [data[k] for k in own])
+            for size in np.unique(sizes[~whole]):
+                all_ = np.flatnonzero((sizes == size) & ~whole)
+                x = unit([data[k] for k in all_], size) - np.frombuffer(b"".join(mean[k] for k in all_), np.float64).reshape(-1, size)
+                for t in range(first[all_].min(), last[all_].max()):
+                    at = (first[all_] <= t) & (t < last[all_])
+                    own = all_[at]
                     planes = np.random.default_rng((SEED, t, int(size))).standard_normal((size, BITS))
-                    signs = np.packbits(x @ planes > 0, axis=1)
+                    signs = np.packbits(x[at] @ planes > 0, axis=1)
                     key = signs.view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)  # so that signed order is bit order
-                    yield batch(arrow, np.full(len(own), t, np.int32), label[own], np.full(len(own), size, np.int32), key.view(np.int64), rep[own], b.column(2).take(pa.array(own)))
+                    yield batch(arrow, np.full(len(own), t, np.int32), label[own], np.full(len(own), size, np.int32), key.view(np.int64), rep[own], [data[k] for k in own])
 
-    return distinct.mapInArrow(run, "turn int, label long, size int, key long, rep long, vector binary")
+    return both.select("label", "size", "rep", "vector", "mean", "first", "last", "whole").mapInArrow(run, "turn int, label long, size int, key long, rep long, vector binary")
 
 
 def in_order(keys: DataFrame) -> DataFrame:
@@ -132,7 +181,7 @@ def links_of(x: np.ndarray, group: np.ndarray, place: np.ndarray, reach: np.ndar
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
-    """(a, b): verified pairs of reps from every pass, a < b; a pair may come from several.
+    """(a, b, turn, label, size): verified pairs of reps from every pass, a < b; a pair may come from several.
 
     Blocks of BLOCK places are compared by themselves first. Rows whose reach goes on beyond their block then meet the next
     block, those that still do the one after it, until none is left: each round deals its meetings out over tasks by block.
@@ -145,20 +194,21 @@ def neighbours(keys: DataFrame) -> DataFrame:
             old = sum(r[1] is not None for r in held)
             block, reach, place, turn, label, size, rep, data = map(list, zip(*held, strict=True))
             group = np.unique(np.array([turn, label, size]), axis=1, return_inverse=True)[1].ravel()
-            place, size, rep = np.array(place), np.array(size), np.array(rep)
-            reach = np.array([p + WINDOW if r is None else r for r, p in zip(reach, place.tolist(), strict=True)])
+            place, size, rep, turn, label = np.array(place), np.array(size, np.int32), np.array(rep), np.array(turn, np.int32), np.array(label)
+            reach = np.array([r if r is not None else END if t == WHOLE else p + WINDOW for r, t, p in zip(reach, turn, place.tolist(), strict=True)])
             for k in np.unique(size):
                 own = np.flatnonzero(size == k)
                 till = reach[own]
                 for i, j in links_of(unit([data[i] for i in own], k), group[own], place[own], till, int((own < old).sum()), fresh):
-                    i, j = rep[own[i]], rep[own[j]]
-                    yield batch(arrow, np.minimum(i, j), np.maximum(i, j), *(pa.nulls(len(i), f.type) for f in list(arrow)[2:]))
+                    first, i, j = own[i], rep[own[i]], rep[own[j]]
+                    none = pa.nulls(len(i), pa.int64())
+                    yield batch(arrow, np.minimum(i, j), np.maximum(i, j), none, none, none, turn[first], label[first], size[first], none, pa.nulls(len(i), pa.binary()))
                 reach[own] = till
             went = np.arange(len(held)) if fresh else np.arange(old)
             for i in np.array_split(went := went[(reach[went] > place[-1]) & (group[went] == group[-1])], len(went) // 1024 + 1):
                 if len(i):
                     none, of = pa.nulls(len(i), pa.int64()), lambda values: [values[k] for k in i]  # noqa: B023
-                    yield batch(arrow, none, none, np.full(len(i), block[0] + 1), reach[i], place[i], of(turn), of(label), of(size), rep[i], of(data))
+                    yield batch(arrow, none, none, np.full(len(i), block[0] + 1), reach[i], place[i], turn[i], label[i], size[i], rep[i], of(data))
 
         def run(batches):
             held: list[tuple] = []
@@ -177,22 +227,47 @@ def neighbours(keys: DataFrame) -> DataFrame:
 
     rows = in_order(keys)
     met = meet(rows, True)
-    pairs = met.where("a is not null").select("a", "b")
+    pairs = met.where("a is not null").select("a", "b", "turn", "label", "size")
     while (open_ := met.where("a is null").drop("a", "b")).limit(1).count():
         met = meet(rows.join(F.broadcast(open_.select("block").distinct()), "block", "left_semi").select(*rows.columns).unionByName(open_), False)
-        pairs = pairs.unionByName(met.where("a is not null").select("a", "b"))
+        pairs = pairs.unionByName(met.where("a is not null").select("a", "b", "turn", "label", "size"))
     return pairs
 
 
+def linked_pairs(distinct: DataFrame) -> DataFrame:
+    """(a, b): pairs of reps that link, found by as many passes as each label needs. distinct: label, size, rep, vector."""
+    plan, parts, same = materialize(planned(distinct), "plan"), [], ["label", "size"]
+    while True:
+        keys = materialize(keyed(distinct, plan), "keys")
+        found = neighbours(keys).groupBy(*same, "a", "b").agg(F.count_distinct("turn").alias("times"))
+        parts.append(materialize(found, "found"))
+        discard(keys)
+        todo = plan.where("not whole")
+        if not todo.limit(1).count():
+            break
+        times = parts[0]
+        for p in parts[1:]:
+            times = times.unionByName(p)
+        times = times.where("a <> b").join(todo.select(*same), same, "left_semi").groupBy(*same, "a", "b").agg(F.sum("times").alias("times"))
+        seen = times.groupBy(*same).agg(F.count("*").alias("links"), F.count_if(F.col("times") == 1).alias("once"), F.count_if(F.col("times") == 2).alias("twice"))
+        missed = (F.col("last") - 1) / F.col("last") * F.col("once") * (F.col("once") - 1) / (2 * (F.col("twice") + 1))
+        more = todo.join(seen, same).where(missed > MISSED * (F.col("links") + missed))
+        plan = materialize(more.select(*same, "n", "mean", F.col("last").alias("first"), (F.col("last") * 2).alias("last"), (F.col("last") * CHUNK >= F.col("n")).alias("whole")), "plan")
+        if not plan.limit(1).count():
+            break
+    pairs = parts[0]
+    for p in parts[1:]:
+        pairs = pairs.unionByName(p)
+    return pairs.select("a", "b").where("a <> b").distinct()
+
+
 def dedup(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding, label)."""
     good = materialize(usable(vectors), "vectors")
     same = ["label", "h1", "h2"]
     groups = good.groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"), F.first("vector").alias("vector"))
     groups = materialize(groups, "distinct")
-    largest = groups.groupBy("label").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    keys = materialize(keyed(groups.select("label", "rep", "vector"), passes_for(largest)), "keys")
-    pairs = materialize(neighbours(keys).distinct(), "pairs").where("a <> b")
+    pairs = materialize(linked_pairs(groups.select("label", F.expr("int(length(vector) div 8)").alias("size"), "rep", "vector")), "pairs")
     # a rep stands for its vec_ids; one vec_id may have several vectors, so links are counted between vec_ids by reps
     copies = groups.groupBy("rep").agg(F.max("copies").alias("copies"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
