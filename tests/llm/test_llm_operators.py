@@ -441,6 +441,21 @@ def test_html(spark):
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_constants_of_all_pages(spark):
+    def of(k, layout, share="", long=0):
+        words = " ".join(f"w{k}x{i}" for i in range(30 + long))
+        return f"<html><body><div class='{layout}'><p>Text {words}</p>{share}<p>Follow {layout}</p></div></body></html>"
+
+    rows = [(i, "https://two.example/", of(i, "a" if i % 3 else "b")) for i in range(60)]
+    rows += [(100 + i, "https://long.example/", of(i, "c", long=15000)) for i in range(6)]
+    rows += [(200 + i, "https://copies.example/", of(0, "d")) for i in range(8)] + [(208, "https://copies.example/", of(1, "e"))]
+    rows += [(300 + i, "https://some.example/", of(i, "f", "<p>Said by some</p>" if i % 10 < 3 else "")) for i in range(60)]
+    out = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(out) == len(rows)
+    assert not any("Follow" in out[i] for i, _, _ in rows if i < 200 or i >= 300) and all("Follow" in out[i] for i in range(200, 209))
+    assert all(out[i].startswith("Text") for i in out) and all(("Said by some" in out[300 + i]) == (i % 10 < 3) for i in range(60))
+
+
 def test_simple_tree_matching():
     a, b = html_extract.tree("<div><p>a</p><p>b</p><ul><li>x</li></ul></div>"), html_extract.tree("<div><p>c</p><ul><li>x</li><li>y</li></ul></div>")
     assert html_extract.match(a, b) == 5  # root, div, one p, ul, one li
