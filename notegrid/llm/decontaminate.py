@@ -63,10 +63,19 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     return found.select("key", (F.col("at") - F.col("place")).alias("from"), F.size("want").alias("size"), "items", "unnamed")
 
 
+def row_key() -> Column:
+    """What flag() decides for: a doc_id and a text."""
+    return F.struct("doc_id", F.xxhash64(F.col("text").cast("string")).alias("of"))
+
+
 def flag(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs (doc_id, text)."""
-    keyed = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = keyed.withColumn("key", F.struct("doc_id", F.xxhash64("text").alias("of")))
+    return flagged(docs, items, window).drop("key")
+
+
+def flagged(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """flag() with the key of each row."""
+    keyed = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", row_key())
     hits = scan(keyed.select("key", "text"), items.select("item_id", F.col("text").cast("string").alias("text")), window)
     ends = hits.groupBy("key", "from").agg(F.max("size").alias("size"), F.collect_set("items").alias("items"), F.max("unnamed").alias("unnamed"))
     ends = ends.withColumn("items", F.array_distinct(F.flatten("items")))
@@ -78,16 +87,16 @@ def flag(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     grown = F.aggregate("spans", start, lambda acc, s: F.struct((acc["sum"] + F.greatest(F.lit(0), s["from"] + s["size"] - F.greatest(acc["end"], s["from"]))).alias("sum"), F.greatest(acc["end"], s["from"] + s["size"]).alias("end")))
     names = F.sort_array(F.transform("items", lambda x: x.cast("string")))
     per = per.select("key", grown["sum"].cast("long").alias("n_hit"), (F.size("items") + F.col("unnamed").cast("int")).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"))
-    counted = keyed.select("doc_id", "key", F.size(word_array(F.col("text"))).cast("long").alias("n_words"))
-    out = counted.join(per, counted["key"].eqNullSafe(per["key"]), "left")
+    counted = keyed.select("doc_id", F.col("key").alias("row"), F.size(word_array(F.col("text"))).cast("long").alias("n_words"))
+    out = counted.join(per, counted["row"].eqNullSafe(per["key"]), "left")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast(T.LongType())).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast(T.LongType())).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
+        F.col("row").alias("key"),
     )
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs whose text holds no window of an item."""
-    out = flag(docs, items, window)
-    bad = out.where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    bad = flagged(docs, items, window).where("contaminated").select(F.col("key").alias("bad_key")).distinct()
+    return docs.withColumn("row_key", row_key()).join(bad, F.col("row_key").eqNullSafe(F.col("bad_key")), "left_anti").select(*docs.columns)

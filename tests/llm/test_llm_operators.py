@@ -155,6 +155,13 @@ def test_decontamination(spark, rows):
     assert decontaminate.flag(frame(spark, rows), spark.createDataFrame([], "item_id long, text string")).where("contaminated").count() == 0
 
 
+def test_decontamination_keeps_clean_texts_of_an_id(spark):
+    rows = [(None, "a bad text"), (None, "clean"), (None, None), (1, "x bad text"), (1, "clean too"), (2, "clean"), (3, "bad text"), (3, "bad text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = decontaminate.clean(docs, spark.createDataFrame([(1, "bad text")], "item_id long, text string"))
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([r for r in rows if "bad" not in (r[1] or "")], key=str)
+
+
 def test_decontamination_runs_no_python(spark, rows):
     out = decontaminate.flag(frame(spark, rows), spark.createDataFrame([(1, "one two")], "item_id long, text string"))
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
