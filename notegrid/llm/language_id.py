@@ -1,8 +1,8 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
-Training counts every labelled text outside the held-out fold, inside the tasks, as one small matrix of languages by
-buckets for each task; Spark sums them. The log-probability matrix has languages x BUCKETS float32 values whatever the
-input, and is broadcast. Scoring gathers the rows of a batch's n-grams in numpy.
+Training counts every labelled text outside the held-out fold, inside the tasks, by language and bucket; Spark sums and
+stores the counts of all languages. Log-probability matrices of at most BLOCK languages x BUCKETS float32 values are broadcast
+one after the other, and each document keeps its best language over them. Scoring gathers the rows of a batch's n-grams in numpy.
 
 Defined results: null text, empty text and text without a letter give ``und`` with score 0. With no labelled text at all
 every text is ``und``. Equal posteriors go to the language that sorts first. Repeated rows are counted and returned each.
@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notegrid.llm.common import batch, give_back, mix
+from notegrid.llm.common import batch, give_back, materialize, mix
 
 #: Parameters of the model: sizes of the n-grams, buckets they hash to, and the count added to each bucket.
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 ADDED = 0.1
-#: A language's share of labelled texts below which it is not learned, and the most languages that are.
-MOST_LANGUAGES = 256
+#: Languages whose table is broadcast at a time; all are learned.
+BLOCK = 256
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 4, 2
 
@@ -80,8 +80,8 @@ def held_out(doc_id: str = "doc_id", folds: int = FOLDS, fold: int = HELD_OUT):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages in order, and the matrix BUCKETS x languages of log probabilities with the log priors as last row."""
+def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[tuple[str, int]], DataFrame]:
+    """All languages in order with their numbers of texts, and the stored counts (lang, bucket, n)."""
     schema = "lang string, bucket int, n long"
     arrow = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 
@@ -95,50 +95,81 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
                     have = sums.setdefault(name, np.zeros(BUCKETS + 1, np.int64))
                     have[:BUCKETS] += np.bincount(bucket[of[row]], minlength=BUCKETS)
                     have[BUCKETS] += int(of.sum())
+                if len(sums) >= BLOCK:
+                    yield from out(sums)
+        yield from out(sums)
+        give_back()
+
+    def out(sums):
         for name, have in sums.items():
             at = np.flatnonzero(have)
             yield batch(arrow, [name] * len(at), at.astype(np.int32), have[at])
-        give_back()
+        sums.clear()
 
     labelled = docs.where(F.col(lang).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(lang).alias("lang"))
-    counts = labelled.mapInArrow(count, schema).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    per = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("cells"), F.max(F.when(F.col("bucket") == BUCKETS, F.col("n"))).alias("docs"))
-    found = sorted(per.orderBy(F.desc("docs"), "lang").limit(MOST_LANGUAGES).collect(), key=lambda r: r["lang"])
-    table = np.zeros((BUCKETS + 1, len(found)))
-    for k, r in enumerate(found):
-        for cell in r["cells"]:
-            table[cell["bucket"], k] = cell["n"]
-    if found:
-        grams, priors = table[:BUCKETS] + ADDED, table[BUCKETS] + ADDED
-        table = np.vstack([np.log(grams / grams.sum(axis=0)), np.log(priors / priors.sum())])
-    return [r["lang"] for r in found], table.astype(np.float32)
-
-
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """docs with lang_pred and score, the posterior of that language given the text; columns of docs with these names go."""
-    langs, table = model
+    counts = materialize(labelled.mapInArrow(count, schema).groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "languages")
+    return sorted((r["lang"], r["n"]) for r in counts.where(F.col("bucket") == BUCKETS).select("lang", "n").collect()), counts
+
+
+def table_of(langs: list[tuple[str, int]], counts: DataFrame, first: int) -> np.ndarray:
+    """For BLOCK languages from the first: BUCKETS x languages of log probabilities, with the log priors among all as last row."""
+    here = langs[first : first + BLOCK]
+    columns = F.broadcast(counts.sparkSession.createDataFrame([(name, k) for k, (name, _) in enumerate(here)], "lang string, k int"))
+    cells = counts.join(columns, "lang").select("k", "bucket", "n").toArrow()
+    table = np.zeros((BUCKETS + 1, len(here)))
+    table[cells.column("bucket").to_numpy(), cells.column("k").to_numpy()] = cells.column("n").to_numpy()
+    grams, priors = table[:BUCKETS] + ADDED, table[BUCKETS] + ADDED
+    everything = sum(n for _, n in langs) + ADDED * len(langs)
+    return np.vstack([np.log(grams / grams.sum(axis=0)), np.log(priors / everything)]).astype(np.float32)
+
+
+def predict(docs: DataFrame, model: tuple[list[tuple[str, int]], DataFrame], text: str = "text") -> DataFrame:
+    """docs with lang_pred and score, the posterior of that language given the text; columns of docs with these names go.
+
+    Languages come in blocks of BLOCK, whose tables are broadcast one after the other; each document carries its best log
+    probability so far and the sum of all relative to it.
+    """
+    langs, counts = model
+    out = docs.drop("lang_pred", "score")
+    plain = out.schema.fields
+    carried = [T.StructField("lang_pred", T.StringType()), T.StructField("_best", T.DoubleType()), T.StructField("_sum", T.DoubleType())]
+    for first in range(0, len(langs), BLOCK):
+        if first:
+            out = materialize(out, "scored")
+        out = scored(out, T.StructType([*plain, *carried]), np.array([x for x, _ in langs[first : first + BLOCK]], dtype=object), table_of(langs, counts, first), text, first > 0)
+    if not langs:
+        return out.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+    return out.withColumn("score", F.when(F.col("_sum") > 0, 1 / F.col("_sum")).otherwise(0.0)).drop("_best", "_sum")
+
+
+def scored(docs: DataFrame, schema: T.StructType, names: np.ndarray, table: np.ndarray, text: str, more: bool) -> DataFrame:
     weights = docs.sparkSession.sparkContext.broadcast(table)
-    names = np.array([*langs, UNKNOWN], dtype=object)
-    plain = docs.drop("lang_pred", "score")
-    schema = T.StructType([*plain.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def score(batches):
-        w, k = weights.value, len(names) - 1
+        w, k = weights.value, len(names)
         for b in batches:
-            pred, conf = np.full(b.num_rows, k), np.zeros(b.num_rows)
+            own = b.columns[:-3] if more else b.columns
+            if more:
+                pred, best, total_ = np.array(b.column(b.num_columns - 3).to_pylist(), dtype=object), *(b.column(b.num_columns - n).to_numpy(zero_copy_only=False).copy() for n in (2, 1))
+            else:
+                pred, best, total_ = np.full(b.num_rows, UNKNOWN, dtype=object), np.full(b.num_rows, -np.inf), np.zeros(b.num_rows)
             texts = b.column(b.schema.get_field_index(text)).to_pylist()
-            for i, j, row, bucket, n_letters in ngrams(texts) if k else ():
+            for i, j, row, bucket, n_letters in ngrams(texts):
                 total = np.tile(w[-1].astype(np.float64), (j - i, 1))
                 for c in range(k):
                     total[:, c] += np.bincount(row, weights=w[bucket, c], minlength=j - i)
-                best = total.argmax(axis=1)
-                top = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                seen = n_letters > 0
-                pred[i:j][seen], conf[i:j][seen] = best[seen], top[seen]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names[pred], pa.string()), pa.array(conf)], names=[*b.schema.names, "lang_pred", "score"])
+                at, top = total.argmax(axis=1), total.max(axis=1)
+                much = np.exp(total - top[:, None]).sum(axis=1)
+                seen, was = n_letters > 0, best[i:j]
+                high = np.maximum(top, was)
+                much = much * np.exp(top - high) + total_[i:j] * np.exp(was - high)
+                better = seen & (top > was)
+                pred[i:j][better] = names[at[better]]
+                best[i:j][seen], total_[i:j][seen] = high[seen], much[seen]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(best), pa.array(total_)], names=schema.fieldNames())
         give_back()
 
-    return plain.mapInArrow(score, schema)
+    return docs.mapInArrow(score, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

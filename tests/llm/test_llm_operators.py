@@ -244,6 +244,13 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in none.collect()} == {"und"} and language_id.identify(df.where("false")).count() == 0
 
 
+def test_more_languages_than_a_block(spark):
+    rows = [(3 * k + i, (chr(0x4E00 + 2 * k) + chr(0x4E01 + 2 * k)) * 20, f"l{k:03}") for k in range(300) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = language_id.predict(df, language_id.train(df)).collect()
+    assert len(out) == 900 and all(r["lang_pred"] == r["lang"] and 0.5 < r["score"] <= 1 for r in out)
+
+
 # --- 5 -----------------------------------------------------------------------------------------------------------------
 
 
