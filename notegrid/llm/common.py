@@ -30,6 +30,7 @@ def tune(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [TOP, *paths]))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 25))
     spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
 

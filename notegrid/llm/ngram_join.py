@@ -1,7 +1,8 @@
 """N-gram Jaccard join: size-aware, heavy-light.
 
 A document's set is its distinct 5-word shingles (A-Z as a-z; a text of fewer words is one shingle; none without words).
-Two documents link when 100 * |both| >= 80 * |either|. Each set is handled by its size:
+Two documents link when 100 * |both| >= 80 * |either|. Equal texts are found first, and one of them stands for all. Each set
+is handled by its size:
 
 * light sets (size <= boundary) enumerate their subsets of the overlap that a partner needs and meet on equal subsets;
 * heavy sets scan inverted lists: their tokens, rare ones first, go into lists, as many as a partner cannot all miss.
@@ -11,20 +12,23 @@ The boundary is the largest size at which enumerating costs no more than scannin
 tokens, so that lists of common ones stay short, and never decides a link.
 
 One list never gives all its pairs. A list is read with its most central members first, and a member meets the list's
-leaders of sizes near its own; verified links make first components. Only members of different components meet again, all of them.
-So no link between different components is lost, and a group of n near copies costs about n comparisons.
+leaders of sizes near its own; verified links make first components. Only members of different components meet again, all of
+them, long lists in parts by size and salt. So no link between different components is lost, and a group of n near copies
+costs about n comparisons.
+
+Candidates are verified in two exact steps: counts of a set's shingles in a fixed number of bins bound the overlap of two
+sets from above, and only pairs that this bound lets pass have their whole texts' sets compared.
 
 Defined results: null, empty and white-space texts have empty sets, size 0, and are components of their own; equal texts
-are links; repeated rows of one doc_id count as one document; a null doc_id links with nothing.
+are links; repeated rows of one doc_id count as one document, which links with what any of its texts links with; a null
+doc_id links with nothing.
 """
 
 from __future__ import annotations
 
-import math
-from functools import reduce
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -38,28 +42,46 @@ SHINGLE = 5
 NUM, DEN = 4, 5
 #: Cells of the frequency sketch; its size does not depend on the input.
 CELLS = 1 << 16
+#: Bins whose counts bound an overlap, and the count at which a bin says nothing.
+BINS, FULL = 256, 255
 #: Sizes that can be light; above it the number of subsets passes any list.
 MOST_LIGHT = 12
+#: Texts of more than this share of all rows are joined by broadcast: there are fewer than HOT of them.
+HOT = 1000
+#: Members of a list that meet its other members in one part.
+PART = 4096
 _U = np.uint64
 
 
-def shingles(h: np.ndarray) -> np.ndarray:
-    """The sorted distinct shingle numbers of one document's word numbers."""
-    if not len(h):
-        return np.zeros(0, np.uint64)
-    n = min(SHINGLE, len(h))
-    return np.unique(rolling(h, n, WORD_BASES[0]) + _U(n))
-
-
-def sets_of(column: pa.Array):
-    """(row, set) of every text of a column, in order."""
-    for w in words(column, lower=True):
+def sets_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For some rows at a time: the first row, its and its followers' sets one after the other, each sorted, where each
+    begins with the end of the last, and the row of each token."""
+    for w in words(column, lower=True, size=1 << 18):
+        n = w.last - w.first
         cuts = w.bounds()
-        for k in range(w.last - w.first):
-            yield w.first + k, shingles(w.h[cuts[k] : cuts[k + 1]])
-
-
-def least_overlap(n: int, m: int) -> int:
+        length = np.diff(cuts)
+        tokens = rolling(w.h, SHINGLE, WORD_BASES[0]) + _U(SHINGLE)
+        row = w.row[: len(tokens)] - w.first
+        whole = w.row[: len(tokens)] == w.row[SHINGLE - 1 :] if len(tokens) else np.zeros(0, bool)
+        tokens, row = tokens[whole], row[whole]
+        short = np.flatnonzero((length > 0) & (length < SHINGLE))
+        if len(short):
+            of = [rolling(w.h[cuts[k] : cuts[k + 1]], int(length[k]), WORD_BASES[0])[0] + _U(length[k]) for k in short]
+            tokens, row = np.concatenate([tokens, np.array(of, np.uint64)]), np.concatenate([row, short])
+            order = np.argsort(row, kind="stable")
+            tokens, row = tokens[order], row[order]
+        at = np.zeros(n + 1, np.int64)
+        np.cumsum(np.bincount(row, minlength=n), out=at[1:])
+        for k in range(n):
+            tokens[at[k] : at[k + 1]].sort()
+        if len(tokens):
+            new = np.r_[True, (tokens[1:] != tokens[:-1]) | (row[1:] != row[:-1])]
+            tokens, row = tokens[new], row[new]
+            np.cumsum(np.bincount(row, minlength=n), out=at[1:])
+        yield w.first, tokens, at, row
+
+
+def least_overlap(n, m):
     """Shared shingles that sets of n and m need: the least k with DEN * k >= NUM * (n + m - k)."""
     return -(-NUM * (n + m) // (NUM + DEN))
 
@@ -83,28 +105,32 @@ def cells(s: np.ndarray) -> np.ndarray:
     return (s >> _U(48)).astype(np.int64)
 
 
-def summarize(docs: DataFrame) -> DataFrame:
-    """Rows of kind 0: doc_id, set size n and a 128-bit number (a, b) of the set; rows of kind 1: cell a and its count b in one task."""
-    arrow = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+def text_key() -> tuple:
+    """Two numbers that stand for a text; null counts as empty."""
+    text = F.coalesce("text", F.lit(""))
+    return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")
+
+
+def summarize(texts: DataFrame) -> DataFrame:
+    """Rows of kind 0: doc_id, h1, h2, n_rows of a text, its set's size n and its bins; rows of kind 1: cell h1 and its count h2 in one task."""
+    arrow = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n_rows", pa.int64()), ("n", pa.int32()), ("bins", pa.binary())])
 
     def run(batches):
         sketch = np.zeros(CELLS, np.int64)
         for part in batches:
-            n, a, b = (np.zeros(part.num_rows, np.int64) for _ in range(3))
-            met: list[np.ndarray] = []
-            for row, s in sets_of(part.column(1)):
-                n[row] = len(s)
-                if len(s):
-                    met.append(cells(s))
-                    a[row], b[row] = as_long(np.array([mix(s + _U(1)).sum(dtype=np.uint64), mix(s * _U(3)).sum(dtype=np.uint64)], np.uint64))
-            if met:
-                sketch += np.bincount(np.concatenate(met), minlength=CELLS)
-            yield batch(arrow, np.zeros(part.num_rows, np.int32), part.column(0), n, a, b)
+            for first, tokens, at, row in sets_of(part.column("text")):
+                m = len(at) - 1
+                sketch += np.bincount(cells(tokens), minlength=CELLS)
+                bins = np.minimum(np.bincount(row * BINS + (tokens & _U(BINS - 1)).astype(np.int64), minlength=m * BINS), FULL).astype(np.uint8)
+                offsets = pa.py_buffer((np.arange(m + 1) * BINS).astype(np.int32))
+                own = [part.column(c).slice(first, m) for c in ("doc_id", "h1", "h2", "n_rows")]
+                yield batch(arrow, np.zeros(m, np.int32), *own, np.diff(at), pa.Array.from_buffers(pa.binary(), m, [None, offsets, pa.py_buffer(bins)]))
         at = np.flatnonzero(sketch)
-        yield batch(arrow, np.ones(len(at), np.int32), pa.nulls(len(at), pa.int64()), np.zeros(len(at), np.int64), at, sketch[at])
+        none = pa.nulls(len(at), pa.int64())
+        yield batch(arrow, np.ones(len(at), np.int32), none, at, sketch[at], none, np.zeros(len(at), np.int32), pa.nulls(len(at), pa.binary()))
         give_back()
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, a long, b long")
+    return texts.mapInArrow(run, "kind int, doc_id long, h1 long, h2 long, n_rows long, n int, bins binary")
 
 
 def choose_boundary(sizes: dict[int, int], sketch: np.ndarray) -> int:
@@ -131,60 +157,77 @@ def subset_keys(s: np.ndarray, c: int) -> np.ndarray:
     return mix(chosen.sum(axis=1, dtype=np.uint64) + _U(c))
 
 
-def list_entries(docs: DataFrame, sketch: np.ndarray, boundary: int) -> DataFrame:
+def list_entries(texts: DataFrame, sketch: np.ndarray, boundary: int) -> DataFrame:
     """(token, doc_id, n, pos) of every set's subsets (pos -1) or prefix tokens (pos in the order rare first)."""
     arrow = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
-    rarity = docs.sparkSession.sparkContext.broadcast(np.log2(sketch + 1.0).astype(np.uint64))
+    rarity = texts.sparkSession.sparkContext.broadcast(np.log2(sketch + 1.0).astype(np.uint64) << _U(56))
 
     def run(batches):
         rank = rarity.value
         for part in batches:
             ids = part.column(0).to_numpy(zero_copy_only=False)
-            tokens, rows, sizes, places = [], [], [], []
-
-            def add(row, n, keys, pos):
-                tokens.append(keys)
-                rows.append(np.full(len(keys), row))
-                sizes.append(np.full(len(keys), n, np.int32))
-                places.append(pos.astype(np.int32))
-
-            for row, s in sets_of(part.column(1)):
-                n = len(s)
-                if 0 < n <= boundary:
-                    for c in sorted(subset_sizes(n, boundary)):
-                        keys = subset_keys(s, c)
-                        add(row, n, keys, np.full(len(keys), -1))
-                if n and n * DEN >= NUM * (boundary + 1):
-                    p = probe_length(n)
-                    key = (rank[cells(s)] << _U(56)) | (mix(s) >> _U(8))
-                    first = np.argsort(key)[:p]
-                    add(row, n, s[first], np.arange(p))
-            if tokens:
-                yield batch(arrow, as_long(np.concatenate(tokens)), ids[np.concatenate(rows)], np.concatenate(sizes), np.concatenate(places))
+            for first, flat, at, _ in sets_of(part.column(1)):
+                key = rank[cells(flat)] | (mix(flat) >> _U(8))
+                tokens, rows, places = [], [], []
+                for k in range(len(at) - 1):
+                    s, n = flat[at[k] : at[k + 1]], int(at[k + 1] - at[k])
+                    if 0 < n <= boundary:
+                        for c in sorted(subset_sizes(n, boundary)):
+                            keys = subset_keys(s, c)
+                            tokens.append(keys)
+                            rows.append(np.full(len(keys), k))
+                            places.append(np.full(len(keys), -1, np.int32))
+                    if n and n * DEN >= NUM * (boundary + 1):
+                        p = probe_length(n)
+                        tokens.append(s[key[at[k] : at[k + 1]].argsort()[:p]])
+                        rows.append(np.full(p, k))
+                        places.append(np.arange(p, dtype=np.int32))
+                if tokens:
+                    row = np.concatenate(rows)
+                    yield batch(arrow, as_long(np.concatenate(tokens)), ids[first + row], np.diff(at)[row].astype(np.int32), np.concatenate(places))
         give_back()
 
-    return docs.mapInArrow(run, "token long, doc_id long, n int, pos int")
+    return texts.mapInArrow(run, "token long, doc_id long, n int, pos int")
 
 
-def may_link(n: int, i: int, m: int, j: int) -> bool:
+def may_link(n, i, m, j):
     """Whether sets of n <= m that share a token in places i and j of their orders, none before, can link. -1: an equal subset."""
-    if DEN * n < NUM * m:
-        return False
-    if i < 0 or j < 0:
-        return i == j
-    if i >= index_length(n) or (n == m and j >= index_length(m)):
-        return False
-    return 1 + min(n - 1 - i, m - 1 - j) >= least_overlap(n, m)
+    subset = (i < 0) | (j < 0)
+    first = np.where(n == m, np.maximum(i, j), i) < index_length(n)
+    reach = 1 + np.minimum(n - 1 - i, m - 1 - j) >= least_overlap(n, m)
+    return (DEN * n >= NUM * m) & np.where(subset, i == j, first & reach)
 
 
-def size_class(n: int) -> int:
+def size_class(n: np.ndarray) -> np.ndarray:
     """Sets that can link are of the same or of neighbouring classes."""
-    return int(math.log(n) / math.log(DEN / NUM) + 1e-9)
+    return (np.log(n) / np.log(DEN / NUM) + 1e-9).astype(np.int64)
 
 
 LEADERS = ("lead0", "lead1", "lead2")
 
 
+def leaders_met(number: np.ndarray, doc: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """For rows of lists (by number, in order): the row of the leader met in each of three classes, -1 where none, and the
+    rows that lead a class of their list."""
+    kind = size_class(n)
+    key = number * 1024 + kind
+    led, leader = np.unique(key, return_index=True)
+    met = []
+    for c in (0, -1, 1):
+        at = np.minimum(np.searchsorted(led, key + c), len(led) - 1)
+        x = np.where(led[at] == key + c, leader[at], len(key))
+        use = np.flatnonzero((x < np.arange(len(key))))
+        y = x[use]
+        use, y = use[doc[y] != doc[use]], y[doc[y] != doc[use]]
+        swap = (n[y] > n[use]) | ((n[y] == n[use]) & (doc[y] > doc[use]))
+        s, t = np.where(swap, use, y), np.where(swap, y, use)
+        fits = may_link(n[s].astype(np.int64), pos[s], n[t].astype(np.int64), pos[t])
+        out = np.full(len(key), -1)
+        out[use[fits]] = y[fits]
+        met.append(out)
+    return met, leader
+
+
 def scan_lists(entries: DataFrame) -> DataFrame:
     """Members of lists of two or more, each with the leaders that it meets there: of its size class and of both beside it.
 
@@ -194,129 +237,165 @@ def scan_lists(entries: DataFrame) -> DataFrame:
     arrow = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), *((c, pa.int64()) for c in LEADERS)])
 
     def run(batches):
-        held, joined = None, False  # the last row read, and whether its list has begun before it
-        token_now, leaders = None, {}
-        out: list[tuple] = []
-
-        def emit(t, d, n, pos):
-            nonlocal token_now, leaders
-            if t != token_now:
-                token_now, leaders = t, {}
-            k = size_class(n)
-            met = []
-            for c in (k, k - 1, k + 1):
-                x = leaders.get(c)
-                if x is None or x[0] == d:
-                    met.append(None)
-                else:
-                    small = (x[1], x[2], n, pos) if (x[1], x[0]) < (n, d) else (n, pos, x[1], x[2])
-                    met.append(x[0] if may_link(*small) else None)
-            leaders.setdefault(k, (d, n, pos))
-            out.append((t, d, n, pos, *met))
-
-        def flush():
-            cols = list(zip(*out, strict=True))
-            out.clear()
-            return batch(arrow, *(pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)))
+        held = None  # the last row read, not given out yet
+        joined = False  # whether its list has begun before it
+        old = None  # leaders of the list that goes on, already given out
+
+        def give(rows):
+            """Out of complete and beginning lists, after the leaders of the list that went on before."""
+            nonlocal old
+            token = rows[0]
+            if old is not None and (not len(token) or token[0] != old[0][0]):
+                old = None
+            before = len(old[0]) if old is not None else 0
+            token, doc, n, pos = (np.concatenate([a, b]) for a, b in zip(old, rows, strict=True)) if before else rows
+            number = np.cumsum(np.r_[False, token[1:] != token[:-1]])
+            met, leader = leaders_met(number, doc, n, pos)
+            last = leader[number[leader] == number[-1]]
+            old = token[last], doc[last], n[last], pos[last]
+            own = slice(before, None)
+            return batch(arrow, token[own], doc[own], n[own], pos[own], *(pa.array(doc[x[own]], mask=x[own] < 0) for x in met))
 
         for part in batches:
-            token, doc, n, pos = (c.to_numpy(zero_copy_only=False) for c in part.columns)
-            if not len(token):
+            rows = [c.to_numpy(zero_copy_only=False) for c in part.columns]
+            if not len(rows[0]):
                 continue
             if held is not None:
-                token, doc, n, pos = np.r_[held[0], token], np.r_[held[1], doc], np.r_[held[2], n], np.r_[held[3], pos]
+                rows = [np.concatenate([a, b]) for a, b in zip(held, rows, strict=True)]
+            token = rows[0]
             same = token[1:] == token[:-1]
             before = np.r_[joined, same]
-            use = before[:-1] | same
-            for row in zip(token[:-1][use].tolist(), doc[:-1][use].tolist(), n[:-1][use].tolist(), pos[:-1][use].tolist(), strict=True):
-                emit(*row)
-            held = (int(token[-1]), int(doc[-1]), int(n[-1]), int(pos[-1]))
-            joined = bool(before[-1])
-            if out:
-                yield flush()
+            use = np.flatnonzero(before[:-1] | same)
+            if len(use):
+                yield give([x[use] for x in rows])
+            held, joined = [x[-1:] for x in rows], bool(before[-1])
         if held is not None and joined:
-            emit(*held)
-            yield flush()
+            yield give(held)
 
     ordered = entries.repartition("token").sortWithinPartitions("token", "pos", "n", "doc_id")
     return ordered.mapInArrow(run, "token long, doc_id long, n int, pos int, " + ", ".join(f"{c} long" for c in LEADERS))
 
 
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (a, b) with linked: whether the whole texts' sets link."""
-    spark = docs.sparkSession
+def bounded(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bins leave room for the overlap that they need. sets: doc_id, n, bins."""
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for part in batches:
+            bins = [np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("bins_a", "bins_b")]
+            n, m = (part.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
+            most = np.minimum(*bins).sum(axis=1, dtype=np.int64)
+            full = ((bins[0] == FULL) & (bins[1] == FULL)).any(axis=1)
+            fits = (most >= least_overlap(n, m)) | full
+            yield batch(arrow, *(part.column(c).filter(pa.array(fits)) for c in ("a", "b")))
+
+    known = pairs
+    for c in ("b", "a"):
+        known = known.join(sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bins").alias(f"bins_{c}")), c)
+    return known.mapInArrow(run, "a long, b long").distinct()
+
+
+def verify(texts: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole texts' sets link. texts: doc_id, text."""
+    spark = texts.sparkSession
+    pairs = materialize(bounded(sets, pairs), "bounded")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialize(docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
-    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
+    own = materialize(texts.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def whole(column: pa.Array) -> list[np.ndarray]:
+        return [tokens[at[k] : at[k + 1]] for _, tokens, at, _ in sets_of(column) for k in range(len(at) - 1)]
 
     def run(batches):
         for part in batches:
             a = part.column(0).to_numpy(zero_copy_only=False)
-            _, at, back = np.unique(a, return_index=True, return_inverse=True)
-            left = [s for _, s in sets_of(part.column(2).take(pa.array(at)))]
-            linked = np.zeros(part.num_rows, bool)
-            for row, s in sets_of(part.column(3)):
-                other = left[back[row]]
-                both = len(np.intersect1d(other, s, assume_unique=True))
-                linked[row] = both > 0 and DEN * both >= NUM * (len(other) + len(s) - both)
-            yield batch(arrow, part.column(0), part.column(1), linked)
+            new = np.r_[True, a[1:] != a[:-1]]  # rows are in the order of a: its set is made once for all that follow
+            left, left_text, linked = None, None, np.zeros(part.num_rows, bool)
+            for k, s in enumerate(whole(part.column(3))):
+                text = part.column(2)[k]
+                if new[k] or not text.equals(left_text):
+                    left, left_text = whole(part.column(2).slice(k, 1))[0], text
+                both = len(np.intersect1d(left, s, assume_unique=True))
+                linked[k] = both > 0 and DEN * both >= NUM * (len(left) + len(s) - both)
+            yield batch(arrow, *(part.column(c).filter(pa.array(linked)) for c in (0, 1)))
         give_back()
 
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    with_b = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = with_b.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     with arrow_rows(spark, 256):
-        done = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean"), "verified")
-    discard(texts)
+        done = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct(), "verified")
+    discard(own, pairs)
     return done
 
 
-def candidates(lists: DataFrame, of: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """Distinct pairs (a < b) that meet in a list: members and leaders, or given groups all members of different ones.
+def first_pairs(lists: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of members and the leaders that they meet."""
+    met = lists.select("doc_id", F.explode(F.array(*LEADERS)).alias("other")).where("other is not null")
+    return met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+
+
+def other_pairs(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of members of one list that are of different components and can link.
 
-    of: (doc_id, rep), the document that stands for all of the same set.
+    Of two sets that can link the larger one's size has as many binary digits as the smaller one's or one more, so members
+    meet by token and digits; the larger side of a long list is dealt out in parts of about PART, the smaller goes to each.
     """
-    if groups is None:
-        met = lists.select("doc_id", F.explode(F.array(*LEADERS)).alias("other")).where("other is not null").select(F.col("doc_id").alias("x"), F.col("other").alias("y"))
-    else:
-        known = lists.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2").select("token")
-        here = known.join(mixed, "token")
-        s, t = here.alias("s"), here.alias("t")
-        order = (F.col("s.n") < F.col("t.n")) | ((F.col("s.n") == F.col("t.n")) & (F.col("s.doc_id") < F.col("t.doc_id")))
-        tested = reduce(or_, [F.coalesce(F.col(f"{p}.{c}") == F.col(f"{q}.doc_id"), F.lit(False)) for p, q in (("s", "t"), ("t", "s")) for c in LEADERS])
-        n, m, i, j = F.col("s.n"), F.col("t.n"), F.col("s.pos"), F.col("t.pos")
-        reach = F.ceil((NUM * (n + m)) / F.lit(float(NUM + DEN)))
-        first = F.when(n == m, F.greatest(i, j)).otherwise(i) < n - F.ceil(2 * NUM * n / F.lit(float(NUM + DEN))) + 1
-        fits = (DEN * n >= NUM * m) & F.when((i < 0) | (j < 0), i == j).otherwise(first & (1 + F.least(n - 1 - i, m - 1 - j) >= reach))
-        met = s.join(t, (F.col("s.token") == F.col("t.token")) & (F.col("s.component") != F.col("t.component")) & order & ~tested & fits).select(F.col("s.doc_id").alias("x"), F.col("t.doc_id").alias("y"))
-    met = met.distinct()
-    met = met.join(of.select(F.col("doc_id").alias("x"), F.col("rep").alias("p")), "x").join(of.select(F.col("doc_id").alias("y"), F.col("rep").alias("q")), "y")
-    return met.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    known = lists.select("token", "doc_id", "n", "pos").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2")
+    here = known.join(mixed.select("token", F.ceil(F.col("size") / PART).alias("parts")), "token")
+    digits = F.length(F.bin(F.col("n").cast("long")))
+    s = here.withColumn("digits", F.explode(F.array(digits, digits + 1))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("s")
+    t = here.withColumn("digits", digits).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("t")
+    n, m, i, j = F.col("s.n"), F.col("t.n"), F.col("s.pos"), F.col("t.pos")
+    order = (n < m) | ((n == m) & (F.col("s.doc_id") < F.col("t.doc_id")))
+    least = F.expr(f"({NUM} * (s.n + t.n) + {NUM + DEN - 1}) div {NUM + DEN}")
+    prefix = F.expr(f"s.n - (2 * {NUM} * s.n + {NUM + DEN - 1}) div {NUM + DEN} + 1")
+    first = F.when(n == m, F.greatest(i, j)).otherwise(i) < prefix
+    fits = (DEN * n >= NUM * m) & F.when((i < 0) | (j < 0), i == j).otherwise(first & (1 + F.least(n - 1 - i, m - 1 - j) >= least))
+    same = (F.col("s.token") == F.col("t.token")) & (F.col("s.digits") == F.col("t.digits")) & (F.col("s.part") == F.col("t.part"))
+    met = s.join(t, same & (F.col("s.component") != F.col("t.component")) & order & fits)
+    return met.select(F.least("s.doc_id", "t.doc_id").alias("a"), F.greatest("s.doc_id", "t.doc_id").alias("b")).distinct()
+
+
+def by_text(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows (doc_id, h1, h2) with rep and n of their text: texts of very many rows are broadcast, fewer than HOT of them."""
+    key = ["h1", "h2"]
+    total = rows.count()
+    frequent = F.col("n_rows") * HOT > total
+    found = texts.select(*key, F.col("doc_id").alias("rep"), "n", "n_rows")
+    hot = F.broadcast(found.where(frequent).drop("n_rows"))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(*key), key, "left_anti").join(found.where(~frequent).drop("n_rows"), key)).drop(*key)
 
 
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = docs.where("doc_id is not null")
-    seen = materialize(summarize(docs), "sets")
-    sets = seen.where("kind = 0").select("doc_id", "n", "a", "b")
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *text_key())
+    # one row a text, with its smallest doc_id; whole texts are put together in the tasks that read them before they move
+    distinct = keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_rows"), F.first("text").alias("text"))
+    texts = materialize(distinct, "distinct")
+    seen = materialize(summarize(texts), "sets")
+    sets = seen.where("kind = 0").drop("kind")
     sketch = np.zeros(CELLS, np.int64)
-    for r in seen.where("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).collect():  # at most CELLS rows
-        sketch[r["a"]] = r["b"]
+    for r in seen.where("kind = 1").groupBy("h1").agg(F.sum("h2").alias("h2")).collect():  # at most CELLS rows
+        sketch[r["h1"]] = r["h2"]
     sizes = {r["n"]: r["k"] for r in sets.where(F.col("n").between(1, MOST_LIGHT)).groupBy("n").agg(F.count("*").alias("k")).collect()}
-    lists = materialize(scan_lists(list_entries(known, sketch, choose_boundary(sizes, sketch))), "lists")
+    own = texts.where("doc_id is not null").select("doc_id", "text")
+    lists = materialize(scan_lists(list_entries(own, sketch, choose_boundary(sizes, sketch))), "lists")
 
-    filled = sets.where("n > 0 and doc_id is not null").dropDuplicates(["doc_id"])
-    of = materialize(filled.join(filled.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")), ["n", "a", "b"]).select("doc_id", "rep"), "same")
-    same = of.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    first = verify(known, materialize(candidates(lists, of), "pairs"))
-    links = same.unionByName(first.where("linked").select("a", "b"))
+    rows = materialize(by_text(keyed.select("doc_id", "h1", "h2"), sets), "rows")
+    same = rows.where("doc_id <> rep and n > 0").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    met = materialize(first_pairs(lists), "pairs")
+    links = same.unionByName(verify(own, sets, met))
     groups = components(links)
-    more = materialize(candidates(lists, of, groups).join(first, ["a", "b"], "left_anti"), "pairs")
+    more = materialize(other_pairs(lists, groups).join(met, ["a", "b"], "left_anti"), "pairs")
+    discard(lists, met)
     if more.limit(1).count():
-        groups = components(links.unionByName(verify(known, more).where("linked").select("a", "b")))
-    out = sets.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        groups = components(links.unionByName(verify(own, sets, more)))
+    discard(texts, more)
+    out = rows.where("doc_id is not null").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    out = out.unionByName(rows.where("doc_id is null").withColumn("component", F.lit(None).cast("long")))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
