@@ -27,9 +27,15 @@ def strip_js(text: Column) -> Column:
 
 
 def normalize_term(text: Column) -> Column:
-    """Compatibility decomposition, no diacritics, lower case, then trimmed; null stays null."""
+    """Compatibility decomposition, no diacritics, lower case, then trimmed; null stays null.
+
+    ASCII text decomposes to itself and has two diacritics only. Other text is rid of its most frequent marks by a class of
+    one range first; the class of all others is tried on characters beyond ASCII alone.
+    """
+    ascii_ = F.length(text) == F.octet_length(text)
     decomposed = F.when(text.isNotNull(), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(True)))
-    return strip_js(F.lower(F.regexp_replace(decomposed, diacritics(), "")))
+    other = F.regexp_replace(decomposed, f"[\\x{{300}}-\\x{{34e}}^`]|(?![\\x{{0}}-\\x{{7f}}]){diacritics()}", "")
+    return strip_js(F.lower(F.when(ascii_, F.translate(text, "^`", "")).otherwise(other)))
 
 
 def search_text(*parts: Column) -> Column:
@@ -97,6 +103,11 @@ def query_parameter(url: Column, name: str, default: str = "") -> Column:
     return F.when(url.rlike(rf"[?&]{name}="), F.url_decode(raw)).otherwise(F.lit(default))
 
 
+def is_home(path: Column) -> Column:
+    """Whether a path is the front page, which has a theme of its own."""
+    return path == "/"
+
+
 def trailing_slash(path: Column) -> Column:
     """Page paths get a slash at their end, before the query string; other paths stay."""
     return F.regexp_replace(path, r"^(/flavor/[^/?]+|/atlas|/methodology)(\?.*)?$", "$1/$2")

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notegrid.functions import range_track
+from notegrid.operators.related import related
+from notegrid.sources.tables import DIMENSION_IDS
+
 
 class NotFound(LookupError):
     """No row has the key that was asked for."""
@@ -55,9 +59,26 @@ def assets_with_descriptors(assets: DataFrame, df: DataFrame) -> DataFrame:
     return assets.join(df.select("slug", F.struct(*df.columns).alias("descriptor")), "slug")
 
 
-def specimen(df: DataFrame, slug: str, categories: DataFrame, sources: DataFrame) -> DataFrame:
-    """One descriptor with its category and the names of its sources in registry order."""
-    row = with_category(by_slug(df, slug), categories, "categoryId", "id", {"labels": "category"} if "labels" not in df.columns else {"shortLabel": "category"})
+def decoded_or_null(df: DataFrame, categories: DataFrame, key: str, category_key: str, label: str, name: str) -> DataFrame:
+    """df with the label of a category key that may be null or unknown, null then."""
+    names = F.broadcast(categories.select(F.col(category_key).alias("_key"), F.col(label).alias(name)))
+    return df.join(names, df[key] == F.col("_key"), "left").drop("_key")
+
+
+def specimens(df: DataFrame, asked: DataFrame, categories: DataFrame, sources: DataFrame, k: int = 4) -> DataFrame:
+    """The pages of some descriptors of df, one row each: the record with its category, the names of its sources in registry
+    order, its k related slugs, nearest first, its six range tracks in the order of dimensions, and its note, if any."""
+    profile = F.array(*[F.col(f"sensoryAssociation.{d}.typical") for d in DIMENSION_IDS])
+    near = related(df.withColumn("_profile", profile), asked.withColumn("_profile", profile), "ordinal", "_profile", "categoryId", k)
+    near = near.join(df.select(F.col("ordinal").alias("key"), F.col("slug").alias("_near")), "key").groupBy(F.col("query").alias("ordinal"))
+    near = near.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "_near"))), lambda s: s["_near"]).alias("related"))  # k entries at most
+    row = with_category(asked, categories, "categoryId", "id", {"shortLabel": "category"})
     names = members(row.select("slug", "sourceIds"), F.col("sourceIds"), sources.select(F.col("id").alias("source_id"), F.col("ordinal").alias("source_ord"), F.col("name")), "source_id")
     listed = names.groupBy("slug").agg(F.transform(F.sort_array(F.collect_list(F.struct("source_ord", "name"))), lambda s: s["name"]).alias("sources"))
-    return row.join(listed, "slug", "left")
+    tracks = [F.struct(F.lit(d).alias("dim"), range_track(*[F.col(f"sensoryAssociation.{d}.{p}") for p in ("min", "typical", "max")]).alias("track")) for d in DIMENSION_IDS]
+    return row.withColumn("ranges", F.array(*tracks)).join(listed, "slug", "left").join(near, "ordinal", "left")
+
+
+def specimen(df: DataFrame, slug: str, categories: DataFrame, sources: DataFrame) -> DataFrame:
+    """The page of one descriptor; NotFound if there is none of that slug."""
+    return specimens(df, by_slug(df, slug), categories, sources)

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from notegrid.functions import procedural_mark
 
 
-def segments(nodes: DataFrame, total: int, position: str = "position") -> DataFrame:
+def with_total(df: DataFrame, name: str = "total") -> DataFrame:
+    """df with the number of its rows, one row that is broadcast."""
+    return df.join(F.broadcast(df.agg(F.count("*").alias(name))))
+
+
+def segments(nodes: DataFrame, position: str = "position", total: str = "total") -> DataFrame:
     """Every node with the next one's place, the last with the first's: an equi-join on positions, no global window.
 
-    nodes: position, x, y.
+    nodes: position, x, y, and total, the number of nodes.
     """
     after = nodes.select(F.col(position).alias("_p"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    return nodes.join(after, (F.col(position) + 1) % max(1, total) == F.col("_p")).drop("_p")
+    return nodes.withColumn("_next", (F.col(position) + 1) % F.col(total)).join(after, F.col("_next") == F.col("_p")).drop("_p", "_next")
 
 
 def procedural_points(df: DataFrame, seed: Column, points: int = 9) -> DataFrame:

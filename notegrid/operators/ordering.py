@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notegrid.sources.tables import with_ordinal
+
 
 def category_rank(df: DataFrame, ranks: DataFrame, category: str, rank: str = "rank") -> DataFrame:
     """df with the rank of its category; 0 for an unknown one. ranks: (category, rank), a dimension."""
@@ -16,13 +18,9 @@ def category_rank(df: DataFrame, ranks: DataFrame, category: str, rank: str = "r
 def sort_by_category_then_name(df: DataFrame, ranks: DataFrame, category: str, name: str, ordinal: str) -> DataFrame:
     """df with rank and position, from 0, by category rank, name in the root collation, and ordinal.
 
-    A position is the number of rows of lower ranks, one small aggregate, and the row number within the rank.
+    Rows are dealt out by ranges of that order, so a category of very many rows is no single task.
     """
-    ranked = category_rank(df, ranks, category)
-    sizes = ranked.groupBy("rank").agg(F.count("*").alias("size"))
-    before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("rank")) - F.col("size")).select("rank", "before")
-    within = F.row_number().over(Window.partitionBy("rank").orderBy(F.collate(F.col(name), "UNICODE"), ordinal)) - 1
-    return ranked.withColumn("within", within).join(F.broadcast(before), "rank").withColumn("position", (F.col("before") + F.col("within")).cast("long")).drop("within", "before")
+    return with_ordinal(category_rank(df, ranks, category), "rank", F.collate(F.col(name), "UNICODE"), ordinal, name="position")
 
 
 def first_k(df: DataFrame, k: int, ordinal: str = "ordinal") -> DataFrame:

@@ -1,13 +1,12 @@
 """Nearest neighbours: the k rows of the smallest key, distance less a bonus for the same category, for each query row.
 
-Query rows are a stated set. They are compared with all rows in blocks of a fixed number of query rows, each broadcast;
-every task keeps only its k best for a query row, so what is shuffled is queries x k x tasks and never the pairs.
+Query rows are a stated set. They travel as blocks, and so do all rows: a block of rows meets every block of queries and
+returns its k best for each query, so what is shuffled are blocks and queries x k x blocks of rows, never the pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,54 +14,71 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAME_CATEGORY_BONUS, DEFAULT_K = -2.0, 4
-#: Query rows that are compared together.
-BLOCK = 4096
+#: Query rows of a block, rows of a block at most, and how many queries are compared with a block of rows at once.
+QUERIES, ROWS, AT_ONCE = 4096, 8192, 64
+_PACKED = "keys array<long>, categories array<string>, profiles binary"
+
+
+def _pack(rows: pd.DataFrame) -> dict:
+    return {"keys": rows["key"].to_numpy(), "categories": rows["category"].to_numpy(), "profiles": np.array(rows["profile"].tolist(), np.float64).tobytes()}
+
+
+def _unpack(keys, categories, profiles) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.asarray(keys, np.int64), np.asarray(categories, object), np.frombuffer(profiles, np.float64).reshape(len(keys), -1)
+
+
+def nearest(asked: tuple, rows: tuple, k: int, bonus: float) -> pd.DataFrame:
+    """The k best of some rows for each of some queries; squares are added from left to right."""
+    found = []
+    (q_key, q_category, q), (key, category, x) = asked, rows
+    present = pd.notna(category)
+    for s in range(0, len(q_key), AT_ONCE):
+        own = slice(s, s + AT_ONCE)
+        total = np.zeros((len(q_key[own]), len(key)))
+        for d in range(x.shape[1]):
+            step = x[None, :, d] - q[own, d, None]
+            total += step * step
+        distance = np.sqrt(total)
+        scores = np.where((q_category[own, None] == category[None]) & present, bonus, 0.0) + distance
+        scores[q_key[own, None] == key[None]] = np.inf
+        for i in range(len(scores)):
+            use = np.flatnonzero(scores[i] <= np.partition(scores[i], k - 1)[k - 1]) if k < len(key) else np.arange(len(key))
+            use = use[np.lexsort((key[use], scores[i][use]))][:k]
+            use = use[np.isfinite(scores[i][use])]
+            found.append(pd.DataFrame({"query": q_key[s + i], "key": key[use], "distance": distance[i][use], "score": scores[i][use]}))
+    return pd.concat(found)
 
 
 def related(rows: DataFrame, queries: DataFrame, key: str, profile: str, category: str, k: int = DEFAULT_K, bonus: float = SAME_CATEGORY_BONUS) -> DataFrame:
     """(query, rank from 1, key, distance, score) of the k nearest rows of other keys for each row of queries.
 
-    Ties go by the row's key. profile: an array of numbers, squares added from left to right in double precision. Rows
-    with a null profile take no part. Fewer than k rows give fewer; k = 0 gives none.
+    Ties go by the row's key. profile: an array of numbers, all of one length, in double precision. Rows with a null profile
+    take no part. Fewer than k rows give fewer; k = 0 gives none.
     """
     if k < 0:
         raise ValueError("k must not be negative")
-    spark = rows.sparkSession
     columns = [F.col(key).cast("long").alias("key"), F.col(profile).cast("array<double>").alias("profile"), F.col(category).cast("string").alias("category")]
     asked = queries.select(*columns).where("profile is not null")
     data = rows.select(*columns).where("profile is not null")
-    count = asked.count()
-    blocks = max(1, -(-count // BLOCK))
-    parts = []
-    for block in range(blocks):
-        own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block)
-        own = own.toPandas()  # BLOCK rows on average
-        shared = spark.sparkContext.broadcast((own["key"].to_numpy(), np.array(own["profile"].tolist(), np.float64), own["category"].to_numpy()))
-
-        def nearest(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            q_key, q_profile, q_category = shared.value
-            best = pd.DataFrame(columns=["query", "key", "distance", "score"])
-            for b in batches:
-                if not len(b) or not len(q_key) or not k:
-                    continue
-                x, keys, categories = np.array(b["profile"].tolist(), np.float64), b["key"].to_numpy(), b["category"].to_numpy()
-                found = [best]
-                for i in range(len(q_key)):
-                    total = np.zeros(len(x))
-                    for d in range(x.shape[1]):
-                        step = x[:, d] - q_profile[i, d]
-                        total += step * step
-                    distance = np.sqrt(total)
-                    same = (categories == q_category[i]) & pd.notna(categories)
-                    scores = np.where(same, bonus, 0.0) + distance
-                    use = np.flatnonzero(keys != q_key[i])
-                    use = use[np.lexsort((keys[use], scores[use]))[:k]]
-                    found.append(pd.DataFrame({"query": q_key[i], "key": keys[use], "distance": distance[use], "score": scores[use]}))
-                best = pd.concat([f for f in found if len(f)] or [best])
-                best = best.sort_values(["query", "score", "key"]).groupby("query").head(k) if len(best) else best
-            if len(best):
-                yield best.astype({"query": "int64", "key": "int64"})
-
-        parts.append(data.mapInPandas(nearest, "query long, key long, distance double, score double"))
+    blocks = max(1, -(-asked.count() // QUERIES))
+
+    def pack_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for s in range(0, len(b), ROWS):
+                yield pd.DataFrame([_pack(b[s : s + ROWS])])
+
+    def pack_queries(b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"block": b["block"].iloc[0], **_pack(b)}])
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                if k:
+                    yield nearest(_unpack(r.q_keys, r.q_categories, r.q_profiles), _unpack(r.keys, r.categories, r.profiles), k, bonus)
+
+    packed = data.mapInPandas(pack_rows, _PACKED).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    wanted = asked.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).groupBy("block").applyInPandas(pack_queries, f"block long, {_PACKED}")
+    met = packed.join(wanted.select("block", *[F.col(c).alias(f"q_{c}") for c in ("keys", "categories", "profiles")]), "block")
+    best = met.mapInPandas(compare, "query long, key long, distance double, score double")
     order = Window.partitionBy("query").orderBy("score", "key")
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "key", "distance", "score")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "key", "distance", "score")

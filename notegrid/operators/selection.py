@@ -30,7 +30,7 @@ def step(selection: tuple[str, ...], item: str) -> tuple[str, ...]:
 
 
 def fold(events: DataFrame, key: str, order: list[str], item: str) -> DataFrame:
-    """(key, selection): every key's selection after its items in order; null items change nothing.
+    """(key, selection): every key's selection, an array, after its items in order; null items change nothing.
 
     A key's rows come sorted to one task and are read as a stream; the state of a key is two items however many rows it has.
     """
@@ -42,16 +42,16 @@ def fold(events: DataFrame, key: str, order: list[str], item: str) -> DataFrame:
             for k, x in zip(b["key"], b["item"], strict=True):
                 if not began or k != key_now:
                     if began:
-                        done.append((key_now, ",".join(state)))
+                        done.append((key_now, list(state)))
                     key_now, state, began = k, (), True
                 if x is not None:
                     state = step(state, x)
             if done:
                 yield pd.DataFrame(done, columns=["key", "selection"])
         if began:
-            yield pd.DataFrame([(key_now, ",".join(state))], columns=["key", "selection"])
+            yield pd.DataFrame([(key_now, list(state))], columns=["key", "selection"])
 
     rows = events.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(item).cast("string").alias("item"))
     ordered = rows.repartition("key").sortWithinPartitions("key", *[f"o{i}" for i in range(len(order))])
     kind = dict(rows.dtypes)["key"]
-    return ordered.select("key", "item").mapInPandas(run, f"key {kind}, selection string").withColumnRenamed("key", key)
+    return ordered.select("key", "item").mapInPandas(run, f"key {kind}, selection array<string>").withColumnRenamed("key", key)

@@ -1,6 +1,6 @@
 """Validation: rules as columns, findings as rows.
 
-An issue is (table, ordinal, key, path, code, message). Rules of one record are independent of each other: a range out of
+An issue is (table, ordinal, key, place, path, code, message). Rules of one record are independent of each other: a range out of
 bounds is also tested for its order. ``validate`` returns every issue; ``check`` raises at the first failing step, in the
 order records, uniqueness, references.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notegrid.functions import strip_js
-from notegrid.sources.tables import CATEGORY, CONFIDENCE_LABELS, DESCRIPTOR, DIMENSION_IDS, EVIDENCE_LABELS, MODALITY_LABELS, SOURCE, STATUS_LABELS, schema_of
+from notegrid.sources.tables import CATEGORY, CONFIDENCE_LABELS, DESCRIPTOR, DIMENSION_IDS, EVIDENCE_LABELS, MODALITY_LABELS, SOURCE, STATUS_LABELS, schema_of, stored
 
 #: Members of the enumerations that have no labels.
 MOTIONS = ("breathe", "bloom", "drift", "echo")
@@ -24,7 +24,16 @@ REUSE_POLICIES = ("reference_only", "open_reuse", "project_created")
 
 
 class Invalid(ValueError):
-    """Tables that fail validation; the message lists the findings of the first failing step."""
+    """Tables that fail validation. issues: all findings of the first failing step, a DataFrame; str() reads them in order, as
+    a stream, and joins their messages by line ends."""
+
+    def __init__(self, issues: DataFrame) -> None:
+        super().__init__()
+        self.issues = issues
+
+    def __str__(self) -> str:
+        rows = self.issues.orderBy("ordinal", "place", "path").toLocalIterator()
+        return "\n".join(f"{r['table']} {r['key']} {r['path']}: {r['message']}" for r in rows)
 
 
 @dataclass(frozen=True)
@@ -106,12 +115,12 @@ def descriptor_rules(notes_for_boundary: bool = False) -> list[Rule]:
 
 
 def record_issues(df: DataFrame, table: str, rules: Sequence[Rule], key: str = "id", ordinal: str = "ordinal") -> DataFrame:
-    """One row for every rule that a row breaks; one pass over df."""
+    """One row for every rule that a row breaks, place being the rule's number; one pass over df."""
     found = F.filter(
         F.array(*[F.when(r.broken, F.struct(F.lit(i).alias("n"), F.lit(r.path).alias("path"), F.lit(r.code).alias("code"), F.lit(r.message).alias("message"))) for i, r in enumerate(rules)]), lambda x: x.isNotNull()
     )
     issues = df.select(F.lit(table).alias("table"), F.col(ordinal).cast("long").alias("ordinal"), F.col(key).cast("string").alias("key"), F.explode(found).alias("i"))
-    return issues.select("table", "ordinal", "key", "i.path", "i.code", "i.message")
+    return issues.select("table", "ordinal", "key", F.col("i.n").alias("place"), "i.path", "i.code", "i.message")
 
 
 def duplicates(df: DataFrame, *keys: str) -> DataFrame:
@@ -123,7 +132,7 @@ def unique_issues(df: DataFrame, table: str, column: str, ordinal: str = "ordina
     """One row for every repeated value, at its first repeat."""
     rows = df.groupBy(column).agg(F.count("*").alias("n"), F.min(ordinal).alias("first")).where("n > 1").select(F.col(column).alias("_v"), "first")
     again = df.join(rows, df[column] == F.col("_v")).where(F.col(ordinal) > F.col("first")).groupBy("_v").agg(F.min(ordinal).alias("at"))
-    return again.select(F.lit(table).alias("table"), F.col("at").cast("long").alias("ordinal"), F.col("_v").cast("string").alias("key"), F.lit(column).alias("path"), F.lit("not_unique").alias("code"), F.lit("must be unique").alias("message"))
+    return again.select(F.lit(table).alias("table"), F.col("at").cast("long").alias("ordinal"), F.col("_v").cast("string").alias("key"), F.lit(0).alias("place"), F.lit(column).alias("path"), F.lit("not_unique").alias("code"), F.lit("must be unique").alias("message"))
 
 
 def missing(df: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
@@ -137,7 +146,7 @@ def reference_issues(descriptors: DataFrame, categories: DataFrame, sources: Dat
     listed = descriptors.select("ordinal", "slug", F.posexplode("sourceIds").alias("at", "source"))
     many = missing(listed, "source", sources, "id").select("ordinal", "slug", "at", F.lit("sourceIds").alias("path"), F.concat(F.col("slug"), F.lit(" references missing source "), "source").alias("message"))
     both = one.unionByName(many)
-    return both.select(F.lit("descriptors").alias("table"), "ordinal", F.col("slug").alias("key"), F.concat_ws(".", "path", F.when(F.col("at") >= 0, F.col("at").cast("string"))).alias("path"), F.lit("missing_reference").alias("code"), "message")
+    return both.select(F.lit("descriptors").alias("table"), "ordinal", F.col("slug").alias("key"), F.col("at").alias("place"), F.concat_ws(".", "path", F.when(F.col("at") >= 0, F.col("at").cast("string"))).alias("path"), F.lit("missing_reference").alias("code"), "message")
 
 
 def trimmed(df: DataFrame, schema: str) -> DataFrame:
@@ -166,14 +175,21 @@ def validate(categories: DataFrame, sources: DataFrame, descriptors: DataFrame,
 
 
 def check(categories: DataFrame, sources: DataFrame, descriptors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The three tables, trimmed to what is declared; Invalid with the first failing step's issues (100 at most) if any."""
+    """The three tables, trimmed to what is declared; Invalid with all issues of the first failing step if there are any."""
     tables = trimmed(categories, CATEGORY), trimmed(sources, SOURCE), trimmed(descriptors, DESCRIPTOR)
-    issues = validate(*tables).cache()
-    try:
-        first = issues.agg(F.min("step")).first()[0]
-        if first is not None:
-            rows = issues.where(F.col("step") == first).orderBy("ordinal", "path").limit(100).collect()
-            raise Invalid("\n".join(f"{r['table']} {r['key']} {r['path']}: {r['message']}" for r in rows))
-    finally:
-        issues.unpersist()
+    issues = stored(validate(*tables))
+    first = issues.agg(F.min("step")).first()[0]
+    if first is not None:
+        raise Invalid(issues.where(F.col("step") == first))
     return tables
+
+
+def joined_messages(issues: DataFrame) -> DataFrame:
+    """(table, ordinal, key, messages): a record's messages in the order of their places, joined by line ends."""
+    listed = F.sort_array(F.collect_list(F.struct("place", "path", "message")))  # at most one entry a rule and reference of the record
+    return issues.groupBy("table", "ordinal", "key").agg(F.array_join(F.transform(listed, lambda m: m["message"]), "\n").alias("messages"))
+
+
+def every(df: DataFrame, holds: Column, *keys: str) -> DataFrame:
+    """(keys, every): whether all rows of each key, or of df, hold; null does not hold, no rows do."""
+    return df.groupBy(*keys).agg(F.coalesce(F.bool_and(F.coalesce(holds, F.lit(False))), F.lit(True)).alias("every"))

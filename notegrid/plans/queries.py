@@ -238,16 +238,15 @@ FROM ({_SQL_SCORED}, CAST({_SEED} AS BIGINT) AS seed, count(*) OVER () AS n FROM
 """
 
 
-def _field(t) -> tuple[DataFrame, int]:
-    total = t("part").count()
-    p = _scored(_ranked_parts(t)).withColumn("seed", fn.char_seed(F.col("p_name")))
-    p = p.withColumn("at", fn.field_position(F.col("seed"), F.col("position"), F.lit(total), F.col("sweet"), F.col("sour")))
-    return p.select("p_partkey", "position", "seed", "at.x", "at.y", fn.node_size(F.col("aroma")).alias("size")), total
+def _field(t) -> DataFrame:
+    p = layout.with_total(_scored(_ranked_parts(t))).withColumn("seed", fn.char_seed(F.col("p_name")))
+    p = p.withColumn("at", fn.field_position(F.col("seed"), F.col("position"), F.col("total"), F.col("sweet"), F.col("sour")))
+    return p.select("p_partkey", "position", "total", "seed", "at.x", "at.y", fn.node_size(F.col("aroma")).alias("size"))
 
 
 @query(f"SELECT p_partkey, position, seed, round(x, 6) AS x, round(y, 6) AS y, round(size, 6) AS size FROM ({_FIELD})")
 def field_layout(t) -> DataFrame:
-    return _field(t)[0].withColumns({c: r6(F.col(c)) for c in ("x", "y", "size")})
+    return _field(t).drop("total").withColumns({c: r6(F.col(c)) for c in ("x", "y", "size")})
 
 
 @query(f"""
@@ -255,8 +254,7 @@ SELECT a.p_partkey, round(a.x, 6) AS x, round(a.y, 6) AS y, round(b.x, 6) AS x2,
 FROM ({_FIELD}) a JOIN ({_FIELD}) b ON b.position = (a.position + 1) % (SELECT count(*) FROM part)
 """)
 def field_segments(t) -> DataFrame:
-    nodes, total = _field(t)
-    out = layout.segments(nodes.select("p_partkey", "position", "x", "y"), total)
+    out = layout.segments(_field(t).select("p_partkey", "position", "total", "x", "y"))
     return out.select("p_partkey", *[r6(F.col(c)).alias(c) for c in ("x", "y", "x2", "y2")])
 
 
@@ -307,7 +305,7 @@ SELECT user_id, list_reduce(list_prepend('', list(event_type ORDER BY ts, event_
 FROM events GROUP BY user_id
 """)
 def selection_fold(t) -> DataFrame:
-    return selection.fold(t("events"), "user_id", ["ts", "event_id"], "event_type")
+    return selection.fold(t("events"), "user_id", ["ts", "event_id"], "event_type").withColumn("selection", F.array_join("selection", ","))
 
 
 @query("""

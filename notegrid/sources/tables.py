@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,16 +60,36 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema_of(schema)).parquet(path)
 
 
-def with_ordinal(df: DataFrame, *order: str) -> DataFrame:
-    """Number rows by a unique order, without a single-task sort: ranks within ranges, and the ranges' sizes before them."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
-    placed = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n")).collect()  # one row for each partition
-    before, total = {}, 0
-    for r in sorted(sizes, key=lambda r: r["_part"]):
-        before[r["_part"]], total = total, total + r["_n"]
-    offset = F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
-    return placed.withColumn("ordinal", F.col("_row") + offset[F.col("_part").cast("long")]).drop("_part", "_row")
+_own_dir: dict[str, str] = {}
+
+
+def new_path(spark: SparkSession) -> str:
+    """A path for a new table in the folder that spark.checkpoint.dir names. Only a local session may name none."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        place = _own_dir.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-shared-"))
+    return f"{place.rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet and read back."""
+    path = new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_ordinal(df: DataFrame, *order: str | Column, name: str = "ordinal") -> DataFrame:
+    """Number rows from 0 by a unique order, without a single-task sort: rows are dealt out by ranges and sorted there; a row's
+    number is its number within its range and the sizes of the ranges before, one small row each."""
+    keys = {f"_o{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(order)}
+    ranged = df.withColumns(keys).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys)
+    # an id is the task's number and, in its lower 33 bits, the row's number within the task
+    placed = stored(ranged.withColumn("_id", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_id", 33)).withColumn("_row", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_row")).drop("_id", "_part", "_row", "_before")
 
 
 def dimension_table(spark: SparkSession) -> DataFrame:

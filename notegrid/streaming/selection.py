@@ -16,13 +16,13 @@ def selections(events: DataFrame, key: str, order: str, item: str) -> DataFrame:
     """(key, selection) of every key that got items in a micro-batch, after them in order; output mode update."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        selection = tuple(state.get[0].split(",")) if state.exists and state.get[0] else ()
+        selection = tuple(state.get[0]) if state.exists else ()
         rows = pd.concat(list(batches)).sort_values("order", kind="stable")
         for x in rows["item"]:
             if x is not None:
                 selection = step(selection, x)
-        state.update((",".join(selection),))
-        yield pd.DataFrame({"key": [k[0]], "selection": [",".join(selection)]})
+        state.update((list(selection),))
+        yield pd.DataFrame({"key": [k[0]], "selection": [list(selection)]})
 
     rows = events.select(F.col(key).cast("string").alias("key"), F.col(order).alias("order"), F.col(item).cast("string").alias("item"))
-    return rows.groupBy("key").applyInPandasWithState(run, "key string, selection string", "selection string", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(run, "key string, selection array<string>", "selection array<string>", "update", GroupStateTimeout.NoTimeout)

@@ -78,6 +78,8 @@ def test_lookups(spark):
         catalog.by_slug(d, "none")
     page = catalog.specimen(d, "plum", c, s).first()
     assert page["sources"] == ["Book", "Own"] and page["category"]["en"] == "Fr"
+    assert page["related"] == ["apple", "rose", "ash"] and [r["dim"] for r in page["ranges"]] == list(DIMENSION_IDS)
+    assert (page["ranges"][1]["track"]["left"], page["ranges"][1]["track"]["typical"]) == (50.0, 60.0) and catalog.specimen(d, "rose", c, s).first()["editorialNote"]["en"] == "note"
     asked = spark.createDataFrame([(1, ["rose", "none", "plum", "rose"])], "r int, want array<string>")
     assert [x["slug"] for x in catalog.selected(asked, F.col("want"), d, "slug").orderBy("pos").collect()] == ["rose", "plum", "rose"]
     assets = spark.createDataFrame([("rose", "bloom")], "slug string, motionFamily string")
@@ -106,7 +108,7 @@ def test_ordinals(spark):
 
 def test_segments_are_circular(spark):
     nodes = spark.createDataFrame([(i, float(i), float(-i)) for i in range(3)], "position long, x double, y double")
-    assert [r["x2"] for r in layout.segments(nodes, 3).orderBy("position").collect()] == [1.0, 2.0, 0.0]
+    assert [r["x2"] for r in layout.segments(layout.with_total(nodes)).orderBy("position").collect()] == [1.0, 2.0, 0.0]
     assert layout.procedural_points(nodes, F.col("position")).count() == 27
 
 
@@ -115,12 +117,12 @@ def fold_by_hand(items):
     for x in items:
         if x not in out:
             out = [*out, x][-2:]
-    return ",".join(out)
+    return out
 
 
 def test_selection(spark):
     rng = random.Random(3)
-    rows = [(u, i, rng.choice("abcd")) for u in range(5) for i in range(rng.randint(1, 30))]
+    rows = [(u, i, rng.choice(["a", "b", "c,d", ""])) for u in range(5) for i in range(rng.randint(1, 30))]
     df = spark.createDataFrame(rows, "u int, i int, x string")
     want = {u: fold_by_hand([x for v, _, x in rows if v == u]) for u in range(5)}
     assert dict(selection.fold(df, "u", ["i"], "x").select("u", "selection").collect()) == want

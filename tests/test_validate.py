@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import catalog_fixture as fx
 from notegrid.operators import validate
@@ -55,6 +56,16 @@ def test_duplicates_and_strict_order(spark):
     cats = [*fx.CATEGORIES, (3, *fx.CATEGORIES[0][1:])]
     with pytest.raises(validate.Invalid, match="categories floral id"):
         validate.check(fx.categories(spark, cats), fx.sources(spark), fx.descriptors(spark, twice))
+    many = [fx.descriptor(i, f"d{i}", "none", (1.0,) * 6, sourceIds=["gone", "own", "gone"]) for i in range(150)]
+    with pytest.raises(validate.Invalid) as found:
+        validate.check(fx.categories(spark), fx.sources(spark), fx.descriptors(spark, many))
+    lines = str(found.value).split("\n")
+    assert len(lines) == found.value.issues.count() == 450 and [x.split()[2] for x in lines[3:6]] == ["categoryId:", "sourceIds.0:", "sourceIds.2:"]
+    text = validate.joined_messages(found.value.issues).where("key = 'd7'").first()["messages"]
+    assert text == "d7 references missing category none\nd7 references missing source gone\nd7 references missing source gone"
+    d = fx.descriptors(spark)
+    assert [validate.every(d, x).first()["every"] for x in (F.col("ordinal") >= 0, F.col("ordinal") > 0, F.lit(None).cast("boolean"))] == [True, False, False]
+    assert validate.every(d.where("false"), F.lit(False)).first()["every"]
 
 
 def test_sources_and_notes(spark):
