@@ -501,3 +501,89 @@ def test_chat(spark):
     assert {c["level"] for c in json.loads(three[0]["message"])["tool_calls"]} == {-1} and three[0]["n_broken"] == 1 and [r["turn"] for r in three] == [0, 300, 600]
     assert sorted(r["position"] for r in out if r["conv_id"] == 2) == [0, 1]
     assert chat_format.format_messages(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_chat_odd_json(spark):
+    deep = "[" * 5000 + "]" * 5000
+    schema = lambda s: f'<tools>[{{"name": "f", "parameters": {s}}}]</tools>'
+    cases = [
+        ('{"type": "object", "properties": {"a": {"type": "integer"}}}', '{"a": 1' + "0" * 400 + "}", True), ('{"required": null, "properties": null}', '{"a": 1}', True), ('{"type": [["x"]]}', '{"a": 1}', True),
+        ('{"properties": {"a": {"enum": [1]}}}', '{"a": true}', False), ('{"properties": {"a": {"pattern": "x"}}}', '{"a": "y"}', None), ('{"properties": {"a": {"minimum": 3}}}', '{"a": 2.5}', False), ("[", '{"a": 1}', None),
+        ('{"anyOf": [{"required": ["b"]}, {"required": ["a"]}]}', '{"a": 1}', True), ('{"oneOf": [{"required": ["a"]}, {}]}', '{"a": 1}', False), ('{"properties": {"a": {"items": {"type": "string"}}}}', '{"a": ["x", 1]}', False),
+        ('{"additionalProperties": false, "properties": {"a": {}}}', '{"b": 1}', False), ('{"not": {"required": ["a"]}}', '{"a": 1}', False), ("{}", deep, "broken"), ("{}", '{"a": 1e999}', "broken"), ("{}", '{"a": NaN}', "broken"),
+        ('{"properties": {"a": {"const": 1.0}}}', '{"a": 1}', True), (deep, "{}", None),
+    ]
+    rows = []
+    for i, (s, arguments, _) in enumerate(cases):
+        rows += [(i, 0, "system", schema(s)), (i, 1, "assistant", f'<tool_call>{{"id": "c", "name": "f", "arguments": {arguments}}}</tool_call>')]
+    rows += [(90, 0, "tool", '{"tool_call_id": "c", "content": "\\ud800 x"}'), (91, 0, "tool", deep), (92, 0, "tool", '{"tool_call_id": "c", "content": ' + deep + "}"), (93, 0, "assistant", "<tool_call>[1]</tool_call><tool_call>")]
+    out = {(r["conv_id"], r["turn"]): r for r in chat_format.format_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(out) == len(rows)
+    for i, (s, arguments, want) in enumerate(cases):
+        r, message = out[i, 1], json.loads(out[i, 1]["message"])
+        if want == "broken":
+            assert r["n_calls"] == 0 and r["n_broken"] == 1 and message["content"] == rows[2 * i + 1][3]
+        elif s.count("[") < 1000 and s != "[":
+            assert [c["valid"] for c in message["tool_calls"]] == [want], (s, arguments)
+            assert r["n_invalid"] == (want is False)
+    assert json.loads(out[90, 0]["message"])["content"] == "\ud800 x" and "\\ud800" in out[90, 0]["message"] and json.loads(out[91, 0]["message"])["content"] == deep
+
+
+def chat_by_hand(rows):
+    """Links, levels and validity of well-formed calls, by plain loops."""
+    calls, needs, first, schema = {}, {}, {}, {}
+    for conv, turn, role, text in rows:
+        for raw in re.findall(r"<tools>(.*?)</tools>", text):
+            for tool in json.loads(raw):
+                schema.setdefault((conv, tool["name"]), tool["parameters"])
+        for k, raw in enumerate(re.findall(r"<tool_call>(.*?)</tool_call>", text)):
+            c = json.loads(raw)
+            calls.setdefault((conv, turn, role, text), []).append(c)
+            first[conv, c["id"]] = min(first.get((conv, c["id"]), (turn, k, c["name"])), (turn, k, c["name"]))
+            needs.setdefault((conv, c["id"]), set()).update(re.findall(r"\$\{([A-Za-z0-9_.-]+)\}", raw))
+    needs = {k: {n for n in v if (k[0], n) in needs} for k, v in needs.items()}
+
+    def level(key, above=()):
+        if key in above:
+            return None
+        below = [level((key[0], n), (*above, key)) for n in needs[key]]
+        return None if None in below else 1 + max(below, default=-1)
+
+    out = []
+    for row in rows:
+        conv, turn, role, text = row
+        made = sorted((level((conv, c["id"])) if level((conv, c["id"])) is not None else -1, c["id"], "a" not in schema.get((conv, c["name"]), {}).get("required", ()) or "a" in c["arguments"]) for c in calls.get(row, []))
+        id_ = json.loads(text)["tool_call_id"] if role == "tool" else None
+        out.append((conv, turn, role, made, "none" if role != "tool" else "linked" if (conv, id_) in first else "unlinked", first[conv, id_][2] if (conv, id_) in first else None))
+    return sorted(out, key=str), first
+
+
+def test_chat_random_calls(spark):
+    rng = random.Random(12)
+    rows = []
+    for conv in range(40):
+        ids = [f"i{k}" for k in range(rng.randint(1, 9))]
+        rows.append((conv, 0, "system", '<tools>[{"name": "f", "parameters": {"required": ["a"]}}, {"name": "g", "parameters": {}}]</tools>'))
+        for turn in range(1, rng.randint(3, 14)):
+            if rng.random() < 0.5:
+                own = rng.sample(ids, min(len(ids), rng.randint(1, 3)))
+                text = "".join(call(i, rng.choice("fg"), {rng.choice("ab"): " ".join("${" + n + "}" for n in rng.sample(ids, min(len(ids), rng.choice([0, 0, 1, 2]))) if rng.random() < 0.1 or n < i)}) for i in own)
+                rows.append((conv, turn, "assistant", text))
+            else:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": rng.choice([*ids, "zz"]), "content": turn})))
+    want, first = chat_by_hand(rows)
+    out = chat_format.format_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect()
+    got = []
+    for r in out:
+        m = json.loads(r["message"])
+        made = [(c["level"], c["id"], c["valid"]) for c in m.get("tool_calls", [])]
+        assert made == sorted(made, key=lambda c: c[0])
+        got.append((r["conv_id"], r["turn"], m["role"], sorted(made), r["link"], m.get("name")))
+    assert sorted(got, key=str) == want
+    for conv in range(40):
+        own = sorted((r for r in out if r["conv_id"] == conv), key=lambda r: r["position"])
+        assert [r["position"] for r in own] == list(range(len(own)))
+        place = {r["turn"]: r["position"] for r in own}
+        for r in own:
+            if r["link"] == "linked":
+                assert r["position"] > place[first[conv, json.loads(r["message"])["tool_call_id"]][0]]
