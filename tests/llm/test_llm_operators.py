@@ -587,3 +587,57 @@ def test_chat_random_calls(spark):
         for r in own:
             if r["link"] == "linked":
                 assert r["position"] > place[first[conv, json.loads(r["message"])["tool_call_id"]][0]]
+
+
+def test_html_matching_against_plain_recursion():
+    rng = random.Random(13)
+
+    def html(depth):
+        return "".join(f"<{t}>{html(depth - 1) if depth else 'x'}</{t}>" for t in (rng.choice(["div", "section", "ul"]) for _ in range(rng.randint(0, 4))))
+
+    def plain(a, b):
+        if a.label != b.label:
+            return 0
+        best = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+        for i, x in enumerate(a.children):
+            for j, y in enumerate(b.children):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain(x, y))
+        return best[-1][-1] + 1
+
+    for _ in range(150):
+        a, b = (html_extract.tree(html(3)) for _ in range(2))
+        matching = html_extract.Matching([a, b])
+        pairs = matching.pairs(a, b)
+        assert plain(a, b) == html_extract.match(a, b) == len(pairs) and all(x.label == y.label for x, y in pairs)
+        assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+
+
+def test_html_deep_and_wide_pages(spark):
+    import time
+
+    deep = lambda k: "<div>" * 3000 + "<b>" * 20000 + f"deep {k}"
+    wide = lambda k: "<html><body><ul>" + "".join(f"<li>{k} {i}" for i in range(6000 + k)) + "</ul></body></html>"
+    mixed = lambda k: "<li><ul>" + "<b>" * 30000 + "<li></li>" * 5000 + f"mixed {k}"
+    rows = [(k, "https://deep/", deep(k)) for k in range(5)] + [(10 + k, "https://wide/", wide(k)) for k in range(5)] + [(20 + k, "https://mixed/", mixed(k)) for k in range(5)]
+    began = time.time()
+    out = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert time.time() - began < 120
+    assert all(out[k] == f"deep {k}" and out[20 + k] == f"mixed {k}" for k in range(5))
+    assert all(out[10 + k].split("\n") == [f"{k} {i}" for i in range(6000 + k)] for k in range(5))
+
+
+def test_html_wrapper_decides(spark):
+    """No article, no known class name: what varies much is the container, what recurs at a path is template, inline markup or not."""
+    rng = random.Random(14)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    rows, want = [], {}
+    for k in range(24):
+        body = [words(rng.randint(20, 60)) for _ in range(rng.randint(2, 6))]
+        want[k] = "\n".join(body)
+        rows.append((k, f"https://w.example/{k}", (
+            f"<html><body><div class=q1><a href=/>Home</a> <a href=/a>About</a><p>{words(3)}</p></div><div class=q2><div class=q3>{''.join(f'<p>{p}</p>' for p in body)}<p>Share <b>this</b> page</p></div></div>"
+            f"<div class=q4><p>{words(2)}</p><p>All <i>rights</i> kept</p></div></body></html>"
+        )))
+    out = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == want
+    assert all(html_extract.extract(html) != want[k] for k, _, html in rows)  # without the wrapper it does not come out
