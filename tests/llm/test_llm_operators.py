@@ -273,7 +273,55 @@ def test_secrets(spark, rows):
         assert r["base_sha256"] == hashlib.sha256(secret_scan.joined(want).encode()).hexdigest()
         assert set(secret_scan.joined(want).split(",")) <= set(r["spans"].split(","))
     assert next(r for r in out if r["doc_id"] == 600)["spans"] == ""
-    assert secret_scan.learn(frame(spark, []).where("false")) == []
+    assert secret_scan.learn(frame(spark, []).where("false")).automata == []
+
+
+def likely_by_hand(text, model):
+    """Spans of kind auto: every candidate by itself, a symbol at a time."""
+    found = []
+    for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", text):
+        cuts = [k for k in range(m.start(), m.end()) if text[k] in "=/."]
+        for s in {m.start(), *(k + 1 for k in cuts)}:
+            trimmed = m.start() + len(m[0].rstrip("=/."))
+            for e in {min([k for k in cuts if k >= s], default=m.end()), m.end(), trimmed}:
+                c, code = text[s:e], [0, *(secret_scan.CODES[ord(x)] for x in text[s:e]), 0]
+                common = sum(model.pairs[x, y] for x, y in zip(code, code[1:]))
+                for a, share in zip(model.automata, model.shares):
+                    x = a.score(c) if e > s and a.shortest <= e - s <= a.longest else None
+                    if x is not None and x >= a.lowest - secret_scan.SLACK and x * (len(c) + 1) + share > common:
+                        found.append((s, -e))
+    base, out = base_by_hand(text), []
+    for s, e in sorted(set(found)):
+        if all(e2 <= s or -e <= s2 for s2, _, e2 in [*base, *out]):
+            out.append((s, 3, -e))
+    return sorted(base + out)
+
+
+def test_secret_spans_against_single_candidates(spark):
+    rng = random.Random(16)
+    draw = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    key = lambda: "k-" + draw(10, "0123456789abcdef")
+    prose = lambda n: " ".join(draw(rng.randint(1, 9), "etaoinshrdlu") for _ in range(n))
+    rows = [(i, f"é {prose(40)} token={key()} {prose(9)}") for i in range(300)] + [(1000 + i, f"{prose(60)} password: {draw(14, 'ABCDEFGHJKLMNPQRSTUVWXYZ23456789')}") for i in range(100)]
+    planted = {2000: f"x {key()}.", 2001: f"see NAME={key()}/{key()}", 2002: f"漢字/{key()}==", 2003: f"{key()} token={key()}", 2004: prose(500), 2005: "k-0123 " * 50, 2006: "".join(f"a={key()}." for _ in range(200))}
+    rows += planted.items()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = secret_scan.learn(docs)
+    out = {r["doc_id"]: r["spans"] for r in secret_scan.report(docs, model).collect()}
+    assert out == {i: secret_scan.joined(likely_by_hand(t, model)) for i, t in rows}
+    assert out[2000] == "auto:2:14" and out[2001].count("auto") == 2 and out[2002] == "auto:3:15" and out[2003].startswith("auto:0:12,assign") and out[2004] == out[2005] == "" and out[2006].count("auto") == 200
+
+
+def test_secret_scan_time_grows_with_the_text():
+    import time
+
+    rng = random.Random(17)
+    values = ["".join(rng.choice("0123456789abcdef") for _ in range(20)) for _ in range(300)]
+    scorer = secret_scan.Scorer(secret_scan.Model([secret_scan.infer(values)], [-5.0], np.full((secret_scan.KNOWN, secret_scan.KNOWN), math.log(1 / secret_scan.KNOWN))))
+    text = " ".join(f"token={v} /{v}=" for v in values) * 60
+    began = time.time()
+    found = scorer.spans([text])[0]
+    assert len(found) == 2 * 300 * 60 and time.time() - began < 20
 
 
 def test_automaton_learns_a_format():
@@ -288,7 +336,7 @@ def test_automaton_learns_a_format():
 
 def test_redact(spark):
     df = spark.createDataFrame([(1, "a token=abcdefgh b", 18, "k"), (2, None, 0, "k"), (3, "plain", 5, "k")], "doc_id long, text string, n_chars long, spans string")
-    out = {r["doc_id"]: r for r in secret_scan.redact(df, []).collect()}
+    out = {r["doc_id"]: r for r in secret_scan.redact(df, secret_scan.learn(df.where("false"))).collect()}
     assert out[1]["text"] == "a [secret] b" and out[1]["n_chars"] == 12 and out[2]["text"] is None and out[3]["text"] == "plain"
 
 
