@@ -39,10 +39,12 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none, as in local tests."""
+    """The folder that all executors share; a temporary one only where a local session names none, as in tests."""
     place = spark.conf.get(CHECKPOINT_DIR, None)
     if place:
         return place
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
     run = spark.sparkContext.applicationId
     if run not in _own_dir:
         _own_dir[run] = tempfile.mkdtemp(prefix="spark-shared-")
@@ -83,6 +85,18 @@ def arrow_rows(spark: SparkSession, n: int):
         spark.conf.set(key, was)
 
 
+#: Keys of more than this share of all rows are joined by broadcast: there are fewer than HOT of them.
+HOT = 1000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """rows joined with a table of unique keys that tells how many of the total rows have each key. Frequent keys, fewer than
+    HOT by their share, are broadcast, so that no task gets all rows of one."""
+    frequent = F.col(count) * HOT > total
+    hot = F.broadcast(table.where(frequent))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(table.where(~frequent), keys))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegrid.llm.common import WORD_BASES, arrow_rows, as_long, batch, components, discard, give_back, materialize, mix, rolling, words
+from notegrid.llm.common import WORD_BASES, arrow_rows, as_long, batch, components, discard, give_back, join_counted, materialize, mix, rolling, words
 
 SHINGLE = 5
 #: Similarity 0.8 as a fraction: links need DEN * |both| >= NUM * |either|.
@@ -46,8 +46,6 @@ CELLS = 1 << 16
 BINS, FULL = 256, 255
 #: Sizes that can be light; above it the number of subsets passes any list.
 MOST_LIGHT = 12
-#: Texts of more than this share of all rows are joined by broadcast: there are fewer than HOT of them.
-HOT = 1000
 #: Members of a list that meet its other members in one part.
 PART = 4096
 _U = np.uint64
@@ -358,13 +356,9 @@ def other_pairs(lists: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def by_text(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """rows (doc_id, h1, h2) with rep and n of their text: texts of very many rows are broadcast, fewer than HOT of them."""
-    key = ["h1", "h2"]
-    total = rows.count()
-    frequent = F.col("n_rows") * HOT > total
-    found = texts.select(*key, F.col("doc_id").alias("rep"), "n", "n_rows")
-    hot = F.broadcast(found.where(frequent).drop("n_rows"))
-    return rows.join(hot, key).unionByName(rows.join(hot.select(*key), key, "left_anti").join(found.where(~frequent).drop("n_rows"), key)).drop(*key)
+    """rows (doc_id, h1, h2) as doc_id with rep and n of their text."""
+    found = texts.select("h1", "h2", F.col("doc_id").alias("rep"), "n", "n_rows")
+    return join_counted(rows, found, ["h1", "h2"], "n_rows", rows.count()).select("doc_id", "rep", "n")
 
 
 def link(docs: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ stands. So:
 1. every document's such phrases are counted over the corpus; those of two or more documents are confirmed to recur;
 2. a document goes to the shards of the first documents of its recurring phrases, which are all the places where its
    windows can meet others; a shard that a frequent passage would overfill is cut into blocks of documents;
-3. each shard compiles its phrases into an Aho-Corasick automaton over word numbers and streams its documents through it
-   to locate every occurrence; the windows around occurrences are compared by 128-bit numbers. A shard that is whole knows
+3. each shard compiles its confirmed phrases, each once, into an Aho-Corasick automaton over word numbers and streams its
+   documents through it, whose hits alone locate every occurrence; the windows around occurrences are compared by 128-bit numbers. A shard that is whole knows
    each window's first document. Blocks pass on their distinct windows with the first document of each; Spark takes the
    first over all blocks, and the blocks' documents are streamed once more against that;
 4. the covered words of every document are put together and removed.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegrid.llm.common import WORD_BASES, as_long, batch, discard, materialize, rolling, words
+from notegrid.llm.common import WORD_BASES, as_long, batch, discard, join_counted, materialize, rolling, words
 
 WINDOW, PHRASE = 50, 20
 #: Documents of a shard or block, on average at most.
@@ -44,8 +44,8 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def phrases(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(phrase, doc_id): the smallest phrase number of every window of every document."""
-    arrow = pa.schema([("phrase", pa.int64()), ("doc_id", pa.int64())])
+    """(phrase, doc_id, at): the smallest phrase number of every window of every document, once a document, with a place of it."""
+    arrow = pa.schema([("phrase", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())])
     width = window - phrase + 1
 
     def run(batches):
@@ -54,27 +54,35 @@ def phrases(docs: DataFrame, window: int, phrase: int) -> DataFrame:
             for w in words(b.column(1)):
                 if len(w.h) < window:
                     continue
-                low = sliding_min(rolling(w.h, phrase, WORD_BASES[0]), width)
-                whole = w.row[: len(low)] == w.row[window - 1 :]
-                low, row = low[whole], w.row[: len(whole)][whole]
-                if len(low):
-                    new = np.r_[True, (low[1:] != low[:-1]) | (row[1:] != row[:-1])]
-                    yield batch(arrow, as_long(low[new]), ids[row[new]])
+                own = rolling(w.h, phrase, WORD_BASES[0])
+                low = sliding_min(own, width)
+                start = np.flatnonzero(w.row[: len(low)] == w.row[window - 1 :])
+                if not len(start):
+                    continue
+                low, row = low[start], w.row[start]
+                new = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (row[1:] != row[:-1])])
+                low, row, start = low[new], row[new], start[new]
+                at = start + (own[start[:, None] + np.arange(width)] == low[:, None]).argmax(axis=1)
+                order = np.lexsort((low, row))
+                low, row, at = low[order], row[order], at[order]
+                new = np.r_[True, (low[1:] != low[:-1]) | (row[1:] != row[:-1])]
+                yield batch(arrow, as_long(low[new]), ids[row[new]], (at - w.bounds()[row - w.first])[new].astype(np.int32))
 
-    return docs.mapInArrow(run, "phrase long, doc_id long")
+    return docs.mapInArrow(run, "phrase long, doc_id long, at int")
 
 
 def routes(docs: DataFrame, window: int, phrase: int, block: int) -> DataFrame:
-    """(doc_id, g, block, split, phrases): the shards that a document goes to, with its recurring phrases there."""
+    """(doc_id, g, block, split, phrases): the shards that a document goes to, with its recurring phrases there and their places."""
     found = materialize(phrases(docs, window, phrase), "phrases")
     recurring = found.groupBy("phrase").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("phrase", "first")
-    held = materialize(found.join(recurring, "phrase").groupBy("doc_id", "first").agg(F.collect_set("phrase").alias("phrases")), "held")
+    held = materialize(found.join(recurring, "phrase").groupBy("doc_id", "first").agg(F.collect_list(F.struct("phrase", "at")).alias("phrases")), "held")
     discard(found)
-    n = held.groupBy("first").agg(F.count("*").alias("n"))
-    shards = max(1, -(-held.count() // block))
+    total = held.count()
+    n = materialize(held.groupBy("first").agg(F.count("*").alias("n")), "firsts")
+    shards = max(1, -(-total // block))
     parts = F.ceil(F.col("n") / F.lit(block))
     large = F.col("n") > block
-    placed = held.join(n, "first").select(
+    placed = join_counted(held, n, ["first"], "n", total).select(
         "doc_id", "phrases", large.alias("split"),
         F.when(large, F.col("first")).otherwise(F.pmod(F.xxhash64("first"), F.lit(shards))).alias("g"),
         F.when(large, F.pmod(F.xxhash64("doc_id"), parts)).otherwise(F.lit(0)).cast("long").alias("block"),
@@ -97,21 +105,19 @@ def locate(table: pa.Table, window: int, phrase: int):
         docs += [w.h[cuts[k] : cuts[k + 1]] for k in range(w.last - w.first)]
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
     known: dict[int, int] = {}
-    numbers = []
     spelled = [(h >> _U(32)).tolist() for h in docs]
-    for row, h in enumerate(docs):
-        own = rolling(h, phrase, WORD_BASES[0])
-        numbers.append(own)
-        wanted = np.asarray(lists[row].values.to_numpy(zero_copy_only=False)).view(np.uint64)
-        for p in np.flatnonzero(np.isin(own, wanted)).tolist():
-            key = int(own[p])
-            if key not in known:
+    numbers = [rolling(h, phrase, WORD_BASES[0]) for h in docs]
+    for row in range(len(docs)):  # a confirmed phrase enters once, spelled as the first document that has it does
+        own = lists[row].values
+        for key, at in zip(own.field("phrase").to_pylist(), own.field("at").to_pylist(), strict=True):
+            # the place may be one of another text of this doc_id
+            if key not in known and at < len(numbers[row]) and as_long(numbers[row])[at] == key:
                 known[key] = len(known)
-                automaton.add_word(tuple(spelled[row][p : p + phrase]), known[key])
+                automaton.add_word(tuple(spelled[row][at : at + phrase]), known[key])
     if not known:
         return None
     automaton.make_automaton()
-    of_index = np.fromiter(known, np.uint64, len(known))
+    of_index = np.fromiter(known, np.int64, len(known)).view(np.uint64)
     rows, starts, firsts, seconds = [], [], [], []
     for row, h in enumerate(docs):
         if len(h) < window:
@@ -120,7 +126,7 @@ def locate(table: pa.Table, window: int, phrase: int):
         if not hits:
             continue
         at, which = np.array(hits, np.int64).T
-        at = at[numbers[row][at] == of_index[which]]
+        at = at[numbers[row][at] == of_index[which]]  # word numbers were halved for the automaton
         step = np.zeros(len(h) + 2, np.int64)
         np.add.at(step, np.maximum(0, at - (window - phrase)), 1)
         np.add.at(step, at + 1, -1)
