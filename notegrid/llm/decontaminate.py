@@ -5,7 +5,9 @@ of 10 words, or its whole text if shorter. A window is contained in a document o
 word is the window's necessary prefix: document words join windows on it, rarity being the word's count over all
 documents. The place of the word in the window bounds the place in the document, and the words there must be equal.
 
-Items are broadcast while they have at most ``MOST_BROADCAST`` windows; beyond that the same join shuffles on the word.
+Items are broadcast while their windows' words take at most ``MOST_BROADCAST`` bytes. Beyond that the same join shuffles
+document words, never whole texts: those that some window has meet the windows' rarest words, and each candidate's words are
+then counted where they must stand.
 
 Defined results: null and wordless texts have no words; wordless items have no windows; equal windows of several items
 are hits of each; repeated doc_id rows are each returned, with the hits of their own text; null item_ids count as one item
@@ -21,7 +23,7 @@ from pyspark.sql import types as T
 from notegrid.llm.common import materialize
 
 WINDOW = 10
-MOST_BROADCAST = 1_000_000
+MOST_BROADCAST = 64_000_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,7 +46,9 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     windows = item_windows(items, window).groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max(F.col("item_id").isNull()).alias("unnamed"))
     windows = materialize(windows, "windows")
-    small = windows.count() <= MOST_BROADCAST
+    # a string of an array takes about 24 bytes beside its characters
+    held = windows.agg(F.coalesce(F.sum(F.octet_length(F.array_join("words", "")) + 24 * F.size("words")), F.lit(0))).first()[0]
+    small = held <= MOST_BROADCAST
     near = F.broadcast if small else (lambda df: df)
 
     vocabulary = windows.select(F.explode("words").alias("word")).distinct()
@@ -55,6 +59,8 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)), F.col("word"), F.col("place")))
     prefix = placed.groupBy("words", "items", "unnamed").agg(rarest.alias("r")).select("items", "unnamed", F.col("words").alias("want"), F.col("r.word").alias("word"), F.col("r.place").alias("place"))
 
+    if not small:
+        return far(docs, vocabulary, prefix)
     d = docs.select("key", word_array(F.col("text")).alias("have"))
     d = d.select("key", "have", F.posexplode_outer("have").alias("at", "word"))
     fits = (F.col("at") >= F.col("place")) & (F.col("at") - F.col("place") + F.size("want") <= F.size("have"))
@@ -63,6 +69,18 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     return found.select("key", (F.col("at") - F.col("place")).alias("from"), F.size("want").alias("size"), "items", "unnamed")
 
 
+def far(docs: DataFrame, vocabulary: DataFrame, prefix: DataFrame) -> DataFrame:
+    """scan() where windows are too many to broadcast: all sides are dealt out by words and places."""
+    words = docs.select("key", F.posexplode(word_array(F.col("text"))).alias("at", "word"))
+    words = materialize(words.join(vocabulary, "word", "left_semi"), "words").distinct()  # equal rows have equal keys
+    windows = prefix.withColumn("win", F.xxhash64("want")).withColumn("win2", F.xxhash64(F.lit(1), "want"))
+    met = words.join(windows.select("word", "place", "win", "win2"), "word").where("at >= place").select("key", (F.col("at") - F.col("place")).alias("from"), "win", "win2")
+    spelled = windows.select("win", "win2", F.size("want").alias("size"), F.posexplode("want").alias("i", "word"))
+    asked = met.join(spelled, ["win", "win2"]).select("key", "from", "win", "win2", "size", (F.col("from") + F.col("i")).alias("at"), "word")
+    whole = asked.join(words, ["key", "at", "word"]).groupBy("key", "from", "win", "win2", "size").agg(F.count("*").alias("n")).where("n = size")
+    return whole.join(windows.select("win", "win2", "items", "unnamed"), ["win", "win2"]).select("key", "from", "size", "items", "unnamed")
+
+
 def row_key() -> Column:
     """What flag() decides for: a doc_id and a text."""
     return F.struct("doc_id", F.xxhash64(F.col("text").cast("string")).alias("of"))
