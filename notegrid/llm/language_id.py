@@ -56,9 +56,9 @@ def ngrams(texts: list[str | None], most: int = 1 << 17):
         row = np.repeat(np.arange(j - i, dtype=np.int32), length)
         kept = letters()[points]
         n_letters = np.bincount(row[kept], minlength=j - i)
-        # what is no letter becomes one space between words
+        # what is no letter becomes one space between words, whatever the text before ends with
         first_gap = ~kept
-        first_gap[1:] &= kept[:-1]
+        first_gap[1:] &= kept[:-1] | (row[1:] != row[:-1])
         use = kept | first_gap
         code, of = np.where(kept, points, 32)[use].astype(np.uint64), row[use]
         rows, buckets = [], []

@@ -143,7 +143,9 @@ def flags(rows, items, window=10):
     return sorted(out)
 
 
-def test_decontamination(spark, rows):
+@pytest.mark.parametrize("most", [64_000_000, 0])
+def test_decontamination(spark, rows, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most)
     w = rows[1][1].split() * 3
     items = [(10, " ".join(w[:25])), (9, " ".join(w[3:9])), (2, None), (3, "!?"), (4, "one"), (5, " ".join(w[:10])), (5, "ONE"), (100, rows[70][1])]
     rows = [*rows, (900, "x, " + "; ".join(w)), (900, "x, " + "; ".join(w)), (901, "É one")]
@@ -162,7 +164,9 @@ def test_decontamination_keeps_clean_texts_of_an_id(spark):
     assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([r for r in rows if "bad" not in (r[1] or "")], key=str)
 
 
-def test_decontamination_runs_no_python(spark, rows):
+@pytest.mark.parametrize("most", [64_000_000, 0])
+def test_decontamination_runs_no_python(spark, rows, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most)
     out = decontaminate.flag(frame(spark, rows), spark.createDataFrame([(1, "one two")], "item_id long, text string"))
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
 
@@ -244,6 +248,36 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in none.collect()} == {"und"} and language_id.identify(df.where("false")).count() == 0
 
 
+def test_language_id_by_plain_counts(spark, monkeypatch):
+    rng = random.Random(18)
+    rows = [(i, "".join(rng.choice("abcdé ñ1ж" if k else "bcdefg h-") for _ in range(rng.randint(0, 60))), "xy"[k] if rng.random() < 0.8 else None) for i in range(120) for k in [rng.randrange(2)]]
+    rows += [(500, None, "x"), (501, "zzz", "z")]
+
+    def grams(text):
+        plain = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in (text or "").lower()))
+        out = []
+        for n in language_id.ORDERS:
+            for k in range(len(plain) - n + 1):
+                h = n
+                for c in plain[k : k + n]:
+                    h = (h * 0x100000001B3 + ord(c)) % (1 << 64)
+                out.append(int(common.mix(np.array([h], np.uint64))[0]) >> 49)
+        return out
+
+    train = [(t, c) for i, t, c in rows if c and zlib.crc32(str(i).encode()) % 4 != 2]
+    langs = sorted({c for _, c in train})
+    counts = {c: Counter(g for t, d in train if d == c for g in grams(t)) for c in langs}
+    prior = {c: math.log((sum(d == c for _, d in train) + language_id.ADDED) / (len(train) + language_id.ADDED * len(langs))) for c in langs}
+    out = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i, t, _ in rows:
+        if not any(c.isalpha() for c in t or ""):
+            assert (out[i]["lang_pred"], out[i]["score"]) == ("und", 0.0)
+            continue
+        log = {c: prior[c] + sum(math.log((counts[c][g] + language_id.ADDED) / (counts[c].total() + language_id.ADDED * language_id.BUCKETS)) for g in grams(t)) for c in langs}
+        best = max(langs, key=lambda c: log[c])
+        assert out[i]["lang_pred"] == best and out[i]["score"] == pytest.approx(1 / sum(math.exp(x - log[best]) for x in log.values()), abs=1e-3)
+
+
 def test_more_languages_than_a_block(spark):
     rows = [(3 * k + i, (chr(0x4E00 + 2 * k) + chr(0x4E01 + 2 * k)) * 20, f"l{k:03}") for k in range(300) for i in range(3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
