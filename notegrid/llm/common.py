@@ -62,9 +62,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.stored_at = path
+    if _scratch:
+        _scratch[-1].append(back)
     return back
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Tables that materialize() stores within it are deleted at its end, but for those that the given function was called with."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scratch.append(made)
+    try:
+        yield lambda df: kept.append(df) or df
+    finally:
+        _scratch.pop()
+        stay = {df.stored_at for df in kept}
+        discard(*(df for df in made if df.stored_at not in stay))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of materialize() that no later job reads."""
     for df in tables:

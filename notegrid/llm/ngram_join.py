@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegrid.llm.common import WORD_BASES, arrow_rows, as_long, batch, components, discard, give_back, join_counted, materialize, mix, rolling, words
+from notegrid.llm.common import WORD_BASES, arrow_rows, as_long, batch, components, discard, give_back, join_counted, materialize, mix, rolling, scratch, words
 
 SHINGLE = 5
 #: Similarity 0.8 as a fraction: links need DEN * |both| >= NUM * |either|.
@@ -363,6 +363,16 @@ def by_text(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    with scratch() as keep:
+        rows, groups = map(keep, rows_and_groups(docs))
+    out = rows.where("doc_id is not null").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    out = out.unionByName(rows.where("doc_id is null").withColumn("component", F.lit(None).cast("long")))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def rows_and_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored tables: (doc_id, rep, n) of every row, rep being the document of the same text that stands for all and n the
+    size of its set, and (node, component) of every linked document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *text_key())
     # one row a text, with its smallest doc_id; whole texts are put together in the tasks that read them before they move
@@ -383,13 +393,9 @@ def link(docs: DataFrame) -> DataFrame:
     links = same.unionByName(verify(own, sets, met))
     groups = components(links)
     more = materialize(other_pairs(lists, groups).join(met, ["a", "b"], "left_anti"), "pairs")
-    discard(lists, met)
     if more.limit(1).count():
         groups = components(links.unionByName(verify(own, sets, more)))
-    discard(texts, more)
-    out = rows.where("doc_id is not null").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    out = out.unionByName(rows.where("doc_id is null").withColumn("component", F.lit(None).cast("long")))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return rows, groups
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

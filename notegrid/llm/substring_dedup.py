@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegrid.llm.common import WORD_BASES, as_long, batch, discard, join_counted, materialize, rolling, words
+from notegrid.llm.common import WORD_BASES, as_long, batch, discard, join_counted, materialize, rolling, scratch, words
 
 WINDOW, PHRASE = 50, 20
 #: Documents of a shard or block, on average at most.
@@ -218,8 +218,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
 def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, block: int = BLOCK, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of docs (doc_id, text); with_text: also kept, the text left."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("of"))
-    spans = repeated_spans(plain, window, phrase, block).groupBy("doc_id", "of").agg(F.flatten(F.sort_array(F.collect_list(F.array("start", "end")))).alias("spans"))
-    both = plain.join(materialize(spans, "spans"), ["doc_id", "of"], "left").select("doc_id", "text", "spans")
+    with scratch() as keep:
+        spans = repeated_spans(plain, window, phrase, block).groupBy("doc_id", "of").agg(F.flatten(F.sort_array(F.collect_list(F.array("start", "end")))).alias("spans"))
+        spans = keep(materialize(spans, "spans"))
+    both = plain.join(spans, ["doc_id", "of"], "left").select("doc_id", "text", "spans")
     arrow = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.string())] if with_text else [])])
 
     def run(batches):
