@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegrid.llm.common import batch, components, discard, materialize
+from notegrid.llm.common import batch, components, discard, join_counted, materialize
 
 THRESHOLD = 0.98
 WINDOW, BITS, SEED = 32, 64, 20_240_229
@@ -273,7 +273,7 @@ def dedup(vectors: DataFrame) -> DataFrame:
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     other = both.join(copies.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
     own = copies.join(other, "rep", "left").select("rep", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    member = good.join(groups.select(*same, "rep"), same).select("vec_id", "rep")
+    member = join_counted(good.select(*same, "vec_id"), groups.select(*same, "rep", "copies"), same, "copies", good.count()).select("vec_id", "rep").distinct()
     linked = components(pairs.unionByName(member.where("vec_id <> rep").select(F.col("rep").alias("a"), F.col("vec_id").alias("b"))))
     counted = member.join(own, "rep").groupBy("vec_id").agg(F.sum("n_links").alias("n_links")).join(linked.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(counted, "vec_id", "left")

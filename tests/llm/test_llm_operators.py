@@ -723,3 +723,41 @@ def test_html_wrapper_decides(spark):
     out = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out == want
     assert all(html_extract.extract(html) != want[k] for k, _, html in rows)  # without the wrapper it does not come out
+
+
+# --- all of them: nulls, repeated rows, clashing columns, one very long text ---------------------------------------------
+
+
+def odd_documents(spark):
+    rng = random.Random(19)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    long = " ".join(rng.choice(words) for _ in range(250_000))
+    rows = [(None, "ein text token=0123456789abcdef01234567", None), (None, None, None), (None, "", "xx"), (1, long, "xx"), (2, long[:3000], None), (2, long[:3000], None), (3, "dup dup", "xx"), (3, "dup dup", "xx"), (3, "other", None)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit("clash") for c in ("key", "n", "kind", "row", "spans", "part", "component_id", "score", "token", "of", "h1", "first")})
+
+
+def test_odd_documents(spark):
+    rows, docs = odd_documents(spark)
+    ids = sorted((i for i, _, _ in rows), key=str)
+    given = lambda df: sorted((r["doc_id"] for r in df.select("doc_id").collect()), key=str)
+    plain = [(i, t) for i, t, _ in rows]
+    texts = Counter(len(WORD.findall(t or "")) for _, t in plain)
+    out = substring_dedup.dedup(docs).collect()
+    assert Counter(r["n_words"] for r in out) == texts and {(r["doc_id"], r["n_removed"] > 0) for r in out} >= {(1, False), (2, True), (3, False), (None, False)}
+    flagged = decontaminate.flag(docs, spark.createDataFrame([(None, "dup dup"), (1, None)], "item_id long, text string")).collect()
+    assert len(flagged) == len(rows) and sorted(r["doc_id"] for r in flagged if r["contaminated"]) == [3, 3] and {r["n_items"] for r in flagged if r["contaminated"]} == {1}
+    scored = katz.score_held_out(docs)
+    assert given(scored) == ids and scored.where("n_tokens = 1").count() == 2 and scored.where("n_tokens = 250001").count() == 1
+    assert given(language_id.identify(docs)) == ids
+    assert given(secret_scan.report(docs, secret_scan.learn(docs))) == ids
+    linked = ngram_join.link(docs)
+    assert given(linked) == ids and {(r["doc_id"], r["component_id"]) for r in linked.collect()} == {(i, i) for i in (None, 1, 2, 3)}
+    packed = packing.pack(docs)
+    assert given(packed.where("start = 0")) == ids and packed.agg(F.sum("length")).first()[0] == packed.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
+
+
+def test_odd_vectors(spark):
+    rows = [(None, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.001], 1), (2, [1.0, 0.001], 1), (3, [1.0, 0.0], None), (4, [], 1), (5, [1.0, 0.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit("clash") for c in ("rep", "vector", "size", "turn", "component", "h1", "block")})
+    out = sorted(((r["vec_id"], r["component_id"], r["n_links"]) for r in embedding_dedup.dedup(df).collect()), key=str)
+    assert [x[:2] for x in out] == [(1, 1), (2, 1), (2, 1), (3, 3), (4, 4), (5, 5), (None, None)] and [x[2] for x in out] == [1, 1, 1, 0, 0, 0, 0]
