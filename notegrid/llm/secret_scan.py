@@ -12,8 +12,9 @@ a symbol like that of the labelled strings, and if it is more likely a labelled
 automaton's likelihood times the share of labelled strings among all runs must exceed that of a chain of symbol pairs,
 counted over all runs of all texts. Of candidates that overlap the first and longest stays; none overlaps a rule's span.
 
-The sample (``SAMPLE`` values of a kind, those of the smallest hash over all documents) bounds the automata, which are
-small and travel with the task. Everything else covers all texts whole.
+The sample (``SAMPLE`` values of a kind of at most ``LONGEST`` symbols, those of the smallest hash over all documents) bounds
+the automata, which are small and travel with the task; longer values are the rules' spans all the same. Everything else
+covers all texts whole.
 
 Defined results: null is an empty text; without labelled strings there are no automata and only the rules' spans;
 positions are code points, ends exclusive; repeated rows give repeated results.
@@ -26,6 +27,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +51,8 @@ CODES = np.zeros(256, np.uint8)
 CODES[np.frombuffer(SYMBOLS.encode(), np.uint8)] = np.arange(1, len(SYMBOLS) + 1)
 SEPARATOR = np.isin(np.arange(len(SYMBOLS) + 1), CODES[[ord(c) for c in "=/."]])
 KNOWN = len(SYMBOLS) + 1
-#: Labelled values of a kind that are learned from.
-SAMPLE = 2000
+#: Labelled values of a kind that are learned from, and the most symbols of one.
+SAMPLE, LONGEST = 2000, 512
 #: Bytes of texts that are scored together.
 TOGETHER = 1 << 19
 #: Confidence of the test, and how far below the labelled strings' lowest score a candidate may lie (nats a symbol).
@@ -77,6 +79,7 @@ class Automaton:
         self.symbols: list[Counter] = []
         self.remaining: list[Counter] = []
         self.next: list[dict[str, int]] = []
+        self.totals: list[int] = []
         self.lowest, self.shortest, self.longest = 0.0, 0, 0
 
     def new(self) -> int:
@@ -92,11 +95,10 @@ class Automaton:
             count = self.symbols[q]
             if not count[c] or c not in self.next[q]:
                 return None
-            total += math.log(count[c] / self.remaining[q].total())
+            total += math.log(count[c] / self.totals[q])
             q = self.next[q][c]
         ends = self.remaining[q][0]
-        return (total + math.log(ends / self.remaining[q].total())) / (len(s) + 1) if ends else None
-
+        return (total + math.log(ends / self.totals[q])) / (len(s) + 1) if ends else None
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By state and symbol's code where it leads (-1: nowhere) and its log likelihood; by state that of an end."""
@@ -104,7 +106,7 @@ class Automaton:
         to, log = np.full((n, KNOWN), -1, np.int32), np.full((n, KNOWN), -np.inf)
         ends = np.full(n, -np.inf)
         for q in range(n):
-            total = self.remaining[q].total()
+            total = self.totals[q]
             for c, k in self.symbols[q].items():
                 to[q, CODES[ord(c)]], log[q, CODES[ord(c)]] = self.next[q].get(c, -1), math.log(k / total)
             if self.remaining[q][0]:
@@ -112,57 +114,71 @@ class Automaton:
         return to, log, ends
 
 
-def differ(a: Counter, b: Counter) -> bool:
-    """The Hoeffding test: whether some share differs by more than chance allows."""
-    n, m = a.total(), b.total()
-    bound = math.sqrt(0.5 * math.log(2 / ALPHA)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-    return any(abs(a[k] / n - b[k] / m) > bound for k in a.keys() | b.keys())
-
-
 def infer(strings: list[str]) -> Automaton | None:
     """Merge the prefix tree of the strings, largest branches first, into an automaton."""
     if not strings:
         return None
-    out = Automaton()
+    out, longest = Automaton(), max(map(len, strings))
+    # by state, for the test: strings by remaining length and by next symbol's code (0: an end), and all that pass
+    left, first, passed = np.zeros((longest + 1, 64)), np.zeros((KNOWN, 64)), np.zeros((1, 64))
     open_: dict[tuple[int, str], list[str]] = {}
+    largest: list[tuple[int, int, int]] = []  # branches that are open, or were smaller once
+
+    def new() -> int:
+        nonlocal left, first, passed
+        q = out.new()
+        if q == passed.shape[1]:
+            left, first, passed = (np.concatenate([x, np.zeros_like(x)], axis=1) for x in (left, first, passed))
+        return q
 
     def walk(state: int, s: str) -> None:
         while True:
             out.remaining[state][len(s)] += 1
+            left[len(s), state] += 1
+            first[CODES[ord(s[0])] if s else 0, state] += 1
+            passed[0, state] += 1
             if not s:
                 return
             out.symbols[state][s[0]] += 1
             if s[0] not in out.next[state]:
-                open_.setdefault((state, s[0]), []).append(s[1:])
+                tails = open_.setdefault((state, s[0]), [])
+                tails.append(s[1:])
+                heappush(largest, (-len(tails), state, -ord(s[0])))
                 return
             state, s = out.next[state][s[0]], s[1:]
 
-    root = out.new()
+    def nearest(tails: list[str]) -> int | None:
+        """The state whose continuations are like the tails by the Hoeffding test, of equals that with the nearest lengths."""
+        n, states = len(tails), len(out.symbols)
+        lengths = np.bincount([len(t) for t in tails], minlength=longest + 1)
+        # a few strings fit almost anything by the test alone: a join also needs mostly equal remaining lengths
+        at = np.flatnonzero(2 * left[np.flatnonzero(lengths), :states].sum(axis=0) >= passed[0, :states])
+        m = passed[0, at]
+        bound = math.sqrt(0.5 * math.log(2 / ALPHA)) * (1 / math.sqrt(n) + 1 / np.sqrt(m))
+        apart = np.abs((lengths / n)[:, None] - left[:, at] / m)
+        next_ = np.bincount([CODES[ord(t[0])] if t else 0 for t in tails], minlength=KNOWN) / n
+        near = (apart.max(axis=0) <= bound) & (np.abs(next_[:, None] - first[:, at] / m).max(axis=0) <= bound)
+        apart = np.round(apart.sum(axis=0), 9)
+        near &= apart <= 1
+        return int(at[near][apart[near].argmin()]) if near.any() else None
+
+    root = new()
     for s in strings:
         walk(root, s)
-    while open_:
-        state, symbol = max(open_, key=lambda k: (len(open_[k]), -k[0], k[1]))
-        tails = open_.pop((state, symbol))
-        lengths, first = Counter(map(len, tails)), Counter(t[:1] for t in tails)
-        best = None
-        for r in range(len(out.symbols)):
-            n = out.remaining[r].total()
-            own = Counter(out.symbols[r])
-            own[""] = out.remaining[r][0]
-            if differ(lengths, out.remaining[r]) or differ(first, own):
-                continue
-            apart = sum(abs(lengths[k] / len(tails) - out.remaining[r][k] / n) for k in lengths.keys() | out.remaining[r].keys())
-            if best is None or apart < best[0]:
-                best = (apart, r)
-        # a few strings fit almost anything by the test alone: a join also needs mostly equal remaining lengths
-        if best is None or best[0] > 1:
-            best = (0.0, out.new())
-        out.next[state][symbol] = best[1]
+    while largest:
+        size, state, symbol = heappop(largest)
+        key = state, chr(-symbol)
+        if len(open_.get(key, ())) != -size:
+            continue
+        tails = open_.pop(key)
+        q = nearest(tails)
+        out.next[state][key[1]] = q = new() if q is None else q
         for t in tails:
-            walk(best[1], t)
+            walk(q, t)
+    out.totals = [x.total() for x in out.remaining]
     scores = [x for x in map(out.score, strings) if x is not None]
     out.lowest = min(scores) if scores else 0.0
-    out.shortest, out.longest = min(map(len, strings)), max(map(len, strings))
+    out.shortest, out.longest = min(map(len, strings)), longest
     return out
 
 
@@ -224,7 +240,7 @@ def learn(docs: DataFrame) -> Model:
     automata, shares = [], []
     for kind in KINDS[:3]:
         own = seen.where(F.col("kind") == kind)
-        a = infer([r["value"] for r in own.orderBy(F.xxhash64("value"), "value").limit(SAMPLE).collect()])
+        a = infer([r["value"] for r in own.where(F.length("value") <= LONGEST).orderBy(F.xxhash64("value"), "value").limit(SAMPLE).collect()])
         if a is not None:
             automata.append(a)
             shares.append(math.log(own.agg(F.sum("n")).first()[0] / max(runs, 1.0)))

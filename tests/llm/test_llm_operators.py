@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -368,6 +369,20 @@ def test_automaton_learns_a_format():
     assert len(a.symbols) < 60 and secret_scan.infer([]) is None
 
 
+def test_inference_of_long_and_mixed_values(spark):
+    rng = random.Random(8)
+    draw = lambda n: "".join(rng.choice(secret_scan.SYMBOLS) for _ in range(n))
+    began = time.perf_counter()
+    a = secret_scan.infer([draw(rng.randint(6, 60)) for _ in range(2000)])
+    assert a.totals[0] >= 2000 and time.perf_counter() - began < 30
+    # one value of a million symbols is a span, but no automaton is as long
+    docs = spark.createDataFrame([(1, "token=" + draw(1_000_000)), (2, "token=abcdef12 x"), (3, None)], "doc_id long, text string")
+    model = secret_scan.learn(docs)
+    assert [m.longest for m in model.automata] == [8]
+    out = {r["doc_id"]: r for r in secret_scan.report(docs, model).collect()}
+    assert out[1]["spans"].startswith("assign:0:1000006") and out[1]["n_assign"] == 1 and out[2]["spans"] == "assign:0:14"
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(1, "a token=abcdefgh b", 18, "k"), (2, None, 0, "k"), (3, "plain", 5, "k")], "doc_id long, text string, n_chars long, spans string")
     out = {r["doc_id"]: r for r in secret_scan.redact(df, secret_scan.learn(df.where("false"))).collect()}
