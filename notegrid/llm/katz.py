@@ -261,14 +261,12 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
                 before[context == START] = RARE
                 rest = np.flatnonzero(~settled)
                 part = (np.where(frequent[rest], p[rest], mix(token[rest] + _U(7))) % _U(parts)).astype(np.int64)
-                order = rest[np.argsort(part, kind="stable")]
-                cuts = np.searchsorted(np.sort(part), np.arange(parts + 1))
-                for k in range(parts):
-                    own = order[cuts[k] : cuts[k + 1]]
-                    if len(own):
-                        r, size = np.unique(row[own], return_counts=True)
-                        cw, cv = code[own], before[own]
-                        out.append((k, 0, pack(cw, cv, token[own][cw == RARE], context[own][cv == RARE], size.astype(np.int32), key[w.first + r], ids[w.first + r], known_id[w.first + r], held[w.first + r])))
+                order = np.argsort(part, kind="stable")
+                there, begin = np.unique(part[order], return_index=True)
+                for k, own in zip(there.tolist(), np.split(rest[order], begin[1:]), strict=False):  # parts with tokens only
+                    r, size = np.unique(row[own], return_counts=True)
+                    cw, cv = code[own], before[own]
+                    out.append((k, 0, pack(cw, cv, token[own][cw == RARE], context[own][cv == RARE], size.astype(np.int32), key[w.first + r], ids[w.first + r], known_id[w.first + r], held[w.first + r])))
                 yield batch(arrow, *map(list, zip(*out, strict=True)))
         give_back()
 
