@@ -116,6 +116,14 @@ def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str,
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(table.where(~frequent), keys))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with underscores after it, so that no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

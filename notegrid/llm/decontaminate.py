@@ -117,4 +117,4 @@ def flagged(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs whose text holds no window of an item."""
     bad = flagged(docs, items, window).where("contaminated").select(F.col("key").alias("bad_key")).distinct()
-    return docs.withColumn("row_key", row_key()).join(bad, F.col("row_key").eqNullSafe(F.col("bad_key")), "left_anti").select(*docs.columns)
+    return docs.join(bad, row_key().eqNullSafe(bad["bad_key"]), "left_anti")

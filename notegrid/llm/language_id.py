@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notegrid.llm.common import batch, give_back, materialize, mix
+from notegrid.llm.common import batch, give_back, materialize, mix, unused
 
 #: Parameters of the model: sizes of the n-grams, buckets they hash to, and the count added to each bucket.
 ORDERS = (1, 2, 3)
@@ -123,23 +123,23 @@ def table_of(langs: list[tuple[str, int]], counts: DataFrame, first: int) -> np.
     return np.vstack([np.log(grams / grams.sum(axis=0)), np.log(priors / everything)]).astype(np.float32)
 
 
-def predict(docs: DataFrame, model: tuple[list[tuple[str, int]], DataFrame], text: str = "text") -> DataFrame:
-    """docs with lang_pred and score, the posterior of that language given the text; columns of docs with these names go.
+def predict(docs: DataFrame, model: tuple[list[tuple[str, int]], DataFrame], text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with pred and score, the posterior of that language given the text; columns of docs with these names go.
 
     Languages come in blocks of BLOCK, whose tables are broadcast one after the other; each document carries its best log
     probability so far and the sum of all relative to it.
     """
     langs, counts = model
-    out = docs.drop("lang_pred", "score")
-    plain = out.schema.fields
-    carried = [T.StructField("lang_pred", T.StringType()), T.StructField("_best", T.DoubleType()), T.StructField("_sum", T.DoubleType())]
+    out = docs.drop(pred, score)
+    plain, best, much = out.schema.fields, unused(out, "_best"), unused(out, "_sum")
+    carried = [T.StructField(pred, T.StringType()), T.StructField(best, T.DoubleType()), T.StructField(much, T.DoubleType())]
     for first in range(0, len(langs), BLOCK):
         if first:
             out = materialize(out, "scored")
         out = scored(out, T.StructType([*plain, *carried]), np.array([x for x, _ in langs[first : first + BLOCK]], dtype=object), table_of(langs, counts, first), text, first > 0)
     if not langs:
-        return out.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
-    return out.withColumn("score", F.when(F.col("_sum") > 0, 1 / F.col("_sum")).otherwise(0.0)).drop("_best", "_sum")
+        return out.withColumns({pred: F.lit(UNKNOWN), score: F.lit(0.0)})
+    return out.withColumn(score, F.when(F.col(much) > 0, 1 / F.col(much)).otherwise(0.0)).drop(best, much)
 
 
 def scored(docs: DataFrame, schema: T.StructType, names: np.ndarray, table: np.ndarray, text: str, more: bool) -> DataFrame:
@@ -172,7 +172,7 @@ def scored(docs: DataFrame, schema: T.StructType, names: np.ndarray, table: np.n
     return docs.mapInArrow(score, schema)
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """Learn from the labelled documents outside the held-out fold and predict every document; docs need doc_id, text, lang."""
     learn = docs.where(~held_out())
-    return predict(docs, train(learn))
+    return predict(docs, train(learn), pred=pred, score=score)

@@ -6,6 +6,7 @@ import random
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from notegrid.llm import queries
@@ -54,6 +55,19 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, d).count() == docs.count()
 
 
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    d, names = str(tmp_path), ("lang_pred", "score", "_best", "_sum", "row_key", "bad_key", "key", "h1", "spans", "n", "rep", "component_id")
+    spark.createDataFrame([(1, "no such words here")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    rows = [(i, f"{w} {w}{i} plain text of the row {i}", lang) for i in range(12) for w, lang in (("alpha", "aa"), ("été", "bb"))]
+    rows = [(k, t, lang) for k, (_, t, lang) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.concat(F.lit(c), "doc_id") for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns, name
+        assert 0 < out.count() <= len(rows) and all(r[c] == f"{c}{r['doc_id']}" for r in out.collect() for c in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, d).where("start = 0").count() == len(rows)
+
+
 @needs_tables
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_same_rows_as_sql(spark, name):
