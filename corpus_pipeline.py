@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from notegrid.llm import decontaminate, language_id, ngram_join, packing, secret_scan
-from notegrid.llm.common import materialize, read, tune
+from notegrid.llm.common import materialize, read, tune, unused
 
 #: Documents whose language has a posterior below this are rejected, as are those without letters.
 LEAST_SCORE = 0.5
@@ -16,8 +16,9 @@ LEAST_SCORE = 0.5
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents in a language that it knows stay."""
     tune(spark)
-    out = language_id.identify(docs)
-    return out.where((out["lang_pred"] != language_id.UNKNOWN) & (out["score"] >= LEAST_SCORE)).select(*docs.columns)
+    pred, score = unused(docs, "lang_pred"), unused(docs, "score")
+    out = language_id.identify(docs, pred, score)
+    return out.where((out[pred] != language_id.UNKNOWN) & (out[score] >= LEAST_SCORE)).select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
