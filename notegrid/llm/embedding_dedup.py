@@ -4,7 +4,7 @@ Vectors of one label link when their cosine in double precision is at least 0.98
 of the signs of 64 random projections, sorts the vectors of a label by it, and compares each with its neighbours there;
 pairs found and verified in any pass are links. A vector meets at least WINDOW neighbours and goes on while it still finds
 links among the last WINDOW, across blocks and tasks, so a dense group is compared whole. Equal vectors meet once, as one
-with a number of copies.
+with a number of copies. Passes sort and store numbers only; vectors are joined to the blocks that compare them.
 
 How many passes, for each label and length: projections are of the vectors less their mean, whose mean square, the spread,
 is 1 less the square of the mean's length. A pair at the threshold then has the cosine 1 - 0.02 / spread, and agrees in a
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegrid.llm.common import batch, components, discard, join_counted, materialize
+from notegrid.llm.common import batch, components, join_counted, materialize, scratch
 
 THRESHOLD = 0.98
 WINDOW, BITS, SEED = 32, 64, 20_240_229
@@ -113,19 +113,19 @@ def planned(distinct: DataFrame) -> DataFrame:
 
 
 def keyed(distinct: DataFrame, plan: DataFrame) -> DataFrame:
-    """(turn, label, size, key, rep, vector): every vector once for each pass of its plan, with its number there; once, with
-    the turn WHOLE, where all are compared with all."""
-    arrow = pa.schema([("turn", pa.int32()), ("label", pa.int64()), ("size", pa.int32()), ("key", pa.int64()), ("rep", pa.int64()), ("vector", pa.binary())])
+    """(turn, label, size, key, rep, h1, h2): every vector once for each pass of its plan, with its number there; once, with
+    the turn WHOLE, where all are compared with all. label, h1 and h2 tell the vector."""
+    arrow = pa.schema([("turn", pa.int32()), ("label", pa.int64()), ("size", pa.int32()), *((k, pa.int64()) for k in ("key", "rep", "h1", "h2"))])
     held = plan.agg(F.coalesce(F.sum(F.length("mean") + 40), F.lit(0))).first()[0]
     both = distinct.join(F.broadcast(plan) if held <= MOST_BROADCAST else plan, ["label", "size"])
 
     def run(batches):
         for b in batches:
-            label, rep, sizes, first, last, whole = (b.column(k).to_numpy(zero_copy_only=False) for k in ("label", "rep", "size", "first", "last", "whole"))
+            label, rep, h1, h2, sizes, first, last, whole = (b.column(k).to_numpy(zero_copy_only=False) for k in ("label", "rep", "h1", "h2", "size", "first", "last", "whole"))
             data, mean = b.column("vector").to_pylist(), b.column("mean").to_pylist()
             own = np.flatnonzero(whole)
             if len(own):
-                yield batch(arrow, np.full(len(own), WHOLE, np.int32), label[own], sizes[own], np.zeros(len(own), np.int64), rep[own], [data[k] for k in own])
+                yield batch(arrow, np.full(len(own), WHOLE, np.int32), label[own], sizes[own], np.zeros(len(own), np.int64), rep[own], h1[own], h2[own])
             for size in np.unique(sizes[~whole]):
                 all_ = np.flatnonzero((sizes == size) & ~whole)
                 x = unit([data[k] for k in all_], size) - np.frombuffer(b"".join(mean[k] for k in all_), np.float64).reshape(-1, size)
@@ -135,14 +135,15 @@ def keyed(distinct: DataFrame, plan: DataFrame) -> DataFrame:
                     planes = np.random.default_rng((SEED, t, int(size))).standard_normal((size, BITS))
                     signs = np.packbits(x[at] @ planes > 0, axis=1)
                     key = signs.view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)  # so that signed order is bit order
-                    yield batch(arrow, np.full(len(own), t, np.int32), label[own], np.full(len(own), size, np.int32), key.view(np.int64), rep[own], [data[k] for k in own])
+                    yield batch(arrow, np.full(len(own), t, np.int32), label[own], np.full(len(own), size, np.int32), key.view(np.int64), rep[own], h1[own], h2[own])
 
-    return both.select("label", "size", "rep", "vector", "mean", "first", "last", "whole").mapInArrow(run, "turn int, label long, size int, key long, rep long, vector binary")
+    return both.select("label", "size", "rep", "h1", "h2", "vector", "mean", "first", "last", "whole").mapInArrow(run, "turn int, label long, size int, key long, rep long, h1 long, h2 long")
 
 
 def in_order(keys: DataFrame) -> DataFrame:
-    """(block, reach, place, turn, label, size, rep, vector): keys with their places in the order of all, and no reach yet."""
-    arrow = pa.schema([("part", pa.int32()), ("nth", pa.int64()), ("turn", pa.int32()), ("label", pa.int64()), ("size", pa.int32()), ("rep", pa.int64()), ("vector", pa.binary())])
+    """(block, reach, place, turn, label, size, rep, h1, h2): keys with their places in the order of all, and no reach yet."""
+    own = ["turn", "label", "size", "rep", "h1", "h2"]
+    arrow = pa.schema([("part", pa.int32()), ("nth", pa.int64()), ("turn", pa.int32()), ("label", pa.int64()), ("size", pa.int32()), *((k, pa.int64()) for k in ("rep", "h1", "h2"))])
 
     def number(batches):
         part, n = TaskContext.get().partitionId(), 0
@@ -151,15 +152,15 @@ def in_order(keys: DataFrame) -> DataFrame:
             n += b.num_rows
 
     # equal keys stand in another order in every pass, and can be cut between tasks
-    order = ["turn", "label", "size", "key", "tie", "rep"]
+    order = ["turn", "label", "size", "key", "tie", "rep", "h1", "h2"]
     ranges = keys.withColumn("tie", F.xxhash64("turn", "rep")).repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = materialize(ranges.select("turn", "label", "size", "rep", "vector").mapInArrow(number, "part int, nth long, turn int, label long, size int, rep long, vector binary"), "order")
+    numbered = materialize(ranges.select(*own).mapInArrow(number, "part int, nth long, turn int, label long, size int, rep long, h1 long, h2 long"), "order")
     before, n = [], 0
     for r in numbered.groupBy("part").count().orderBy("part").collect():
         before.append((r["part"], n))
         n += r["count"]
     place = numbered.join(F.broadcast(keys.sparkSession.createDataFrame(before, "part int, before long")), "part").withColumn("place", F.col("before") + F.col("nth"))
-    return place.select(F.expr(f"place div {BLOCK}").alias("block"), F.lit(None).cast("long").alias("reach"), "place", "turn", "label", "size", "rep", "vector")
+    return place.select(F.expr(f"place div {BLOCK}").alias("block"), F.lit(None).cast("long").alias("reach"), "place", *own)
 
 
 def links_of(x: np.ndarray, group: np.ndarray, place: np.ndarray, reach: np.ndarray, old: int, fresh: bool):
@@ -180,19 +181,20 @@ def links_of(x: np.ndarray, group: np.ndarray, place: np.ndarray, reach: np.ndar
             active = np.concatenate([active, here])
 
 
-def neighbours(keys: DataFrame) -> DataFrame:
+def neighbours(keys: DataFrame, vectors: DataFrame) -> DataFrame:
     """(a, b, turn, label, size): verified pairs of reps from every pass, a < b; a pair may come from several.
 
     Blocks of BLOCK places are compared by themselves first. Rows whose reach goes on beyond their block then meet the next
     block, those that still do the one after it, until none is left: each round deals its meetings out over tasks by block.
+    vectors: label, h1, h2, vector, each once.
     """
-    row = "block long, reach long, place long, turn int, label long, size int, rep long, vector binary"
-    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("block", pa.int64()), ("reach", pa.int64()), ("place", pa.int64()), ("turn", pa.int32()), ("label", pa.int64()), ("size", pa.int32()), ("rep", pa.int64()), ("vector", pa.binary())])
+    row = "block long, reach long, place long, turn int, label long, size int, rep long, h1 long, h2 long"
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("block", pa.int64()), ("reach", pa.int64()), ("place", pa.int64()), ("turn", pa.int32()), ("label", pa.int64()), ("size", pa.int32()), ("rep", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def meet(rows: DataFrame, fresh: bool) -> DataFrame:
         def compare(held):
             old = sum(r[1] is not None for r in held)
-            block, reach, place, turn, label, size, rep, data = map(list, zip(*held, strict=True))
+            block, reach, place, turn, label, size, rep, h1, h2, data = map(list, zip(*held, strict=True))
             group = np.unique(np.array([turn, label, size]), axis=1, return_inverse=True)[1].ravel()
             place, size, rep, turn, label = np.array(place), np.array(size, np.int32), np.array(rep), np.array(turn, np.int32), np.array(label)
             reach = np.array([r if r is not None else END if t == WHOLE else p + WINDOW for r, t, p in zip(reach, turn, place.tolist(), strict=True)])
@@ -202,13 +204,13 @@ def neighbours(keys: DataFrame) -> DataFrame:
                 for i, j in links_of(unit([data[i] for i in own], k), group[own], place[own], till, int((own < old).sum()), fresh):
                     first, i, j = own[i], rep[own[i]], rep[own[j]]
                     none = pa.nulls(len(i), pa.int64())
-                    yield batch(arrow, np.minimum(i, j), np.maximum(i, j), none, none, none, turn[first], label[first], size[first], none, pa.nulls(len(i), pa.binary()))
+                    yield batch(arrow, np.minimum(i, j), np.maximum(i, j), none, none, none, turn[first], label[first], size[first], none, none, none)
                 reach[own] = till
             went = np.arange(len(held)) if fresh else np.arange(old)
             for i in np.array_split(went := went[(reach[went] > place[-1]) & (group[went] == group[-1])], len(went) // 1024 + 1):
                 if len(i):
                     none, of = pa.nulls(len(i), pa.int64()), lambda values: [values[k] for k in i]  # noqa: B023
-                    yield batch(arrow, none, none, np.full(len(i), block[0] + 1), reach[i], place[i], turn[i], label[i], size[i], rep[i], of(data))
+                    yield batch(arrow, none, none, np.full(len(i), block[0] + 1), reach[i], place[i], turn[i], label[i], size[i], rep[i], of(h1), of(h2))
 
         def run(batches):
             held: list[tuple] = []
@@ -222,7 +224,7 @@ def neighbours(keys: DataFrame) -> DataFrame:
             if held and held[-1][1] is None:  # rows beyond the last block meet nothing
                 yield from compare(held)
 
-        dealt = rows.repartition("block").sortWithinPartitions("block", F.col("reach").isNull(), "place")
+        dealt = rows.join(vectors, ["label", "h1", "h2"]).select(*rows.columns, "vector").repartition("block").sortWithinPartitions("block", F.col("reach").isNull(), "place")
         return materialize(dealt.mapInArrow(run, f"a long, b long, {row}"), "met")
 
     rows = in_order(keys)
@@ -235,13 +237,13 @@ def neighbours(keys: DataFrame) -> DataFrame:
 
 
 def linked_pairs(distinct: DataFrame) -> DataFrame:
-    """(a, b): pairs of reps that link, found by as many passes as each label needs. distinct: label, size, rep, vector."""
+    """(a, b): pairs of reps that link, found by as many passes as each label needs. distinct: label, size, rep, h1, h2, vector."""
     plan, parts, same = materialize(planned(distinct), "plan"), [], ["label", "size"]
+    vectors = distinct.select("label", "h1", "h2", "vector")
     while True:
-        keys = materialize(keyed(distinct, plan), "keys")
-        found = neighbours(keys).groupBy(*same, "a", "b").agg(F.count_distinct("turn").alias("times"))
-        parts.append(materialize(found, "found"))
-        discard(keys)
+        with scratch() as keep:
+            found = neighbours(materialize(keyed(distinct, plan), "keys"), vectors).groupBy(*same, "a", "b").agg(F.count_distinct("turn").alias("times"))
+            parts.append(keep(materialize(found, "found")))
         todo = plan.where("not whole")
         if not todo.limit(1).count():
             break
@@ -267,7 +269,7 @@ def dedup(vectors: DataFrame) -> DataFrame:
     same = ["label", "h1", "h2"]
     groups = good.groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"), F.first("vector").alias("vector"))
     groups = materialize(groups, "distinct")
-    pairs = materialize(linked_pairs(groups.select("label", F.expr("int(length(vector) div 8)").alias("size"), "rep", "vector")), "pairs")
+    pairs = materialize(linked_pairs(groups.select("label", F.expr("int(length(vector) div 8)").alias("size"), "rep", "h1", "h2", "vector")), "pairs")
     # a rep stands for its vec_ids; one vec_id may have several vectors, so links are counted between vec_ids by reps
     copies = groups.groupBy("rep").agg(F.max("copies").alias("copies"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
