@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegrid.llm import chat_format, decontaminate, embedding_dedup, hard_negatives, html_extract, katz, language_id, ngram_join, packing, secret_scan, substring_dedup, token_alignment
+from notegrid.llm import chat_format, decontaminate, embedding_dedup, hard_negatives, html_extract, katz, language_id, ngram_join, packing, personal_data, secret_scan, substring_dedup, token_alignment
 from notegrid.llm.common import read, tune
 
 
@@ -63,6 +63,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_messages(read(spark, sf_dir, "conversations"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, by rules and by a field learned from a sample of what the rules find."""
+    tune(spark)
+    docs = read(spark, sf_dir, "documents")
+    return personal_data.report(docs, personal_data.learn(docs))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every vector whose id is divisible by 50, against all vectors; every seventh label is moved on first."""
     tune(spark)
@@ -81,7 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_benchmark_decontamination, op3_katz_backoff, op4_language_id, op5_secret_scan,
-        op6_ngram_jaccard_join, op7_packing, op8_embedding_dedup, op9_html_extract, op10_chat_format, op12_hard_negatives, op13_token_alignment,
+        op6_ngram_jaccard_join, op7_packing, op8_embedding_dedup, op9_html_extract, op10_chat_format, op11_personal_data, op12_hard_negatives, op13_token_alignment,
     )
 }
 

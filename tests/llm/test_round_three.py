@@ -3,13 +3,15 @@
 import hashlib
 import math
 import random
+import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from notegrid.llm import common, hard_negatives, token_alignment
+from notegrid.llm import common, hard_negatives, personal_data, token_alignment
 
 
 @pytest.fixture(autouse=True)
@@ -146,3 +148,128 @@ def test_token_alignment_without_rows(spark):
     assert token_alignment.align(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     none = token_alignment.align(spark.createDataFrame([(1, None), (1, None)], "doc_id long, text string")).collect()
     assert [r["n_links"] for r in none] == [0, 0]
+
+
+# --- personal data ----------------------------------------------------------------------------------------------------------
+
+RULES = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def private_by_hand(text):
+    def good(kind, s):
+        digits = "".join(c for c in s if c in "0123456789")
+        if kind == "ip":
+            return all(int(p) <= 255 for p in s.split("."))
+        if kind == "card":
+            doubled = sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(digits[::-1]))
+            return 16 <= len(digits) <= 19 and doubled % 10 == 0
+        return kind == "email" or 8 <= len(digits) <= 15
+
+    return [(personal_data.KINDS.index(k), m.start(), m.end()) for k, rule in RULES.items() for m in rule.finditer(text or "") if good(k, m.group())]
+
+
+def private_texts(n=120, seed=2):
+    rng = random.Random(seed)
+    word = lambda: rng.choice(["the", "inn", "near", "à", "ñandú", "at", "dot", "call", "v1", "a1b2"])
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+
+    def card(k=16):
+        body = digits(k - 1)
+        return next(body + c for c in "0123456789" if personal_data.luhn(body + c))
+
+    def one():
+        kind = rng.randrange(8)
+        if kind == 0:
+            return f"{word()}.{digits(2)}@mail{digits(1)}.example.com"
+        if kind == 1:
+            return ".".join(str(rng.randrange(256)) for _ in range(4))
+        if kind == 2:
+            c = card(rng.choice([16, 16, 19]))
+            return rng.choice([c, " ".join(c[i : i + 4] for i in range(0, len(c), 4)), "-".join(c[i : i + 4] for i in range(0, len(c), 4))])
+        if kind == 3:
+            return f"+1 ({digits(3)}) {digits(3)}-{digits(4)}"
+        if kind == 4:
+            return rng.choice([digits(16), digits(9), f"{digits(3)}.{digits(3)}.{digits(3)}.{digits(3)}", "1.2.3", "+1", "@", "a@b", "@@x.y", "a@b.c@d.e", "1.2.3.4.5.6.7.8.9", "-1-", "+12-", "2024-05-06"])
+        return " ".join(word() for _ in range(5))
+
+    return [rng.choice([" ", " ", "\n", ", "]).join(one() for _ in range(rng.randint(1, 12))) for _ in range(n)]
+
+
+def test_private_rules_by_hand():
+    odd = ["", "@", "@" * 500, "a" * 3000 + "@b.c", "9" * 5000, "1." * 2000, "0000000001.2.3.4", "256.1.1.1", "+1" + "2" * 13, "+1 " * 300, "1 " * 3000, "x@y..z", "x@-.-", "é+1 555 1234567é", "１２３４", "a@b.c" * 200]
+    for t in [*private_texts(400), *odd]:
+        assert personal_data.base_spans(t) == private_by_hand(t), t[:200]
+
+
+def segmentations(n, spans):
+    """All ways to cut n atoms into other atoms (kind 0) and entities of the given (first, size) -> scores by kind."""
+    if not n:
+        yield [], 0.0
+        return
+    for before, total in segmentations(n - 1, spans):
+        yield [*before, (0, n - 1, n)], total
+    for (i, size), scores in spans.items():
+        if i + size == n:
+            for before, total in segmentations(i, spans):
+                for k, s in enumerate(scores):
+                    if np.isfinite(s):
+                        yield [*before, (k + 1, i, n)], total + s
+
+
+def test_field_against_all_segmentations():
+    rng = np.random.default_rng(1)
+    for text in ("a.1@b.c 10.0.0.1", "4111111111111111 12345678", "+1 234-5678 x@y.z"):
+        atoms = personal_data.Atoms(text)
+        model = personal_data.Model(rng.normal(0.1, 0.7, (personal_data.BUCKETS, 4)), np.concatenate([np.zeros((5, 1)), rng.normal(0, 1, (5, 4))], axis=1))
+        some = atoms.spans(0, atoms.n)
+        spans = {(int(i), int(k)): s.tolist() for i, k, s in zip(some.first, some.size, some.scores(model.weights), strict=True)}
+        best = max(segmentations(atoms.n, spans), key=lambda x: x[1] + sum(model.after[a[0], b[0]] for a, b in zip([(0,), *x[0]], x[0], strict=False)))
+        assert [(k - 1, i, j) for k, i, j in best[0] if k] == [x[:3] for x in personal_data.best_entities(atoms, model)]
+
+
+def test_field_learns_formats(spark):
+    rows = [(i, t, "x") for i, t in enumerate(private_texts(250))]
+    more = ["mail bob.7 at mail5 dot example dot com now", "host 10[.]0[.]0[.]17 up", "card 4111.1111.1111.1111 ok", "or 1.743.555-3824 then", "on 2024-01-02 at 12 we saw 473696257", "dot at dot", "the inn near"]
+    rows += [(1000 + i, t, "x") for i, t in enumerate([*more, None, "", "9 " * 4000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string").repartition(3)
+    model = personal_data.learn(df)
+    got = {r["doc_id"]: r for r in personal_data.report(df, model).collect()}
+    for i, t, _ in rows:
+        base = private_by_hand(t)
+        assert [got[i][f"n_{k}"] for k in personal_data.KINDS] == [sum(x[0] == n for x in base) for n in range(4)]
+        assert got[i]["base_sha256"] == hashlib.sha256(personal_data.joined(base).encode()).hexdigest()
+        spans = [(personal_data.KINDS.index(k), int(s), int(e)) for k, s, e in (x.split(":") for x in got[i]["spans"].split(",") if x)]
+        assert spans == sorted(spans) and set(base) <= set(spans)
+        added = [x for x in spans if x not in base]
+        assert not any(s < f and e > b for _, s, e in added for _, b, f in base)
+    found = [{(x.split(":")[0], t[int(x.split(":")[1]) : int(x.split(":")[2])]) for x in got[1000 + i]["spans"].split(",") if x} for i, t in enumerate(more)]
+    assert found[:4] == [{("email", "bob.7 at mail5 dot example dot com")}, {("ip", "10[.]0[.]0[.]17")}, {("card", "4111.1111.1111.1111")}, {("phone", "1.743.555-3824")}]
+    assert not any(found[4:])
+    # most labelled passages are found by the field alone, on texts that it has not seen
+    hit = total = 0
+    for t in private_texts(150, seed=9):
+        own = private_by_hand(t)
+        for low, high in personal_data.passages(t):
+            atoms = personal_data.Atoms(t[low:high])
+            alone = {(k, low + atoms.start[i], low + atoms.end[j - 1]) for k, i, j, _ in personal_data.best_entities(atoms, model)}
+            inside = {x for x in own if x[1] >= low and x[2] <= high}
+            hit, total = hit + len(inside & alone), total + len(inside)
+    assert hit > 0.85 * total, (hit, total)
+
+
+def test_private_data_without_labels(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert personal_data.learn(empty) is None and personal_data.report(empty, None).count() == 0
+    none = spark.createDataFrame([(1, "no such thing, 12"), (1, None)], "doc_id long, text string")
+    assert [r["spans"] for r in personal_data.report(none, personal_data.learn(none)).collect()] == ["", ""]
+
+
+def test_private_scan_time_grows_with_the_text():
+    model = personal_data.Model(np.zeros((personal_data.BUCKETS, 4)), np.zeros((5, 5)))
+    for text in ("a" * 1_000_000, "9" * 1_000_000, "a@" * 300_000, "1.1." * 100_000, "+1" * 300_000, "1 2-" * 30_000):
+        began = time.time()
+        personal_data.all_spans(text, model)
+        assert time.time() - began < 20, text[:10]
