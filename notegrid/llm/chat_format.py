@@ -106,7 +106,14 @@ def listed(value) -> list:
     return value if isinstance(value, list) else []
 
 
-#: What a keyword of a schema asks of a value: (x, the keyword's value, the schema) -> bool, None if it cannot be told.
+def named(schema: dict) -> dict:
+    """The properties that a schema names; none if that keyword is no object."""
+    found = schema.get("properties")
+    return found if isinstance(found, dict) else {}
+
+
+#: What a keyword of a schema asks of a value: (x, the keyword's value, the schema) -> bool, None if it cannot be told, as by a
+#: keyword whose own value is of the wrong type; null counts as absent.
 KEYWORDS = {
     "enum": lambda x, v, _: any(equal(x, e) for e in v) if isinstance(v, list) else None,
     "const": lambda x, v, _: equal(x, v),
@@ -118,13 +125,13 @@ KEYWORDS = {
     "maxLength": lambda x, v, _: not isinstance(x, str) or (len(x) <= v if number(v) else None),
     "minItems": lambda x, v, _: not isinstance(x, list) or (len(x) >= v if number(v) else None),
     "maxItems": lambda x, v, _: not isinstance(x, list) or (len(x) <= v if number(v) else None),
-    "required": lambda x, v, _: not isinstance(x, dict) or all(k in x for k in listed(v) if isinstance(k, str)),
-    "properties": lambda x, v, _: together(valid(x[k], v[k]) for k in v if k in x) if isinstance(x, dict) and isinstance(v, dict) else True,
-    "additionalProperties": lambda x, v, s: together(valid(y, v) for k, y in x.items() if k not in (s.get("properties") or {})) if isinstance(x, dict) else True,
+    "required": lambda x, v, _: not isinstance(x, dict) or (all(k in x for k in v if isinstance(k, str)) if isinstance(v, list) else None),
+    "properties": lambda x, v, _: not isinstance(x, dict) or (together(valid(x[k], v[k]) for k in v if k in x) if isinstance(v, dict) else None),
+    "additionalProperties": lambda x, v, s: together(valid(y, v) for k, y in x.items() if k not in named(s)) if isinstance(x, dict) else True,
     "items": lambda x, v, _: together(valid(y, v) for y in x) if isinstance(x, list) and not isinstance(v, list) else True if not isinstance(x, list) else None,
-    "allOf": lambda x, v, _: together(valid(x, s) for s in listed(v)),
-    "anyOf": lambda x, v, _: opposite(together(opposite(valid(x, s)) for s in listed(v))),
-    "oneOf": lambda x, v, _: exactly_one([valid(x, s) for s in listed(v)]),
+    "allOf": lambda x, v, _: together(valid(x, s) for s in v) if isinstance(v, list) else None,
+    "anyOf": lambda x, v, _: opposite(together(opposite(valid(x, s)) for s in v)) if isinstance(v, list) else None,
+    "oneOf": lambda x, v, _: exactly_one([valid(x, s) for s in v]) if isinstance(v, list) else None,
     "not": lambda x, v, _: opposite(valid(x, v)),
 }
 
@@ -137,6 +144,8 @@ def valid(x, schema) -> bool | None:
         return True
     found: list[bool | None] = []
     for word, value in schema.items():
+        if value is None and word != "const":
+            continue  # as if it were not there
         if word == "type":
             kinds = [k for k in ([value] if isinstance(value, str) else listed(value)) if isinstance(k, str)]
             known = [k for k in kinds if k in TYPES or k in ("number", "integer")]

@@ -7,8 +7,7 @@ remaining lengths.
 
 Every candidate in every text is scored by the automata: every run of credential characters, and its parts that begin after
 a ``=``, ``/`` or ``.`` and end before the next one, at the run's end, or before such characters there. A candidate is a
-secret too, of kind ``auto``, if an automaton of whose labelled lengths it is accepts it along a whole path, with a likelihood
-a symbol like that of the labelled strings, and if it is more likely a labelled string than a run of the corpus: the
+secret too, of kind ``auto``, if an automaton accepts it along a whole path, whatever its length, with a likelihood a symbol like that of the labelled strings, and if it is more likely a labelled string than a run of the corpus: the
 automaton's likelihood times the share of labelled strings among all runs must exceed that of a chain of symbol pairs,
 counted over all runs of all texts. Of candidates that overlap the first and longest stays; none overlaps a rule's span.
 
@@ -247,8 +246,8 @@ def learn(docs: DataFrame) -> Model:
     return Model(automata, shares, pairs)
 
 
-def candidates(code: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Begins and ends of all candidates of least to most symbols, in order."""
+def candidates(code: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of all candidates of at least that many symbols, in order."""
     symbol = code > 0
     edge = np.flatnonzero(symbol[1:] != symbol[:-1]) + 1
     first, last = edge[::2], edge[1::2]
@@ -265,7 +264,7 @@ def candidates(code: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.
     part = np.minimum(np.r_[at, len(code)][following], end)
     whole = np.maximum.accumulate(np.where(symbol & ~parts, np.arange(len(code)), 0))  # the last symbol that is no separator
     begin, end = np.tile(begin, 3), np.r_[part, end, whole[end - 1] + 1]
-    fits = (end - begin >= least) & (end - begin <= most)
+    fits = end - begin >= least
     both = np.unique(begin[fits] * (len(code) + 1) + end[fits])
     return both // (len(code) + 1), both % (len(code) + 1)
 
@@ -277,7 +276,6 @@ class Scorer:
         self.model = model
         self.tables = [a.tables() for a in model.automata]
         self.least = min((a.shortest for a in model.automata), default=0)
-        self.most = max((a.longest for a in model.automata), default=0)
 
     def likelihood(self, k: int, code: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Log likelihood of candidates by automaton k; -inf where no path accepts."""
@@ -296,14 +294,14 @@ class Scorer:
         return out
 
     def accepted(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        begin, end = candidates(code, self.least, self.most)
+        begin, end = candidates(code, self.least)
         size = end - begin
         pairs = self.model.pairs
         sums = np.cumsum(np.r_[0.0, pairs[code[:-1], code[1:]]])  # sums[i]: pairs up to the one that ends at i
         common = pairs[0, code[begin]] + sums[end - 1] - sums[begin] + pairs[code[end - 1], 0]
         use = np.zeros(len(begin), bool)
         for k, a in enumerate(self.model.automata):
-            own = np.flatnonzero((size >= a.shortest) & (size <= a.longest))
+            own = np.flatnonzero(size >= a.shortest)
             log = self.likelihood(k, code, begin[own], size[own])
             use[own] |= (log / (size[own] + 1) >= a.lowest - SLACK) & (log + self.model.shares[k] > common[own])
         return begin[use], end[use]

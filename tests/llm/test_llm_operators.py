@@ -322,7 +322,7 @@ def likely_by_hand(text, model):
                 c, code = text[s:e], [0, *(secret_scan.CODES[ord(x)] for x in text[s:e]), 0]
                 common = sum(model.pairs[x, y] for x, y in zip(code, code[1:]))
                 for a, share in zip(model.automata, model.shares):
-                    x = a.score(c) if e > s and a.shortest <= e - s <= a.longest else None
+                    x = a.score(c) if e > s and a.shortest <= e - s else None
                     if x is not None and x >= a.lowest - secret_scan.SLACK and x * (len(c) + 1) + share > common:
                         found.append((s, -e))
     base, out = base_by_hand(text), []

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from notegrid.llm import common, hard_negatives, personal_data, token_alignment
+from notegrid.llm import chat_format, common, hard_negatives, html_extract, personal_data, secret_scan, token_alignment
 
 
 @pytest.fixture(autouse=True)
@@ -273,3 +273,55 @@ def test_private_scan_time_grows_with_the_text():
         began = time.time()
         personal_data.all_spans(text, model)
         assert time.time() - began < 20, text[:10]
+
+
+# --- what was mended ----------------------------------------------------------------------------------------------------------
+
+
+def test_tags_end_where_they_should(spark):
+    pages = {
+        "<p>a <b title=it's>don't</b> stop</p>": "a don't stop", "<p>a <i x='b>c'>d</i> e</p>": "a d e", '<p>a <i x="1 >b</i> c</p>': "a b c", "<p>x <a x='1 no end": "x <a x='1 no end",
+        '<p>1 <a x=">" <b x=">" 2</p>': "1", '<p>1 <a x=">" 2': "1 2", "<p>a < b <3 & <!-- x > y -->c</p>": "a < b <3 & c", "<p>a<!-- never closed <p>b": "a", "<p>1 <math><mi>x</mi></math> 2": "1 x 2", "<p>a<br/>b<script>if (a > b) '</p>'</script>c": "a bc",
+    }
+    got = {h: "\n".join(x for x in (n.own for n in html_extract.tree(h).nodes) if x) for h in pages}
+    assert {h: " ".join(t.split()) for h, t in got.items()} == {h: " ".join(t.split()) for h, t in pages.items()}
+    df = spark.createDataFrame([(i, "http://h/", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extract_pages(df).collect()}[0] == "a don't stop"
+
+
+def test_page_time_grows_with_the_page():
+    for html in ("<a " * 350_000, '<a x=">" ' * 110_000, "<a x='" * 160_000, "<!" * 500_000, "</script " * 100_000 + ">", "<a x=\"'" * 120_000 + ">", "<a =" * 250_000 + ">", "<" * 1_000_000, "<!--" * 250_000, "<script>" + "</script " * 100_000):
+        began = time.time()
+        html_extract.tree(html)
+        assert time.time() - began < 2, html[:10]
+
+
+@pytest.mark.parametrize("word", ["type", *chat_format.KEYWORDS])
+def test_schema_keywords_of_any_type(word):
+    values = [None, True, False, 5, -1.5, "abc", [], [1, "a"], {}, {"a": 5}, {"a": {"type": "string"}}]
+    for value in values:
+        for x in [*values, {"a": "b", "c": 1}]:
+            assert chat_format.valid(x, {word: value}) in (True, False, None)
+            assert chat_format.valid(x, {word: value, "additionalProperties": False, "properties": value}) in (True, False, None)
+    assert chat_format.valid({"abc": 1}, {"properties": "abc", "additionalProperties": False}) is False
+    assert chat_format.valid({}, {"properties": 5}) is None
+
+
+def test_odd_schemas_do_not_end_a_query(spark):
+    tools = '<tools>[{"name": "f", "parameters": {"additionalProperties": false, "properties": %s}}]</tools>'
+    rows = [(c, 0, "system", tools % p) for c, p in enumerate(("5", "true", '"abc"', "[]", "null"))]
+    rows += [(c, 1, "assistant", '<tool_call>{"id": "1", "name": "f", "arguments": {"a": 1}}</tool_call>') for c in range(5)]
+    out = chat_format.format_messages(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
+    assert len(out) == 10 and sum(r["n_calls"] for r in out) == 5
+
+
+def test_candidates_of_any_length_are_scored():
+    rng = random.Random(6)
+    values = ["sk-" + "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(20, 30))) for _ in range(400)]
+    a = secret_scan.infer(values)
+    pairs = np.full((secret_scan.KNOWN, secret_scan.KNOWN), -np.log(secret_scan.KNOWN))
+    scorer = secret_scan.Scorer(secret_scan.Model([a], [0.0], pairs))
+    for n in (20, 25, 30, 31, 40, 200):
+        value = "sk-" + "".join(rng.choice("0123456789abcdef") for _ in range(n))
+        accepted = (a.score(value) or -99) >= a.lowest - secret_scan.SLACK
+        assert bool(scorer.spans([f"x {value} y"])[0]) == accepted, n
