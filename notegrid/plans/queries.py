@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notegrid import functions as fn
-from notegrid.operators import catalog, compare, layout, ordering, related, search, selection, validate
+from notegrid.operators import catalog, compare, layout, ordering, related, scan, search, selection, validate
 from notegrid.sources import page_paths, url_write_back
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -308,6 +308,32 @@ def selection_fold(t) -> DataFrame:
     return selection.fold(t("events"), "user_id", ["ts", "event_id"], "event_type").withColumn("selection", F.array_join("selection", ","))
 
 
+#: Two thirds of the users count as one, so that one key has most of the rows.
+_HOT_KEY = "CASE WHEN user_id % 3 < 2 THEN -1 ELSE user_id END"
+
+
+@query(f"""
+SELECT user_key, list_reduce(list_prepend('', list(event_type ORDER BY ts, event_id)),
+    lambda s, x: CASE WHEN s = '' THEN x WHEN list_contains(string_split(s, ','), x) THEN s WHEN contains(s, ',') THEN string_split(s, ',')[2] || ',' || x ELSE s || ',' || x END) AS selection
+FROM (SELECT *, {_HOT_KEY} AS user_key FROM events) GROUP BY user_key
+""")
+def selection_fold_hot(t) -> DataFrame:
+    e = t("events").withColumn("user_key", F.expr(_HOT_KEY))
+    return selection.fold(e, "user_key", ["ts", "event_id"], "event_type").withColumn("selection", F.array_join("selection", ","))
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT event_id, user_key, value, row_number() OVER (PARTITION BY user_key ORDER BY ts, event_id, value) AS n FROM (SELECT *, {_HOT_KEY} AS user_key FROM events)),
+s(user_key, n, event_id, state) AS (
+    SELECT user_key, n, event_id, value * 0.18::DOUBLE FROM e WHERE n = 1
+    UNION ALL SELECT e.user_key, e.n, e.event_id, s.state + (e.value - s.state) * 0.18::DOUBLE FROM s JOIN e ON e.user_key = s.user_key AND e.n = s.n + 1)
+SELECT event_id, user_key, round(state, 9) AS smoothed FROM s
+""")
+def smoothed_values(t) -> DataFrame:
+    e = t("events").select("event_id", "ts", "value", F.expr(_HOT_KEY).alias("user_key"))
+    return scan.smoothed(e, "user_key", ["ts", "event_id"], "value").select("event_id", "user_key", F.round("smoothed", 9).alias("smoothed"))
+
+
 @query("""
 WITH s AS (SELECT DISTINCT user_id, event_type FROM events)
 SELECT e.user_id, e.event_id, e.event_type FROM events e JOIN s ON s.user_id = e.user_id + 1 AND s.event_type = e.event_type
