@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notegrid import functions as fn
-from notegrid.operators import catalog, compare, layout, ordering, related, scan, search, selection, validate
+from notegrid.operators import catalog, compare, layout, ordering, related, scan, search, search_index, selection, validate
 from notegrid.sources import page_paths, url_write_back
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,6 +126,15 @@ def search_normalized(t) -> DataFrame:
     return docs.select(F.explode(hits).alias("q"), "doc_id")
 
 
+_INDEXED = (*_TERMS, "", " ^ ", "q", "ñ", "é ", "th", "the", "mail3.example", "%", "_", "the of.", "no such term at all")
+
+
+@query(f"SELECT q, doc_id FROM documents, (SELECT unnest([{', '.join(repr(q) for q in _INDEXED)}]) AS q) WHERE contains({_NORMAL}, trim(lower(strip_accents(replace(q, '^', '')))))")
+def search_indexed(t) -> DataFrame:
+    docs = t("documents")
+    return search_index.find(docs.sparkSession, search_index.build(docs, "doc_id", "text"), list(_INDEXED)).withColumnRenamed("key", "doc_id")
+
+
 @query(f"SELECT doc_id, lang FROM documents WHERE lang = 'fr' AND contains({_NORMAL}, 'ementre')")
 def search_filtered(t) -> DataFrame:
     return search.filter_descriptors(t("documents"), fn.normalize_term(F.col("text")), "ÉMENTRE", "fr", "lang").select("doc_id", "lang")
