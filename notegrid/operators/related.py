@@ -1,7 +1,7 @@
 """Nearest neighbours: the k rows of the smallest key, distance less a bonus for the same category, for each query row.
 
-Query rows are a stated set. They travel as blocks, and so do all rows: a block of rows meets every block of queries and
-returns its k best for each query, so what is shuffled are blocks and queries x k x blocks of rows, never the pairs.
+Query rows are a stated set and travel as blocks, some of them at a time by a broadcast of bounded size. Rows stay where they
+are, packed; a task keeps the k best of its rows for each query, and those are all that is shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 SAME_CATEGORY_BONUS, DEFAULT_K = -2.0, 4
 #: Query rows of a block, rows of a block at most, and how many queries are compared with a block of rows at once.
-QUERIES, ROWS, AT_ONCE = 4096, 8192, 64
+QUERIES, ROWS, AT_ONCE = 1024, 8192, 64
+#: Bytes of queries that are broadcast together.
+TOGETHER = 64_000_000
 _PACKED = "keys array<long>, categories array<string>, profiles binary"
 
 
@@ -60,7 +62,9 @@ def related(rows: DataFrame, queries: DataFrame, key: str, profile: str, categor
     columns = [F.col(key).cast("long").alias("key"), F.col(profile).cast("array<double>").alias("profile"), F.col(category).cast("string").alias("category")]
     asked = queries.select(*columns).where("profile is not null")
     data = rows.select(*columns).where("profile is not null")
-    blocks = max(1, -(-asked.count() // QUERIES))
+    size = asked.agg(F.count("*"), F.max(F.size("profile"))).first()
+    blocks = max(1, -(-size[0] // QUERIES))
+    rounds = max(1, -(-size[0] * (8 * (size[1] or 0) + 64) // TOGETHER))
 
     def pack_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -71,14 +75,24 @@ def related(rows: DataFrame, queries: DataFrame, key: str, profile: str, categor
         return pd.DataFrame([{"block": b["block"].iloc[0], **_pack(b)}])
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, pd.DataFrame] = {}
         for b in batches:
             for r in b.itertuples():
                 if k:
-                    yield nearest(_unpack(r.q_keys, r.q_categories, r.q_profiles), _unpack(r.keys, r.categories, r.profiles), k, bonus)
+                    found = nearest(_unpack(r.q_keys, r.q_categories, r.q_profiles), _unpack(r.keys, r.categories, r.profiles), k, bonus)
+                    if r.block in held:
+                        found = pd.concat([held[r.block], found]).sort_values(["query", "score", "key"]).groupby("query").head(k)
+                    held[r.block] = found
+        yield from held.values()
 
-    packed = data.mapInPandas(pack_rows, _PACKED).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    packed = data.mapInPandas(pack_rows, _PACKED)
     wanted = asked.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).groupBy("block").applyInPandas(pack_queries, f"block long, {_PACKED}")
-    met = packed.join(wanted.select("block", *[F.col(c).alias(f"q_{c}") for c in ("keys", "categories", "profiles")]), "block")
-    best = met.mapInPandas(compare, "query long, key long, distance double, score double")
+    wanted = wanted.select("block", *[F.col(c).alias(f"q_{c}") for c in ("keys", "categories", "profiles")])
+    best = None
+    for n in range(rounds):
+        numbers = F.sequence(F.lit(n).cast("long"), F.lit(max(blocks - 1, n)).cast("long"), F.lit(rounds).cast("long"))
+        met = packed.withColumn("block", F.explode(numbers)).join(F.broadcast(wanted.where(F.pmod("block", F.lit(rounds)) == n)), "block")
+        found = met.mapInPandas(compare, "query long, key long, distance double, score double")
+        best = found if best is None else best.unionByName(found)
     order = Window.partitionBy("query").orderBy("score", "key")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "key", "distance", "score")

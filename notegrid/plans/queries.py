@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notegrid import functions as fn
-from notegrid.operators import catalog, compare, layout, ordering, related, scan, search, search_index, selection, validate
+from notegrid.operators import catalog, compare, layout, neighbours, ordering, related, scan, search, search_index, selection, validate
 from notegrid.sources import page_paths, url_write_back
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,20 @@ def related_topk(t) -> DataFrame:
     return out.select("query", F.col("rank").cast("long").alias("rank"), "key", r6(F.col("distance")).alias("distance"), r6(F.col("score")).alias("score"))
 
 
+@query("""
+WITH d AS (SELECT q.vec_id AS query, e.vec_id AS key, q.label = e.label AS same,
+             sqrt(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))))) AS distance
+      FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id),
+r AS (SELECT query, key, distance, CASE WHEN same THEN distance - 2 ELSE distance END AS score FROM d),
+k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9), key) AS rank FROM r)
+SELECT query, CAST(rank AS BIGINT) AS rank, key, round(distance, 6) AS distance, round(score, 6) AS score FROM k WHERE rank <= 4
+""")
+def related_all(t) -> DataFrame:
+    e = t("embeddings")
+    out, _ = neighbours.exact_related(e, e, "vec_id", "embedding", "label")
+    return out.select("query", F.col("rank").cast("long").alias("rank"), "key", r6(F.col("distance")).alias("distance"), r6(F.col("score")).alias("score"))
+
+
 _PAIRS = """
 SELECT a.vec_id AS a_id, b.vec_id AS b_id, a.embedding AS x, b.embedding AS y, a.label AS la, b.label AS lb
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
