@@ -50,7 +50,7 @@ def members(df: DataFrame, array: Column, registry: DataFrame, key: str) -> Data
 
 def with_asset(df: DataFrame, assets: DataFrame) -> DataFrame:
     """df with its asset, if it has one, and the motion that applies."""
-    own = F.broadcast(assets.select(F.col("slug").alias("_slug"), F.struct(*assets.columns).alias("asset")))
+    own = assets.select(F.col("slug").alias("_slug"), F.struct(*assets.columns).alias("asset"))  # grows with the data: no broadcast by hint
     joined = df.join(own, df["slug"] == F.col("_slug"), "left").drop("_slug")
     return joined.withColumn("motion", F.coalesce(F.col("asset.motionFamily"), F.col("visualProfile.motion")))
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from notegrid import functions as fn
 from notegrid.operators import catalog, compare, layout, neighbours, ordering, related, scan, search, search_index, selection, validate
 from notegrid.sources import page_paths, url_write_back
+from notegrid.streaming.ordered import replayed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -345,6 +346,16 @@ def selection_fold_hot(t) -> DataFrame:
     return selection.fold(e, "user_key", ["ts", "event_id"], "event_type").withColumn("selection", F.array_join("selection", ","))
 
 
+@query("""
+SELECT user_id, list_reduce(list_prepend('', list(event_type ORDER BY ts, event_id)),
+    lambda s, x: CASE WHEN s = '' THEN x WHEN list_contains(string_split(s, ','), x) THEN s WHEN contains(s, ',') THEN string_split(s, ',')[2] || ',' || x ELSE s || ',' || x END) AS selection
+FROM events GROUP BY user_id
+""")
+def selection_stream(t) -> DataFrame:
+    out = replayed(t("events"), "user_id", "ts", "event_id", "event_type")
+    return out.select(F.col("key").cast("long").alias("user_id"), F.array_join("selection", ",").alias("selection"))
+
+
 @query(f"""
 WITH RECURSIVE e AS (SELECT event_id, user_key, value, row_number() OVER (PARTITION BY user_key ORDER BY ts, event_id, value) AS n FROM (SELECT *, {_HOT_KEY} AS user_key FROM events)),
 s(user_key, n, event_id, state) AS (
