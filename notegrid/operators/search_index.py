@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notegrid.functions import normalize_term
@@ -25,7 +25,7 @@ from notegrid.sources.tables import new_path
 #: Characters of a gram, grams of a term that are looked up at most (the others are left to the last look at the text).
 GRAM, LOOKED_UP = 3, 6
 #: Characters of texts whose postings are put together in a task, texts of a chunk, chunks for each part of the postings.
-TOGETHER, CHUNK_ROWS, PART_CHUNKS = 1 << 22, 4096, 4
+TOGETHER, CHUNK_ROWS, PART_CHUNKS = 1 << 23, 4096, 1
 
 
 @dataclass(frozen=True)
@@ -49,27 +49,32 @@ def build(df: DataFrame, key: str, text: str) -> Index:
     chunks = max(1, -(-df.count() // CHUNK_ROWS))
     index = Index(new_path(spark), new_path(spark), new_path(spark), chunks, max(8, chunks // PART_CHUNKS))
     rows = df.select(F.col(key).cast("long").alias("key"), normalize_term(F.coalesce(F.col(text), F.lit(""))).alias("text"))
-    # a row's number tells rows of one key apart
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("key", F.md5("text")), F.lit(chunks)).cast("int"))
-    placed = rows.repartition(chunks, "chunk").sortWithinPartitions("chunk", "key").withColumn("row", F.monotonically_increasing_id())
-    placed.write.partitionBy("chunk").option("compression", "zstd").parquet(index.texts)
-    arrow = pa.schema([("gram", pa.string()), ("rows", pa.list_(pa.struct([("chunk", pa.int32()), ("row", pa.int64())])))])
+    # a row's number in its chunk tells rows of one key apart; a chunk has CHUNK_ROWS rows on average
+    number = F.row_number().over(Window.partitionBy("chunk").orderBy("key"))
+    rows.repartition(chunks, "chunk").withColumn("row", number).write.partitionBy("chunk").option("compression", "zstd").parquet(index.texts)
+    arrow = pa.schema([("gram", pa.string()), ("chunk", pa.int32()), ("rows", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[dict]] = {}
-        size = 0
+        held: dict[str, list[int]] = {}
+        size, now = 0, -1
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([now] * len(held), pa.int32()), pa.array(list(held.values()), arrow.field("rows").type)], schema=arrow)
+
         for b in batches:
             for chunk, row, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                place = {"chunk": chunk, "row": row}
+                if held and (chunk != now or size > TOGETHER):
+                    yield done()
+                    held, size = {}, 0
+                now = chunk
                 for g in grams_of(words):
-                    held.setdefault(g, []).append(place)
+                    held.setdefault(g, []).append(row)
                 size += len(words)
-                if size > TOGETHER:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), arrow.field("rows").type)], schema=arrow)
-                    held, size = {}, 0
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), arrow.field("rows").type)], schema=arrow)
+        if held:
+            yield done()
 
-    postings = texts_of(spark, index).select("chunk", "row", "text").mapInArrow(run, "gram string, rows array<struct<chunk:int,row:long>>")
+    postings = texts_of(spark, index).select("chunk", "row", "text").mapInArrow(run, "gram string, chunk int, rows array<int>")
     postings = postings.withColumn("part", part_of(F.col("gram"), index))
     postings.repartition(index.parts, "part").sortWithinPartitions("part", "gram").write.partitionBy("part").option("compression", "zstd").parquet(index.postings)
     counts = postings_of(spark, index).groupBy("part", "gram").agg(F.sum(F.size("rows")).alias("n"))
@@ -82,11 +87,11 @@ def part_of(gram: Column, index: Index) -> Column:
 
 
 def texts_of(spark: SparkSession, index: Index) -> DataFrame:
-    return spark.read.schema("key long, text string, row long, chunk int").parquet(index.texts)
+    return spark.read.schema("key long, text string, row int, chunk int").parquet(index.texts)
 
 
 def postings_of(spark: SparkSession, index: Index) -> DataFrame:
-    return spark.read.schema("gram string, rows array<struct<chunk:int,row:long>>, part int").parquet(index.postings)
+    return spark.read.schema("gram string, chunk int, rows array<int>, part int").parquet(index.postings)
 
 
 def normalised(spark: SparkSession, terms: list[str]) -> list[str]:
@@ -118,7 +123,7 @@ def find(spark: SparkSession, index: Index, terms: list[str]) -> DataFrame:
     if short:
         # the gram holds the term, so the text does
         hits = F.filter(F.array(*[F.when(F.contains("gram", F.lit(t)), F.lit(q)) for q, t in short.items()]), lambda x: x.isNotNull())
-        rows = postings_of(spark, index).select(F.explode(hits).alias("q"), "rows").select("q", F.explode("rows").alias("r")).select("q", "r.chunk", "r.row").distinct()
+        rows = postings_of(spark, index).select(F.explode(hits).alias("q"), "chunk", "rows").select("q", "chunk", F.explode("rows").alias("row")).distinct()
         found.append(rows.join(texts_of(spark, index).select("key", "row", "chunk"), ["chunk", "row"]).select("q", "key"))
     long = {q: t for q, t in plain.items() if len(t) >= GRAM}
     grams = {t: g for t, g in chosen(spark, index, list(long.values())).items() if g}
@@ -128,7 +133,7 @@ def find(spark: SparkSession, index: Index, terms: list[str]) -> DataFrame:
         terms_ = spark.createDataFrame(asked, "q string, term string, gram string, all int").withColumn("part", part_of(F.col("gram"), index))
         parts = sorted({r["part"] for r in terms_.select("part").distinct().collect()})
         own = postings_of(spark, index).where(F.col("part").isin(parts) & F.col("gram").isin(sorted({a[2] for a in asked})))
-        rows = own.join(F.broadcast(terms_.drop("part")), "gram").select("q", "term", "all", F.explode("rows").alias("r")).select("q", "term", "all", "r.chunk", "r.row")
+        rows = own.join(F.broadcast(terms_.drop("part")), "gram").select("q", "term", "all", "chunk", F.explode("rows").alias("row"))
         candidates = rows.groupBy("q", "term", "all", "chunk", "row").agg(F.count("*").alias("n")).where("n = all").select("q", "term", "chunk", "row")
         # at most a number for each chunk of the texts: the other chunks are not read
         texts = texts_of(spark, index).join(F.broadcast(candidates.select("chunk").distinct()), "chunk", "left_semi")
