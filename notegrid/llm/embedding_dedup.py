@@ -11,7 +11,8 @@ is 1 less the square of the mean's length. A pair at the threshold then has the
 projection's sign with probability 1 - acos(cosine) / pi. It is met if it agrees in as many leading signs as make a group of
 WINDOW neighbours, log2(n / WINDOW) of n vectors. Passes are as many as leave MISSED of such pairs. Then they are doubled
 while Chao's estimate from the links that one and two passes found (capture-recapture) says that more than MISSED of the
-links are left. Where passes would cost as much as to compare all vectors with all, that is done instead.
+links are left. With the parameter whole_labels, labels of so few vectors that passes would cost as much are compared all with
+all instead; it is off by default, so that every label goes through the passes.
 
 Recall is below 1 in principle (measured against brute force in the tests); every link found is verified. Defined results:
 null, empty and zero vectors, vectors with null, infinite or NaN components and null labels link with nothing; vectors of
@@ -36,8 +37,8 @@ WINDOW, BITS, SEED = 32, 64, 20_240_229
 WHOLE, END = -1, 1 << 62
 #: Share of links that all passes may miss.
 MISSED = 0.002
-#: Bytes of the labels' means that are broadcast.
-MOST_BROADCAST = 32_000_000
+#: Bytes of the labels' means, and number of open blocks, that are broadcast.
+MOST_BROADCAST, MOST_OPEN = 32_000_000, 1_000_000
 #: Places of a block, how many of them are compared at once, and with how many before them.
 BLOCK, CHUNK, MEET = 8192, 256, 2048
 
@@ -77,7 +78,7 @@ def unit(data: list[bytes], n: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def planned(distinct: DataFrame) -> DataFrame:
+def planned(distinct: DataFrame, whole_labels: bool) -> DataFrame:
     """(label, size, n, mean, first, last, whole): the mean of the vectors of a label and length, and the passes over them."""
     part = "label long, size int, n long, total binary"
     arrow = pa.schema([("label", pa.int64()), ("size", pa.int32()), ("n", pa.int64()), ("total", pa.binary())])
@@ -106,7 +107,7 @@ def planned(distinct: DataFrame) -> DataFrame:
         n = sum(table.column("n").to_pylist())
         mean = np.round(sum(np.frombuffer(x, np.float64) for x in table.column("total").to_pylist()) / n, 6)
         passes = passes_for(n, 1 - float(mean @ mean))
-        return pa.table([[label], [size], [n], [mean.tobytes()], [0], [min(passes, n)], [passes * CHUNK >= n]], schema=final)
+        return pa.table([[label], [size], [n], [mean.tobytes()], [0], [min(passes, n)], [whole_labels and passes * CHUNK >= n]], schema=final)
 
     out = distinct.select("label", "size", "vector").mapInArrow(add, part).groupBy("label", "size").applyInArrow(plan, "label long, size int, n long, mean binary, first int, last int, whole boolean")
     return out.where("n > 1")
@@ -230,15 +231,20 @@ def neighbours(keys: DataFrame, vectors: DataFrame) -> DataFrame:
     rows = in_order(keys)
     met = meet(rows, True)
     pairs = met.where("a is not null").select("a", "b", "turn", "label", "size")
-    while (open_ := met.where("a is null").drop("a", "b")).limit(1).count():
-        met = meet(rows.join(F.broadcast(open_.select("block").distinct()), "block", "left_semi").select(*rows.columns).unionByName(open_), False)
+    while True:
+        open_ = met.where("a is null").drop("a", "b")
+        blocks = open_.select("block").distinct()
+        n = blocks.count()
+        if not n:
+            break
+        met = meet(rows.join(F.broadcast(blocks) if n <= MOST_OPEN else blocks, "block", "left_semi").select(*rows.columns).unionByName(open_), False)
         pairs = pairs.unionByName(met.where("a is not null").select("a", "b", "turn", "label", "size"))
     return pairs
 
 
-def linked_pairs(distinct: DataFrame) -> DataFrame:
+def linked_pairs(distinct: DataFrame, whole_labels: bool = False) -> DataFrame:
     """(a, b): pairs of reps that link, found by as many passes as each label needs. distinct: label, size, rep, h1, h2, vector."""
-    plan, parts, same = materialize(planned(distinct), "plan"), [], ["label", "size"]
+    plan, parts, same = materialize(planned(distinct, whole_labels), "plan"), [], ["label", "size"]
     vectors = distinct.select("label", "h1", "h2", "vector")
     while True:
         with scratch() as keep:
@@ -254,7 +260,7 @@ def linked_pairs(distinct: DataFrame) -> DataFrame:
         seen = times.groupBy(*same).agg(F.count("*").alias("links"), F.count_if(F.col("times") == 1).alias("once"), F.count_if(F.col("times") == 2).alias("twice"))
         missed = (F.col("last") - 1) / F.col("last") * F.col("once") * (F.col("once") - 1) / (2 * (F.col("twice") + 1))
         more = todo.join(seen, same).where(missed > MISSED * (F.col("links") + missed))
-        plan = materialize(more.select(*same, "n", "mean", F.col("last").alias("first"), (F.col("last") * 2).alias("last"), (F.col("last") * CHUNK >= F.col("n")).alias("whole")), "plan")
+        plan = materialize(more.select(*same, "n", "mean", F.col("last").alias("first"), (F.col("last") * 2).alias("last"), (F.lit(whole_labels) & (F.col("last") * CHUNK >= F.col("n"))).alias("whole")), "plan")
         if not plan.limit(1).count():
             break
     pairs = parts[0]
@@ -263,13 +269,13 @@ def linked_pairs(distinct: DataFrame) -> DataFrame:
     return pairs.select("a", "b").where("a <> b").distinct()
 
 
-def dedup(vectors: DataFrame) -> DataFrame:
+def dedup(vectors: DataFrame, whole_labels: bool = False) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding, label)."""
     good = materialize(usable(vectors), "vectors")
     same = ["label", "h1", "h2"]
     groups = good.groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"), F.first("vector").alias("vector"))
     groups = materialize(groups, "distinct")
-    pairs = materialize(linked_pairs(groups.select("label", F.expr("int(length(vector) div 8)").alias("size"), "rep", "h1", "h2", "vector")), "pairs")
+    pairs = materialize(linked_pairs(groups.select("label", F.expr("int(length(vector) div 8)").alias("size"), "rep", "h1", "h2", "vector"), whole_labels), "pairs")
     # a rep stands for its vec_ids; one vec_id may have several vectors, so links are counted between vec_ids by reps
     copies = groups.groupBy("rep").agg(F.max("copies").alias("copies"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))

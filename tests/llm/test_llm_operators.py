@@ -513,9 +513,8 @@ def test_embedding_group_larger_than_blocks(spark, monkeypatch, n):
     assert (got <= want).all() and got.sum() >= (1 if n == 1500 else 0.99) * want.sum() > n
 
 
-@pytest.mark.parametrize("chunk", [256, 1])
-def test_embedding_recall_in_a_cone(spark, monkeypatch, chunk):
-    monkeypatch.setattr(embedding_dedup, "CHUNK", chunk, raising=False)  # 1: by passes, however many
+@pytest.mark.parametrize("whole", [True, False])
+def test_embedding_recall_in_a_cone(spark, whole):
     rng = np.random.default_rng(10)
     unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
     centre = unit(rng.standard_normal(64))
@@ -524,7 +523,7 @@ def test_embedding_recall_in_a_cone(spark, monkeypatch, chunk):
     x[:400] = unit(x[1000:1400] + off * math.sqrt(1 / 0.983**2 - 1))
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     want = ((x @ x.T) >= 0.98).sum() - len(x)
-    got = embedding_dedup.dedup(df).agg(F.sum("n_links")).first()[0]
+    got = embedding_dedup.dedup(df, whole).agg(F.sum("n_links")).first()[0]
     assert want > 200 and 0.99 * want <= got <= want
 
 
