@@ -7,9 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notegrid.functions import abs_difference, equal_or_null
+from notegrid.functions import abs_difference, comma_list, equal_or_null
+from notegrid.operators.catalog import selected
 from notegrid.operators.ordering import ranked_differences
 from notegrid.operators.search import similar
+from notegrid.operators.selection import arity
+from notegrid.sources.tables import DIMENSION_IDS, request_state
 
 
 def differences(dims: Sequence[str], a: Sequence[Column], b: Sequence[Column]) -> Column:
@@ -33,3 +36,25 @@ def compare(pairs: DataFrame, dims: Sequence[str], a: Sequence[Column], b: Seque
     if modalities is not None:
         new["shared_modalities"] = shared_elements(*modalities)
     return out.withColumns(new)
+
+
+def overlay(requests: DataFrame, url: str, key: str, df: DataFrame) -> DataFrame:
+    """What the comparison of each request shows: its key, ``arity`` and, where two records are compared, the columns of compare
+    over their profiles, else nulls.
+
+    The URL's ``compare`` names slugs, of which the first two count; unknown ones go, one named twice stays twice. The requests
+    that name anything are joined to the records by slug; at most two rows come back to a request. Keys are unique and not null.
+    """
+    wanted = requests.select(F.col(key).alias("_key"), comma_list(request_state(F.col(url))["compare"]).alias("_named"))
+    side = F.struct(*[F.col(c) for c in ("slug", "categoryId", "confidence", "descriptorStatus", "sensoryModalities", "sensoryAssociation")])
+    found = selected(wanted, F.col("_named"), df.select(F.col("slug").alias("_slug"), side.alias("_row")), "_slug")
+    # two entries at most, of different pos, so that rows themselves are never ordered
+    both = found.groupBy("_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "_row"))), lambda s: s["_row"]).alias("_rows"))
+    out = requests.select(F.col(key).alias("_key")).join(both, "_key", "left")
+    out = out.withColumns({"arity": arity(F.coalesce("_rows", F.array().cast(both.schema["_rows"].dataType))), "a": F.get("_rows", F.lit(0)), "b": F.get("_rows", F.lit(1))})
+    profiles = [[F.col(f"{s}.sensoryAssociation.{d}.typical") for d in DIMENSION_IDS] for s in "ab"]
+    same = {c: (F.col(f"a.{c}"), F.col(f"b.{c}")) for c in ("categoryId", "confidence", "descriptorStatus")}
+    done = compare(out, DIMENSION_IDS, *profiles, same, (F.col("a.sensoryModalities"), F.col("b.sensoryModalities")))
+    two = F.col("arity") == "compared"
+    shown = ["differences", "similar", "biggest", *[f"same_{c}" for c in same], "shared_modalities"]
+    return done.select(F.col("_key").alias(key), "arity", F.col("a.slug").alias("first"), F.col("b.slug").alias("second"), *[F.when(two, F.col(c)).alias(c) for c in shown])

@@ -11,10 +11,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from notegrid.functions import strip_js
+from notegrid.functions import strip_js, url_fault
 from notegrid.sources.tables import CATEGORY, CONFIDENCE_LABELS, DESCRIPTOR, DIMENSION_IDS, EVIDENCE_LABELS, MODALITY_LABELS, SOURCE, STATUS_LABELS, schema_of, stored
 
 #: Members of the enumerations that have no labels.
@@ -98,7 +98,7 @@ CATEGORY_RULES = lambda: [text("id"), text("slug"), *pair("labels"), *pair("shor
 SOURCE_RULES = lambda: [
     text("id"), text("name"), member("sourceType", SOURCE_TYPES), text("licenseStatus"), member("reusePolicy", REUSE_POLICIES),
     Rule("attributionRequired", "invalid_type", "must be true or false", F.col("attributionRequired").isNull()), text("notes"),
-    Rule("url", "invalid_url", "must be a URL", F.col("url").isNotNull() & F.try_parse_url(F.col("url"), F.lit("HOST")).isNull()),
+    Rule("url", "invalid_url", "must be a URL", url_fault(F.col("url")).isNotNull()),
 ]
 
 
@@ -123,6 +123,31 @@ def record_issues(df: DataFrame, table: str, rules: Sequence[Rule], key: str = "
     return issues.select("table", "ordinal", "key", F.col("i.n").alias("place"), "i.path", "i.code", "i.message")
 
 
+def line_issues(marked: DataFrame, table: str) -> DataFrame:
+    """One row for every line that is no JSON: its path is the file's, its message the line's text; it has no ordinal or key."""
+    bad = marked.where("line is not null")
+    return bad.select(F.lit(table).alias("table"), "ordinal", F.lit(None).cast("string").alias("key"), F.lit(0).alias("place"), F.col("file").alias("path"), F.lit("malformed").alias("code"), F.col("line").alias("message"))
+
+
+def write_valid(df: DataFrame, table: str, rules: Sequence[Rule], path: str) -> DataFrame:
+    """Write the rows of df that break no rule to path, as Parquet, and return (table, place, path, code, n): how many rows broke
+    each rule, with one more row of the code ``accepted``, in the same single job.
+
+    The counts are metrics that tasks send with their results. Each task's are counted once, whatever was tried again, as long as
+    df is read in the stage that writes; behind a shuffle, a stage that runs again after a lost executor may count twice, so
+    write such a df first. A df without rows has counts of 0.
+    """
+    own = "_broken"
+    tested = df.withColumn(own, F.array(*[r.broken for r in rules]))
+    any_ = F.exists(own, lambda b: b)
+    seen = Observation(f"rules of {table}")
+    counts = [F.count_if(F.col(own)[i]).alias(f"rule{i}") for i in range(len(rules))]
+    tested.observe(seen, *counts, F.count_if(~any_).alias("accepted")).where(~any_).drop(own).write.parquet(path)
+    n = seen.get
+    rows = [(table, i, r.path, r.code, n[f"rule{i}"]) for i, r in enumerate(rules)] + [(table, None, None, "accepted", n["accepted"])]
+    return df.sparkSession.createDataFrame(rows, "table string, place int, path string, code string, n long")
+
+
 def duplicates(df: DataFrame, *keys: str) -> DataFrame:
     """(keys, n): keys that more than one row has."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

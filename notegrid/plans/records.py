@@ -13,7 +13,7 @@ from notegrid import functions as fn
 from notegrid.operators import catalog, compare, layout, ordering, search, selection, validate
 from notegrid.plans.queries import query, r6
 from notegrid.sources import (
-    CONFIDENCE_LABELS, DESCRIPTOR, DIMENSION_IDS, EVIDENCE_LABELS, MODALITY_LABELS, SOURCE, STATUS_LABELS, dimension_table, field_table, index_table, label_table, map_table, raw_table, read_table,
+    ASSET, CATEGORY, CONFIDENCE_LABELS, DESCRIPTOR, DIMENSION_IDS, EVIDENCE_LABELS, MODALITY_LABELS, SOURCE, STATUS_LABELS, dimension_table, field_table, index_table, label_table, map_table, marked_table, raw_table, read_table,
     new_path, request_state, source_matrix, text_list, with_ordinal, write_table,
 )
 
@@ -199,6 +199,48 @@ def json_records(t) -> DataFrame:
     return out.join(codes, "ordinal", "left").withColumn("code", F.coalesce("code", F.lit("")))
 
 
+@query(f"""
+SELECT slug AS key, en, CASE WHEN ordinal % 7 = 3 THEN 'out_of_range' ELSE '' END AS code, '' AS line, true AS placed FROM ({RECORDS}) WHERE ordinal % 7 <> 5
+UNION ALL SELECT '', '', 'malformed', '{{"slug": "' || slug, true FROM ({RECORDS}) WHERE ordinal % 7 = 5
+""")
+def marked_records(t) -> DataFrame:
+    """Records as JSON lines among which some break off, and others have a number that is none: issues tell the broken lines'
+    text and file, the others' rule."""
+    d = descriptors(t)
+    path, k = new_path(d.sparkSession), F.col("ordinal") % 7
+    d.where(~k.isin(3, 5)).write.json(path)
+    d.where(k == 3).withColumn("visualProfile", F.col("visualProfile").withField("density", F.lit("dense"))).write.mode("append").json(path)
+    d.where(k == 5).select(F.concat(F.lit('{"slug": "'), "slug")).write.mode("append").text(path)
+    rows = marked_table(d.sparkSession, path, DESCRIPTOR)
+    issues = validate.line_issues(rows, "descriptors")
+    codes = validate.record_issues(rows.where("line is null"), "descriptors", [validate.within("visualProfile.density", 0, 1)], "slug").select("ordinal", "code")
+    placed = lambda c: F.contains(F.col(c), F.lit(path.rsplit("/", 1)[1]))
+    good = rows.where("line is null").join(codes, "ordinal", "left").select(F.col("slug").alias("key"), "labels.en", F.coalesce("code", F.lit("")).alias("code"), F.lit("").alias("line"), placed("file").alias("placed"))
+    return good.unionByName(issues.select(F.lit("").alias("key"), F.lit("").alias("en"), "code", F.col("message").alias("line"), placed("path").alias("placed")))
+
+
+_ICON = "p_partkey % 3 = 0"
+
+
+@query(f"""
+WITH c AS (SELECT DISTINCT category FROM ({RECORDS}))
+SELECT 'category' AS kind, category AS key, upper(left(category, 1)) || substr(category, 2) || '/' || upper(category) AS label, 'c' AS detail, '' AS credited FROM c
+UNION ALL SELECT 'asset', 'part-' || p_partkey, 'own', p_name || '/' || p_brand, CASE WHEN {_ICON} THEN 'yes' ELSE 'no' END FROM part WHERE p_partkey % 4 = 0
+""")
+def category_asset_files(t) -> DataFrame:
+    """Categories and assets written as JSON, with a field that is not declared, and read under their declared schemas."""
+    c, k = categories(t), F.col("p_partkey")
+    evaluation = F.struct(F.col("p_name").alias("recognizability"), F.col("p_brand").alias("styleFit"), F.lit("x").alias("undeclared"))
+    a = t("part").where(k % 4 == 0).select(F.concat(F.lit("part-"), k).alias("slug"), F.lit("own").alias("library"), (k % 3 == 0).alias("attributionRequired"), evaluation.alias("evaluation"))
+    paths = [new_path(c.sparkSession), new_path(c.sparkSession)]
+    for df, path in zip((c, a), paths, strict=True):
+        df.withColumn("undeclared", F.lit(1)).write.json(path)
+    c, a = raw_table(c.sparkSession, paths[0], CATEGORY), raw_table(c.sparkSession, paths[1], ASSET)
+    one = c.select(F.lit("category").alias("kind"), F.col("id").alias("key"), F.concat_ws("/", "labels.en", "shortLabel.zhHans").alias("label"), F.col("colorToken").alias("detail"), F.lit("").alias("credited"))
+    two = a.select(F.lit("asset").alias("kind"), F.col("slug").alias("key"), F.col("library").alias("label"), F.concat_ws("/", "evaluation.recognizability", "evaluation.styleFit", "license").alias("detail"), F.when(F.col("attributionRequired"), "yes").otherwise("no").alias("credited"))
+    return one.unionByName(two)
+
+
 @query("SELECT s_suppkey AS ordinal, 's' || s_suppkey AS id, s_name AS name, s_suppkey % 2 = 0 AS \"attributionRequired\", CASE WHEN s_suppkey % 3 = 0 THEN 'https://example.org/' || s_suppkey END AS url FROM supplier")
 def parquet_sources(t) -> DataFrame:
     """Written and read as a table of the declared columns."""
@@ -275,6 +317,31 @@ def shared_values(t) -> DataFrame:
     return out.select("ordinal", "category", F.col("same_confidence").alias("confidence"), F.array_join("shared_modalities", ",").alias("shared"))
 
 
+_TWO = f"""
+SELECT a.ordinal, a.slug AS a, b.slug AS b, a.category AS ca, b.category AS cb, a.status AS sa, b.status AS sb, a.modalities AS ma, b.modalities AS mb,
+       [{', '.join(f'abs(a.t{i} - b.t{i})' for i in range(6))}] AS d
+FROM ({RECORDS}) a LEFT JOIN ({RECORDS}) b ON b.ordinal = a.ordinal + 1
+"""
+_DIM = f"[{', '.join(repr(d) for d in DIMENSION_IDS)}]"
+
+
+@query(f"""
+WITH k AS (SELECT *, CASE WHEN ordinal % 4 = 0 THEN 'empty' WHEN ordinal % 4 = 1 OR b IS NULL THEN 'pending' ELSE 'compared' END AS arity FROM ({_TWO}))
+SELECT ordinal, arity, CASE WHEN arity <> 'empty' THEN a END AS first, CASE WHEN arity = 'compared' THEN b END AS second,
+       CASE WHEN arity = 'compared' THEN {_DIM}[list_position(d, list_max(d))] END AS biggest, CASE WHEN arity = 'compared' AND ca = cb THEN ca END AS category, CASE WHEN arity = 'compared' AND sa = sb THEN sa END AS status,
+       CASE WHEN arity = 'compared' THEN array_to_string(list_filter(ma, lambda m: list_contains(mb, m)), ',') END AS shared
+FROM k
+""")
+def compare_overlay(t) -> DataFrame:
+    """From the URL of a request to what its comparison shows: nothing, one record that waits, or two compared."""
+    d, k = descriptors(t), F.col("ordinal")
+    slug = lambda n: F.concat(F.lit("part-"), n)
+    url = F.when(k % 4 == 0, "https://h.example/atlas?compare=none,,").when(k % 4 == 1, F.concat(F.lit("https://h.example/atlas?compare="), slug(k), F.lit(",none&view=map")))
+    url = url.otherwise(F.concat(F.lit("https://h.example/atlas?view=map&compare=%20"), slug(k), F.lit("%2C"), slug(k + 1), F.lit(",part-1")))
+    out = compare.overlay(d.select("ordinal", url.alias("url")), "url", "ordinal", d)
+    return out.select("ordinal", "arity", "first", "second", F.col("biggest.dim").alias("biggest"), F.col("same_categoryId").alias("category"), F.col("same_descriptorStatus").alias("status"), F.array_join("shared_modalities", ",").alias("shared"))
+
+
 @query("""
 WITH s AS (SELECT user_id, list(DISTINCT event_type) AS kinds FROM events GROUP BY user_id)
 SELECT user_id, array_to_string(list_sort(list_filter(kinds, lambda x: x <> 'click')), ',') AS left_over,
@@ -371,6 +438,52 @@ def validate_references(t) -> DataFrame:
     return missing_references(t).select("ordinal", "key", F.col("place").cast("int").alias("place"), "path", "message")
 
 
+_STEPS = " UNION ALL ".join([
+    *(f"SELECT 2 AS step, 'descriptors' AS \"table\", ordinal, slug AS key, '{path}' AS path, '{code}' AS code FROM ({RECORDS}) WHERE {where}" for path, code, where in _BROKEN),
+    f"SELECT 5, 'descriptors', ordinal, 'twice', 'id', 'not_unique' FROM (SELECT *, row_number() OVER (ORDER BY ordinal) AS nth FROM ({RECORDS}) WHERE ordinal % 31 = 0) WHERE nth = 2",
+    f"SELECT 7, 'descriptors', ordinal, slug, 'categoryId', 'missing_reference' FROM ({RECORDS}) WHERE category = 'fruit'",
+    f"SELECT 7, 'descriptors', ordinal, slug, 'sourceIds.' || i, 'missing_reference' FROM ({RECORDS}), (SELECT unnest([0, 1]) AS i) WHERE ordinal % 23 <> 0 AND (sources[i + 1] IN ('s2', 's3') OR NOT EXISTS (SELECT 1 FROM supplier WHERE 's' || s_suppkey = sources[i + 1]))",
+])
+
+
+@query(f'SELECT CAST(step AS INTEGER) AS step, step = (SELECT min(step) FROM ({_STEPS})) AS first, "table", ordinal, key, path, code FROM ({_STEPS})')
+def validate_dataset(t) -> DataFrame:
+    """All three tables through all steps: the issues of each, and whether theirs is the step that fails first."""
+    d = broken(t).withColumn("id", F.when(F.col("ordinal") % 31 == 0, "twice").otherwise(F.col("id")))
+    issues = validate.validate(categories(t).where("id <> 'fruit'"), sources(t).where("id not in ('s2', 's3')"), d)
+    first = issues.agg(F.min("step").alias("_first"))
+    return issues.join(F.broadcast(first)).select("step", (F.col("step") == F.col("_first")).alias("first"), "table", "ordinal", "key", "path", "code")
+
+
+@query(f"""
+SELECT path, code, count(*) AS n FROM ({' UNION ALL '.join(f"SELECT '{path}' AS path, '{code}' AS code FROM ({RECORDS}) WHERE {where}" for path, code, where in _BROKEN)}) GROUP BY path, code
+UNION ALL SELECT '', name, count(*) FROM ({RECORDS}), (SELECT unnest(['accepted', 'written']) AS name) WHERE NOT ({' OR '.join(where for _, _, where in _BROKEN)}) GROUP BY name
+""")
+def validate_while_writing(t) -> DataFrame:
+    """How many rows break each rule, counted by the job that writes the others, and how many rows the written table has."""
+    d = broken(t)
+    path = new_path(d.sparkSession)
+    counts = validate.write_valid(d, "descriptors", validate.descriptor_rules(), path).where("n > 0").select(F.coalesce("path", F.lit("")).alias("path"), "code", "n")
+    return counts.unionByName(read_table(d.sparkSession, path, DESCRIPTOR).groupBy(F.lit("").alias("path"), F.lit("written").alias("code")).agg(F.count("*").alias("n")))
+
+
+#: URLs made of a page's number, and what is wrong with them.
+_URLS = (
+    ("https://user:pw@h{}.example:8080/a b?q=[{}]#x", ""), ("http:\\\\h.example\\{}", ""), ("mailto:{}@example.org", ""), ("http://0x7f.{}/", "ipv4"), ("http://[::ffff:1.2.3.4]:80/{}", ""), ("http://[::{}::1]/", "ipv6"),
+    ("ftp://h.example:65536/{}", "port"), ("http://a b.example/{}", "host"), ("https://%41.example/{}", ""), ("//h.example/{}", "scheme"), ("file:///C:/{}", ""), ("http://1.2.3.256/{}", "ipv4"), ("https://?{}", "host"),
+)
+
+
+@query(f"""
+SELECT page_id, CASE {' '.join(f"WHEN page_id % {len(_URLS)} = {i} THEN '{fault}'" for i, (_, fault) in enumerate(_URLS) if i != 3)} WHEN page_id + 1 > 16777216 THEN 'ipv4' ELSE '' END AS made, '' AS given FROM pages
+""")
+def url_faults(t) -> DataFrame:
+    """The fault of every page's URL, and of one made of its number in one of many forms."""
+    k = F.col("page_id")
+    made = F.element_at(F.array(*[F.format_string(form.replace("%", "%%").replace("{}", "%1$d"), k + 1) for form, _ in _URLS]), (k % len(_URLS)).cast("int") + 1)
+    return t("pages").select("page_id", F.coalesce(fn.url_fault(made), F.lit("")).alias("made"), F.coalesce(fn.url_fault(F.col("url")), F.lit("")).alias("given"))
+
+
 @query(f"SELECT ordinal, key, string_agg(message, chr(10) ORDER BY place) AS messages FROM ({_MISSING}) GROUP BY ordinal, key")
 def validate_messages(t) -> DataFrame:
     return validate.joined_messages(missing_references(t)).select("ordinal", "key", "messages")

@@ -55,6 +55,19 @@ def raw_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema_of(schema)).option("mode", "PERMISSIVE").json(path)
 
 
+def marked_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """raw_table with what a reader knows of each line: ``file`` and ``block``, the offset of the split in it, and ``line``, the
+    text of a line that is no JSON object; its declared columns are null then. A line whose values are of another type is JSON:
+    they are null (but a text takes the JSON of any value), and its ``line`` is too. An empty line is no row, and what follows
+    an object on its line is not read."""
+    kept = "_line"
+    rows = spark.read.schema(schema_of(schema).add(kept, "string")).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", kept).json(path)
+    json = F.try_parse_json(kept)
+    # the reader keeps lines with ill-typed values too; the ordinal keeps a column beside the line's in every plan
+    broken = F.col("ordinal").isNull() & F.col(kept).isNotNull() & (json.isNull() | ~F.schema_of_variant(json).startswith("OBJECT"))
+    return rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.when(broken, F.col(kept)).alias("line")).drop(kept)
+
+
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A Parquet table with the declared columns only."""
     return spark.read.schema(schema_of(schema)).parquet(path)
