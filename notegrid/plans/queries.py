@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notegrid import functions as fn
-from notegrid.operators import catalog, compare, layout, neighbours, ordering, related, scan, search, search_index, selection, validate
-from notegrid.sources import page_paths, url_write_back
+from notegrid.operators import catalog, compare, layout, neighbours, ordering, refresh, related, scan, search, search_index, selection, validate
+from notegrid.sources import bucketed, page_paths, url_write_back
 from notegrid.streaming.ordered import replayed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,24 @@ def related_all(t) -> DataFrame:
     return out.select("query", F.col("rank").cast("long").alias("rank"), "key", r6(F.col("distance")).alias("distance"), r6(F.col("score")).alias("score"))
 
 
+@query(SQL["related_topk"])
+def refreshed_related(t) -> DataFrame:
+    """Lists of an earlier state of the table, brought to the present one: rows missing, others altered, others since removed."""
+    e = t("embeddings").select("vec_id", "embedding", "label")
+    k = F.col("vec_id")
+    absent, altered, since_removed = k % 101 == 7, k % 103 == 9, k % 107 == 11
+    turned = F.transform("embedding", lambda x: -x)
+    before = e.where(~absent).withColumn("embedding", F.when(altered, turned).otherwise(F.col("embedding")))
+    extra = e.where(since_removed).withColumn("vec_id", -k - 1)
+    before = before.unionByName(extra)
+    asked = k % 50 == 0
+    lists = refresh.build(before, before.where(asked), "vec_id", "embedding", "label")
+    changed = e.where(absent | altered).select(k.alias("key")).unionByName(extra.select(k.alias("key")))
+    refresh.refresh(lists, e, e.where(asked), changed)
+    out = lists.ranked(e.sparkSession)
+    return out.select("query", F.col("rank").cast("long").alias("rank"), "key", r6(F.col("distance")).alias("distance"), r6(F.col("score")).alias("score"))
+
+
 _PAIRS = """
 SELECT a.vec_id AS a_id, b.vec_id AS b_id, a.embedding AS x, b.embedding AS y, a.label AS la, b.label AS lb
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
@@ -400,6 +418,25 @@ def request_parameters(t) -> DataFrame:
     return p.select("page_id", "page", "ref", text.alias("written"))
 
 
+@query("""
+SELECT d.doc_id, d.source, s.first_doc, s.n_docs
+FROM documents d LEFT JOIN (SELECT source, min(doc_id) AS first_doc, count(*) AS n_docs FROM documents GROUP BY source) s ON d.source = s.source
+""")
+def stored_lookup(t) -> DataFrame:
+    """Every document with the row of its source in a registry, both stored in buckets: nothing is shuffled to join them."""
+    docs = t("documents").select("doc_id", "source")
+    registry = docs.groupBy("source").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n_docs"))
+    names = bucketed.store(docs, "source", registry, "source", "doc_id")
+    return bucketed.looked_up(docs.sparkSession, names, {"first_doc": "first_doc", "n_docs": "n_docs"})
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def stored_references(t) -> DataFrame:
+    """Documents that have no row in labels, both stored in buckets."""
+    docs = t("documents").select("doc_id", "source")
+    return bucketed.dangling(docs.sparkSession, bucketed.store(docs, "doc_id", t("labels"), "doc_id", "doc_id"))
+
+
 # --- validation --------------------------------------------------------------------------------------------------------
 
 
