@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from notegrid.sources.tables import new_path
 
-#: Rows of a bucket on average, rows of one key with the same salt, keys that may have salts at most.
-BUCKET_ROWS, SALT_ROWS, SALTED_KEYS = 1_000_000, 250_000, 10_000
+#: Rows of a bucket on average, rows of one key with the same salt, the part of all rows that these may be, keys that may have salts at most.
+BUCKET_ROWS, SALT_ROWS, SALT_PART, SALTED_KEYS = 1_000_000, 250_000, 64, 10_000
 KEY, SALT = "_key", "_salt"
 
 
@@ -45,7 +45,7 @@ def store(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str,
     rows = child.withColumn(KEY, F.col(child_key).cast("string"))
     counts = rows.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.count("*").alias("_n"))
     total = child.count()
-    most = max(SALT_ROWS, -(-total // SALTED_KEYS))
+    most = max(min(SALT_ROWS, -(-total // SALT_PART)), -(-total // SALTED_KEYS), 1)
     # at most SALTED_KEYS keys have as many rows
     hot = F.broadcast(counts.where(F.col("_n") > most).select(KEY, F.ceil(F.col("_n") / most).cast("long").alias("_salts")))
     buckets = max(8, -(-max(total, parent.count()) // BUCKET_ROWS))

@@ -14,6 +14,7 @@ def plan_of(df):
 
 def made(spark, monkeypatch):
     monkeypatch.setattr(bucketed, "SALT_ROWS", 40)
+    monkeypatch.setattr(bucketed, "SALT_PART", 1)
     rng = random.Random(5)
     keys = ["hot"] * 400 + [rng.choice([None, "a", "b", "c", "gone", "", "é"]) for _ in range(300)]
     child = [(i, k, "name", 1) for i, k in enumerate(keys)]
