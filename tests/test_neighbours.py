@@ -68,3 +68,20 @@ def test_related_moves_queries_only(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "SortMergeJoin" not in plan
     assert out.count() == 40
+
+
+def test_recurring_profiles_meet_once(spark):
+    """Of rows that tie for every query only the first few by key are compared; the rows of one key count each."""
+    rng = random.Random(5)
+    kinds = [("a", [0.0, 1.0]), ("a", [0.5, 1.0]), ("b", [0.0, 1.0]), (None, [0.0, 1.0]), ("b", [3.0, -0.0]), ("b", [3.0, 0.0])]
+    data = [(i, *rng.choice(kinds)) for i in range(600)] + [(7, *kinds[0])] * 6 + [(900, None, [9.0, 9.0]), (901, "b", None)]
+    df = spark.createDataFrame(data, "id long, kind string, v array<double>").repartition(3)
+    asked = df.where("id % 5 = 0").dropDuplicates(["id"])
+    out = related.related(df, asked, "id", "v", "kind", 3)
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString().split("MapInPandas")[-1]
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: (r["query"], r["rank"])):
+        got.setdefault(r["query"], []).append((r["key"], round(r["score"], 9)))
+    for q in asked.where("v is not null").collect():
+        scored = [(round(math.dist(q["v"], x) - 2 * (c is not None and c == q["kind"]), 9), i) for i, c, x in data if x is not None and i != q["id"]]
+        assert got[q["id"]] == [(i, s) for s, i in sorted(scored)[:3]]
