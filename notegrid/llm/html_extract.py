@@ -1,16 +1,16 @@
 """HTML extraction by wrapper induction.
 
-Pages of one host share a few templates. A page's layout is the set of its containers. A bounded sample of the distinct
-pages of each host and of each layout is aligned, tree by tree, with simple tree matching (the largest order-preserving
-matching of blocks of equal tag and name), and shows the container: the deepest one that holds the text that varies. What is constant
-is counted over all distinct pages of the host and of the layout, whatever their length: a text at a path is constant if at
-least ``LEAST_PAGES`` pages have it and half of the pages with text at that path do. The wrapper of a layout (of its host, if
-fewer than ``LEAST_PAGES`` sampled pages have the layout) is then applied to all its pages: the text of the container, block
-by block, without constant texts and without what HTML itself marks as no content (navigation, headers, footers, asides,
-adverts, notices, forms, scripts, styles, comments).
-
-The sample (``SAMPLE`` pages of a host or layout, those of the smallest hash among pages of at most ``MOST_CHARS``) only
-bounds what the container is chosen from. Wrappers are broadcast while they are small, joined otherwise.
+Pages of one host share a few templates. A page's layout is the set of its containers. All distinct pages of each host and of
+each layout, whatever their length, are aligned with the one of most text by simple tree matching (the largest order-preserving
+matching of blocks of equal tag and name). How many pages have each of its blocks, how many with the same text, and how much
+other text, are sums over pages, and show the container: the deepest one that holds the text that varies. What is constant is
+counted over the same pages: a text at a path is constant if at least ``LEAST_PAGES`` pages have it and half of the pages with
+text at that path do. The wrapper of a layout (of its host, if fewer than ``LEAST_PAGES`` pages have the layout) is then applied
+to all its pages: the text of the container, block by block, without constant texts and without what HTML itself marks as no
+content (navigation, headers, footers, asides, adverts, notices, forms, scripts, styles, comments).
+
+Pages are parsed once for their trees and texts, which are stored as numbers; pages of equal html are held equal by 64 bits
+of a hash. Trees that the others are aligned with, and wrappers, are broadcast while they are small, joined otherwise.
 
 Defined results: null and empty html give an empty text; a page without the container falls back on its article, main or
 body; a null url has no host and no wrapper; hosts of fewer than ``LEAST_PAGES`` distinct pages have no constants, and neither
@@ -23,24 +23,26 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from functools import lru_cache
 from hashlib import blake2b
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notegrid.llm.common import batch, materialize
 
-SAMPLE, MOST_CHARS, LEAST_PAGES = 8, 100_000, 4
+LEAST_PAGES = 4
 #: Share of the varying text that the container must hold.
 HELD = 0.9
-#: Bytes of wrappers that are broadcast.
+#: Bytes of wrappers, or of trees, that are broadcast.
 MOST_BROADCAST = 32_000_000
+#: Shapes and alignments that a task remembers, and blocks of trees whose sums it holds.
+MOST_SHAPES, MOST_SUMS = 50_000, 1_000_000
 
 # A quote has its meaning after an equals sign only. Repetitions are possessive: no character is read twice for a tag.
 _OTHER = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
@@ -153,22 +155,20 @@ def below(path: int, name: str) -> int:
 class Node:
     """A block element with the text of itself and of the inline elements in it."""
 
-    __slots__ = ("children", "extra", "label", "nodes", "own", "path", "seen", "shape", "size", "tag")
+    __slots__ = ("children", "label", "nodes", "own", "path", "shape", "size", "tag")
 
     def __init__(self, tag: str, name: str, path: int) -> None:
         self.tag, self.label, self.path, self.own, self.size, self.shape = tag, name, path, "", 0, 0
         self.children: list[Node] = []
         self.nodes: list[Node] = []  # of the root: all nodes, parents before children
-        self.seen: Counter = Counter()  # texts of aligned nodes
-        self.extra = 0  # characters below that no other page's nodes align with
 
 
-def tree(html: str) -> Node:
-    """The blocks of a page that can hold main text."""
+def tree(html: str, read: list | None = None) -> Node:
+    """The blocks of a page that can hold main text. read: its events, if they are known."""
     root = Node("", "", 0)
     root.nodes, texts, articles = [root], [[]], 0
     stack = [(root, 0, False)]  # the nearest block, the path of the element, whether it holds no text
-    for kind, tag, names, text in events(html):
+    for kind, tag, names, text in events(html) if read is None else read:
         node, path, skip = stack[-1]
         if kind == "text":
             if not skip:
@@ -203,13 +203,20 @@ class Matching:
     """
 
     def __init__(self, trees: list[Node]) -> None:
-        kinds: dict[tuple, int] = {}
-        for t in trees:
-            for x in reversed(t.nodes):
-                x.shape = kinds.setdefault((x.label, tuple(c.shape for c in x.children)), len(kinds))
-        self.labels = [k[0] for k in kinds]
-        self.kids = [np.array(k[1], np.int64) for k in kinds]
+        self.kinds: dict[tuple, int] = {}
+        self.labels: list = []
+        self.kids: list[np.ndarray] = []
         self.found: dict[tuple[int, int], int] = {}
+        for t in trees:
+            self.add(t)
+
+    def add(self, t: Node) -> None:
+        for x in reversed(t.nodes):
+            kind = x.label, tuple(c.shape for c in x.children)
+            x.shape = self.kinds.setdefault(kind, len(self.kinds))
+            if x.shape == len(self.labels):
+                self.labels.append(x.label)
+                self.kids.append(np.array(kind[1], np.int64))
 
     def weight(self, a: int, b: int) -> int:
         """Nodes that trees of shapes a and b match."""
@@ -221,13 +228,25 @@ class Matching:
             elif self.labels[x] != self.labels[y]:
                 self.found[x, y] = 0
             else:
-                new = [(i, j) for i in set(self.kids[x].tolist()) for j in set(self.kids[y].tolist()) if (i, j) not in self.found]
+                p, q, s, t = self.apart(x, y)
+                new = [(i, j) for i in set(p.tolist()) for j in set(q.tolist()) if (i, j) not in self.found]
+                new += [(i, i) for i in {*s.tolist(), *t.tolist()} if (i, i) not in self.found]
                 todo += new
                 if not new:
-                    p, q = self.kids[x], self.kids[y]
-                    self.found[x, y] = 1 + int(self.last(p, q)[-1])
+                    equal = sum(self.found[i, i] for i in (*s.tolist(), *t.tolist()))
+                    self.found[x, y] = 1 + equal + (int(self.last(p, q)[-1]) if len(p) and len(q) else 0)
         return self.found[a, b]
 
+    def apart(self, x: int, y: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Children of two shapes between those that both begin and both end with, and those: equal shapes at an end are best
+        matched with each other, since nothing matches more of a tree than its equal."""
+        p, q = self.kids[x], self.kids[y]
+        n = min(len(p), len(q))
+        begin = int(np.append(p[:n] != q[:n], True).argmax())
+        n -= begin
+        end = int(np.append(p[len(p) - n :][::-1] != q[len(q) - n :][::-1], True).argmax())
+        return p[begin : len(p) - end], q[begin : len(q) - end], p[:begin], p[len(p) - end :]
+
     def table(self, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Weights of the distinct shapes of two lists, and the place of each member among them."""
         (u, i), (v, j) = (np.unique(x, return_inverse=True) for x in (p, q))
@@ -270,7 +289,12 @@ class Matching:
             return []
         out = [(a, b)]
         for x, y in out:  # grows
-            out += [(x.children[i], y.children[j]) for i, j in self.align(self.kids[x.shape], self.kids[y.shape])]
+            p, q, s, t = self.apart(x.shape, y.shape)
+            out += zip(x.children[: len(s)], y.children[: len(s)], strict=True)
+            if len(p) and len(q):
+                out += [(x.children[len(s) + i], y.children[len(s) + j]) for i, j in self.align(p, q)]
+            if len(t):
+                out += zip(x.children[-len(t) :], y.children[-len(t) :], strict=True)
         return out
 
 
@@ -279,48 +303,100 @@ def match(a: Node, b: Node) -> int:
     return Matching([a, b]).weight(a.shape, b.shape)
 
 
-def induce(pages: list[str]) -> int:
-    """The path of the container of some pages of one host; 0 if they show none."""
-    trees = [tree(p) for p in pages]
-    if not trees:
+#: A page's blocks, parents before children: the places of their parents, numbers of their labels, paths and own texts, characters
+#: of them and all below, and whether they can be the container.
+TREE = ("parents", "labels", "paths", "owns", "sizes", "boxes")
+
+
+def flat(root: Node) -> tuple[list, ...]:
+    """The columns of TREE."""
+    at = {id(x): i for i, x in enumerate(root.nodes)}
+    parents = [-1] * len(root.nodes)
+    for i, x in enumerate(root.nodes):
+        for c in x.children:
+            parents[at[id(c)]] = i
+    return parents, [below(0, x.label) for x in root.nodes], [x.path for x in root.nodes], [number(x.own) for x in root.nodes], [x.size for x in root.nodes], [x.tag in CONTAINER for x in root.nodes]
+
+
+def shaped(parents: list[int], labels: list[int]) -> Node:
+    """The tree of these blocks, each with its place as its path."""
+    nodes = [Node("", name, i) for i, name in enumerate(labels)]
+    for x, up in zip(nodes[1:], parents[1:], strict=True):
+        nodes[up].children.append(x)
+    nodes[0].nodes = nodes
+    return nodes[0]
+
+
+class Sums:
+    """Sums over pages that are aligned with a template: by block of it how many pages have it, how many of these with its text,
+    characters of their texts, and characters below that nothing of the template aligns with."""
+
+    def __init__(self, template: tuple) -> None:
+        self.template = template
+        self.owns = np.array(template[3], np.int64)
+        self.sums = np.zeros((4, len(self.owns)), np.int64)
+        self.pages = 0
+        self.forget()
+
+    def forget(self) -> None:
+        self.root = shaped(*self.template[:2])
+        self.matching = Matching([self.root])
+        self.known: dict[int, list[np.ndarray]] = {}  # how pages of one shape align
+
+    def aligned(self, parents: list[int], labels: list[int]) -> list[np.ndarray]:
+        """Places in the template and in a page of the blocks that are matched, and of blocks of the page below them that are not."""
+        key = number(*parents, *labels)
+        if key not in self.known:
+            other = shaped(parents, labels)
+            self.matching.add(other)
+            pairs = [(x.path, y) for x, y in self.matching.pairs(self.root, other)]
+            met = {y.path for _, y in pairs}
+            rest = [(x, c.path) for x, y in pairs for c in y.children if c.path not in met]
+            self.known[key] = [np.array(x, np.int64) for x in ([x for x, _ in pairs], [y.path for _, y in pairs], [x for x, _ in rest], [c for _, c in rest])]
+        return self.known[key]
+
+    @property
+    def shapes(self) -> int:
+        return len(self.matching.kinds) + len(self.matching.found) // 4
+
+    def add(self, page: tuple) -> None:
+        x, y, at, other = self.aligned(page[0], page[1])
+        own, size = np.array(page[3], np.int64), np.array(page[4], np.int64)
+        chars = size.copy()
+        np.subtract.at(chars, np.array(page[0][1:], np.int64), size[1:])
+        self.pages += 1
+        self.sums[0, x] += 1
+        self.sums[1, x] += own[y] == self.owns[x]
+        self.sums[2, x] += chars[y]
+        np.add.at(self.sums[3], at, size[other])
+
+
+def container(template: tuple, sums: np.ndarray, pages: int) -> int:
+    """The path of the deepest container that holds HELD of the text that varies; 0 if none does."""
+    met, equal, chars, extra = sums
+    constant = (met >= max(LEAST_PAGES, pages / 2)) & (equal >= LEAST_PAGES) & (equal * 2 >= met)
+    varying = np.where(constant, 0, chars) + extra
+    parents, _, paths, _, _, boxes = template
+    children: list[list[int]] = [[] for _ in parents]
+    for i in range(len(parents) - 1, 0, -1):
+        varying[parents[i]] += varying[i]
+        children[parents[i]].append(i)
+    at = 0
+    if not varying[at]:  # pages that differ in nothing show no template
         return 0
-    template = max(trees, key=lambda t: t.size)
-    for x in template.nodes:
-        x.seen[x.own] += 1
-    matching = Matching(trees)
-    for other in trees:
-        if other is not template:
-            pairs = matching.pairs(template, other)
-            met = {id(y) for _, y in pairs}
-            for x, y in pairs:
-                x.seen[y.own] += 1
-                x.extra += sum(c.size for c in y.children if id(c) not in met)
-    n = len(trees)
-
-    def constant(x: Node) -> bool:
-        met = x.seen.total()
-        return met >= max(LEAST_PAGES, n / 2) and x.seen[x.own] == met
-
-    varying: dict[int, int] = {}
-    for x in reversed(template.nodes):
-        varying[id(x)] = (0 if constant(x) else len(x.own)) + x.extra + sum(varying[id(c)] for c in x.children)
-    total, at = varying[id(template)], template
-    if not total:  # pages that differ in nothing show no template
-        return 0
-    while True:
-        inner = next((c for c in at.children if c.tag in CONTAINER and varying[id(c)] >= HELD * total), None)
-        if inner is None:
-            return at.path
-        at = inner
+    while inner := [i for i in children[at] if boxes[i] and varying[i] >= HELD * varying[0]]:
+        at = min(inner)
+    return paths[at]
 
 
-def blocks(html: str, container: int = 0, containers: set[int] | None = None):
-    """(path, text, within article, within main, within the container) of every block of text; containers gets their paths."""
+def blocks(html: str, container: int = 0, containers: set[int] | None = None, read: list | None = None):
+    """(path, text, within article, within main, within the container) of every block of text; containers gets their paths.
+    read: the page's events, if they are known."""
     up, skip, within = 0, False, False  # of the innermost element: its path, no text, within the container
     path: list[tuple[int, bool, bool]] = []  # the same of those around it
     line: list[str] = []
     articles = mains = 0
-    for kind, tag, names, text in events(html):
+    for kind, tag, names, text in events(html) if read is None else read:
         if kind == "text":
             if not skip:
                 line.append(text)
@@ -369,7 +445,7 @@ HOST = 0
 
 
 def laid_out(pages: DataFrame) -> DataFrame:
-    """pages with their layout, a number of the set of their containers, and a hash of html."""
+    """pages with their layout, a number of the set of their containers."""
     kinds = T.StructType([*pages.schema.fields, T.StructField("layout", T.LongType())])
 
     def run(batches):
@@ -385,43 +461,97 @@ def laid_out(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, kinds)
 
 
-def containers(pages: DataFrame) -> DataFrame:
-    """(host, scope, container, sampled): the number of the container's path of every host and of every layout, and the pages it was chosen from."""
-    known = pages.where((F.col("host") != "") & F.col("html").isNotNull() & (F.length("html") <= MOST_CHARS)).select("host", "html", F.explode(F.array(F.lit(HOST).cast("long"), "layout")).alias("scope"), F.xxhash64("html").alias("h"))
-    order = Window.partitionBy("host", "scope").orderBy("h", "html")
-    # equal pages have equal ranks; dense ranks above the sample go before the shuffle
-    sample = known.withColumn("k", F.dense_rank().over(order)).where(F.col("k") <= SAMPLE).dropDuplicates(["host", "scope", "k"])
-    arrow = pa.schema([("host", pa.string()), ("scope", pa.int64()), ("container", pa.int64()), ("sampled", pa.int64())])
-
-    def learn(table: pa.Table) -> pa.Table:
-        found = induce([x for _, x in sorted(zip(table.column("h").to_pylist(), table.column("html").to_pylist(), strict=True))])
-        return pa.table([[table.column("host")[0].as_py()], [table.column("scope")[0].as_py()], [found], [table.num_rows]], schema=arrow)
-
-    return sample.groupBy("host", "scope").applyInArrow(learn, "host string, scope long, container long, sampled long")
-
-
-def constants(pages: DataFrame) -> DataFrame:
-    """(host, scope, constants): numbers of the texts at their paths that are constant, counted over all distinct pages; layouts
-    are found in the same pass."""
-    arrow = pa.schema([("host", pa.string()), ("layout", pa.int64()), ("h", pa.int64()), ("path", pa.int64()), ("line", pa.int64())])
+def parsed(pages: DataFrame) -> DataFrame:
+    """(host, layout, h, lines, the columns of TREE) of every distinct page of a host: h is a hash of its html, lines have the
+    paths that hold text, each beside null and beside the number of each of its texts."""
+    many = {"parents": pa.int32(), "sizes": pa.int32(), "boxes": pa.bool_()}
+    line = pa.struct([("path", pa.int64()), ("line", pa.int64())])
+    arrow = pa.schema([("host", pa.string()), ("layout", pa.int64()), ("h", pa.int64()), ("lines", pa.list_(line)), *((k, pa.list_(many.get(k, pa.int64()))) for k in TREE)])
 
     def run(batches):
         for b in batches:
             out = []
             for host, html, h in zip(*(b.column(k).to_pylist() for k in ("host", "html", "h")), strict=True):
+                read = list(events(html))
                 found: set[tuple] = set()
                 seen: set[int] = set()
-                for where, text, *_ in blocks(html, 0, seen):
+                for where, text, *_ in blocks(html, 0, seen, read):
                     if where:
                         found |= {(where, None), (where, number(where, text))}
-                layout = number(*sorted(seen))
-                out += [(host, layout, h, *x) for x in found]
+                out.append((host, number(*sorted(seen)), h, [{"path": w, "line": x} for w, x in found], *flat(tree(html, read))))
             if out:
                 yield batch(arrow, *map(list, zip(*out, strict=True)))
 
     known = pages.where((F.col("host") != "") & F.col("html").isNotNull()).select("host", "html", F.xxhash64("html").alias("h"))
-    # a page is one however many rows it has; its lines are dealt out by themselves, so a large host is no large task
-    lines = known.mapInArrow(run, "host string, layout long, h long, path long, line long").distinct()
+    kinds = ", ".join(f"{k} array<{'boolean' if k == 'boxes' else 'int' if k in many else 'bigint'}>" for k in TREE)
+    return known.mapInArrow(run, f"host string, layout long, h long, lines array<struct<path: bigint, line: bigint>>, {kinds}").dropDuplicates(["host", "h"])
+
+
+def near(df: DataFrame, size) -> DataFrame:
+    """df, marked for a broadcast if these bytes a row are few in all."""
+    held = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= MOST_BROADCAST else df
+
+
+def containers(pages: DataFrame) -> DataFrame:
+    """(host, scope, container, pages): the number of the container's path of every host and of every layout, and how many pages
+    it was chosen from, which are all; of parsed pages."""
+    known = pages.select("host", F.explode(F.array(F.lit(HOST).cast("long"), "layout")).alias("scope"), "h", *TREE)
+    # a task sends one page for each scope
+    first = known.groupBy("host", "scope").agg(F.max_by(F.struct(*TREE), F.struct(F.element_at("sizes", 1), "h")).alias("template"), F.count("*").alias("_n"))
+    # layouts of fewer pages have no wrapper
+    first = materialize(first.where((F.col("scope") == HOST) | (F.col("_n") >= LEAST_PAGES)).drop("_n"), "templates")
+    joined = known.join(near(first, F.size("template.parents") * 40 + F.length("host")), ["host", "scope"])
+    arrow = pa.schema([("host", pa.string()), ("scope", pa.int64()), ("pages", pa.int64()), ("sums", pa.list_(pa.int64()))])
+
+    def run(batches):
+        held: dict[tuple, Sums] = {}
+        size = shapes = 0
+
+        def told():
+            return batch(arrow, *map(list, zip(*((*k, s.pages, s.sums.ravel().tolist()) for k, s in held.items()), strict=True)))
+
+        for b in batches:
+            host, scope, *page, template = (b.column(k) for k in ("host", "scope", *TREE, "template"))
+            for i, (key, *own) in enumerate(zip(zip(host.to_pylist(), scope.to_pylist(), strict=True), *(c.to_pylist() for c in page), strict=True)):
+                if key not in held:
+                    if size > MOST_SUMS:
+                        yield told()
+                        held.clear()
+                        size = shapes = 0
+                    t = template[i].as_py()
+                    held[key] = Sums(tuple(t[k] for k in TREE))
+                    size += len(t["parents"])
+                if shapes > MOST_SHAPES:
+                    shapes = 0
+                    for x in held.values():
+                        x.forget()
+                shapes -= held[key].shapes
+                held[key].add(own)
+                shapes += held[key].shapes
+        if held:
+            yield told()
+
+    def add(rows: pa.Table) -> pa.Table:
+        whole = sum(np.array(x.as_py(), np.int64) for x in rows.column("sums"))
+        return pa.table([rows.column("host")[:1], rows.column("scope")[:1], pa.array([sum(rows.column("pages").to_pylist())], pa.int64()), pa.array([whole.tolist()], pa.list_(pa.int64()))], schema=arrow)
+
+    kinds = "host string, scope long, pages long, sums array<bigint>"
+    whole = joined.mapInArrow(run, kinds).groupBy("host", "scope").applyInArrow(add, kinds)  # a row or a few of each task
+
+    def choose(batches):
+        for b in batches:
+            rows = list(zip(*(b.column(k).to_pylist() for k in ("template", "sums", "pages")), strict=True))
+            found = [container(tuple(t[k] for k in TREE), np.array(x, np.int64).reshape(4, -1), n) for t, x, n in rows]
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("scope"), pa.array(found, pa.int64()), b.column("pages")], names=["host", "scope", "container", "pages"])
+
+    return whole.join(first, ["host", "scope"]).mapInArrow(choose, "host string, scope long, container long, pages long")
+
+
+def constants(pages: DataFrame) -> DataFrame:
+    """(host, scope, constants): numbers of the texts at their paths that are constant, counted over all parsed pages."""
+    # a page's lines are dealt out by themselves, so a large host is no large task
+    lines = pages.select("host", "layout", F.explode("lines").alias("x")).select("host", "layout", "x.path", "x.line")
     by_layout = materialize(lines.groupBy("host", "layout", "path", "line").agg(F.count("*").alias("n")), "lines")
     counts = by_layout.withColumnRenamed("layout", "scope").unionByName(by_layout.groupBy("host", "path", "line").agg(F.sum("n").alias("n")).withColumn("scope", F.lit(HOST).cast("long")))
     at = counts.where("line is null").select("host", "scope", "path", F.col("n").alias("pages"))
@@ -434,30 +564,27 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
     hosted = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
     plain = laid_out(hosted)
-    scopes = materialize(containers(plain), "containers").join(constants(hosted), ["host", "scope"], "full")
-    known = materialize(scopes.select("host", "scope", F.to_json(F.struct(F.coalesce("container", F.lit(0)).alias("container"), F.coalesce("constants", F.array().cast("array<long>")).alias("constants"))).alias("wrapper"), F.coalesce("sampled", F.lit(0)).alias("sampled")), "wrappers")
+    read = materialize(parsed(hosted), "parsed")
+    scopes = materialize(containers(read), "containers").join(constants(read), ["host", "scope"], "full")
+    known = materialize(scopes.select("host", "scope", F.to_json(F.struct(F.coalesce("container", F.lit(0)).alias("container"), F.coalesce("constants", F.array().cast("array<long>")).alias("constants"))).alias("wrapper"), F.coalesce("pages", F.lit(0)).alias("pages")), "wrappers")
     of_host = known.where(F.col("scope") == HOST).select("host", F.col("wrapper").alias("of_host"))
-    of_layout = known.where((F.col("scope") != HOST) & ((F.col("sampled") >= LEAST_PAGES) | F.col("wrapper").contains('"constants":[') & ~F.col("wrapper").contains('"constants":[]'))).select("host", F.col("scope").alias("layout"), F.col("wrapper").alias("of_layout"))
-
-    def near(df: DataFrame, column: str) -> DataFrame:
-        held = df.agg(F.coalesce(F.sum(F.length(column) + F.length("host")), F.lit(0))).first()[0]
-        return F.broadcast(df) if held <= MOST_BROADCAST else df
+    of_layout = known.where((F.col("scope") != HOST) & ((F.col("pages") >= LEAST_PAGES) | F.col("wrapper").contains('"constants":[') & ~F.col("wrapper").contains('"constants":[]'))).select("host", F.col("scope").alias("layout"), F.col("wrapper").alias("of_layout"))
 
-    both = plain.join(near(of_host, "of_host"), "host", "left").join(near(of_layout, "of_layout"), ["host", "layout"], "left").select("page_id", "url", "html", "of_host", "of_layout")
+    both = plain.join(near(of_host, F.length("of_host") + F.length("host")), "host", "left").join(near(of_layout, F.length("of_layout") + F.length("host")), ["host", "layout"], "left").select("page_id", "url", "html", "of_host", "of_layout")
     kind = dict(pages.dtypes)["page_id"]
 
     def run(batches):
-        parsed: dict[str, tuple] = {}
+        wrappers: dict[str, tuple] = {}
 
         def of(wrapper):
             if wrapper is None:
                 return 0, frozenset()
-            if wrapper not in parsed:
-                if len(parsed) > 1000:
-                    parsed.clear()
+            if wrapper not in wrappers:
+                if len(wrappers) > 1000:
+                    wrappers.clear()
                 x = json.loads(wrapper)
-                parsed[wrapper] = x["container"], frozenset(x["constants"])
-            return parsed[wrapper]
+                wrappers[wrapper] = x["container"], frozenset(x["constants"])
+            return wrappers[wrapper]
 
         for b in batches:
             texts = []

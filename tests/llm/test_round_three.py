@@ -325,3 +325,28 @@ def test_candidates_of_any_length_are_scored():
         value = "sk-" + "".join(rng.choice("0123456789uvwxyz") for _ in range(n))
         accepted = (a.score(value) or -99) >= a.lowest - secret_scan.SLACK
         assert bool(scorer.spans([f"x {value} y"])[0]) == accepted, n
+
+
+def test_html_container_is_chosen_from_all_pages(spark):
+    """What most of all pages have is template though any few pages differ in it, and so it is not where the text is."""
+    words = lambda k, n: " ".join(f"w{k:03d}x{i:02d}" for i in range(n))
+    form = "<html><body><div class=q1><p>{}</p></div><div class=q2><p>{}</p></div></body></html>"
+    most = words(999, 12)
+    rows = [(k, f"https://all.example/{k}", form.format(words(k, 40), f"seen {k}" if k % 5 < 2 else most)) for k in range(200)]
+    hosted = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("all.example"))
+    chosen = {r["scope"]: tuple(r) for r in html_extract.containers(html_extract.parsed(hosted)).collect()}
+    path = 0
+    for name in ("html", "body", "div.q1"):
+        path = html_extract.below(path, name)
+    assert chosen[html_extract.HOST] == ("all.example", html_extract.HOST, path, 200)
+    twice = html_extract.containers(html_extract.parsed(hosted.unionByName(hosted))).collect()
+    assert {r["scope"]: tuple(r) for r in twice} == chosen
+    out = {r["page_id"]: r["text"] for r in html_extract.extract_pages(hosted.drop("host")).collect()}
+    assert out == {k: words(k, 40) for k in range(200)}
+
+
+def test_html_equal_children_are_matched_in_any_number():
+    page = lambda n: "<ul>" + "<li><p>x</p></li>" * n + "<ol></ol></ul>"
+    a, b = html_extract.tree(page(30_000)), html_extract.tree(page(29_000))
+    matching = html_extract.Matching([a, b])
+    assert len(matching.pairs(a, b)) == matching.weight(a.shape, b.shape) == 2 + 2 * 29_000 + 1
